@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
-from gleaner.llm import bpe, near_dedup
+from gleaner.llm import bpe, near_dedup, token_counts
 
-MODULES = (near_dedup, bpe)
+MODULES = (near_dedup, bpe, token_counts)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
