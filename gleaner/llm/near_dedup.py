@@ -32,6 +32,10 @@ LEVEL = 1.001
 SLACK = 15.0
 #: Sets of a bucket that one task compares with as many others at once.
 BLOCK = 256
+#: Texts held against one copy of another's in a task.
+PART = 256
+#: Keys of the filter that holds texts without partners back from the shuffle, at most.
+COARSE = 1 << 18
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -148,30 +152,43 @@ def _across(threshold: float):
 
 
 def _confirm(numerator: int, denominator: int):
+    """Rows come sorted by (b, part), the text of b (own = 0) before those that are held against it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kept = None, None
+        held, kept = None, []
         for batch in batches:
             out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != held:
-                    held, kept = b, shingle_set(y)
-                own = shingle_set(x)
-                both = len(np.intersect1d(own, kept, assume_unique=True))
-                if both and denominator * both >= numerator * (len(own) + len(kept) - both):
-                    out.append((a, b))
+            for b, part, own, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own == 0:
+                    kept = [*kept, shingle_set(text)] if held == (b, part) else [shingle_set(text)]
+                    held = (b, part)
+                    continue
+                mine = shingle_set(text)
+                for other in kept if held == (b, part) else []:
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if both and denominator * both >= numerator * (len(mine) + len(other) - both):
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
     return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach numerator / denominator."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    found = sides.join(texts, "id")
-    joined = found.where("id = a").select("a", "b", F.col("text").alias("x")).join(
-        found.where("id = b").select("a", "b", F.col("text").alias("y")), ["a", "b"]
-    )
-    return joined.select("a", "b", "x", "y").mapInArrow(_confirm(numerator, denominator), "a long, b long").distinct()
+    """The pairs (a, b) of ids whose full shingle sets reach numerator / denominator.
+
+    The partners of b are dealt over parts of PART at most, each with its own copy of b's text, so that
+    every text moves about once and no b gathers all its partners in one task.
+    """
+    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    against = pairs.join(load, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("own"))
+    bases = load.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"))
+    wanted = settle(against.union(bases))
+    # most texts have no partner: a filter of at most COARSE keys, whatever the input, keeps them out of the shuffle
+    coarse = lambda id_col: F.pmod(F.xxhash64(id_col), F.lit(COARSE)).alias("coarse")
+    some = texts.withColumn("coarse", coarse("id")).join(F.broadcast(wanted.select(coarse("id")).distinct()), "coarse", "left_semi")
+    rows = wanted.join(some.drop("coarse"), "id").select("b", "part", "own", F.col("id").alias("a"), "text")
+    dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", "own")
+    return dealt.mapInArrow(_confirm(numerator, denominator), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +211,8 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     width = 2 * ROWS
     bands = sets.select("set_id", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)) for k in range(BANDS)))).alias("band"))
     buckets = bands.groupBy("band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b < top").select("band", "b")
-    star = bands.join(buckets, "band").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    shared = settle(bands.join(buckets, "band"))
+    star = shared.where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     of = lambda side: sets.select(F.col("set_id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
     sized = star.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
     screened = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_screen(threshold), "a long, b long, est double")
@@ -202,7 +220,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     links = settle(confirm(best, texts, numerator, denominator))
     first = settle(components(links))
 
-    owner = bands.join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    owner = shared.select("band", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     mixed = owner.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     members = (
         owner.join(mixed.select("band", "size"), "band")
