@@ -14,6 +14,7 @@ States, transitions and seams are computed when first needed and kept up to a st
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -26,41 +27,52 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import table
 from gleaner.llm.words import slices
 
-#: Entries kept in a worker by each of: transducer states, seams, and pieces already encoded.
-KEPT = 300_000
-#: Pieces of a text encoded at once, so that the ids of a huge text never stand in memory together.
-RUN = 50_000
+#: Transducer states, and pieces already encoded, that a worker keeps at most.
+KEPT, PIECES = 300_000, 1_000_000
+#: Characters of a text beyond which it is encoded in runs of RUN pieces, so that the ids of a huge text
+#: never stand in memory together.
+LONG, RUN = 1 << 20, 50_000
 
 
 class State:
-    __slots__ = ("before", "tail", "chains", "moves")
+    """Bytes not yet emitted after the token `before`; `live` holds (start, tokens up to it) of each
+    configuration in order of start, the last one with no byte of an unfinished token."""
 
-    def __init__(self, before: int, tail: bytes, chains: dict[int, tuple[int, ...]]) -> None:
-        self.before, self.tail, self.chains, self.moves = before, tail, chains, {}
+    __slots__ = ("before", "tail", "live", "moves")
+
+    def __init__(self, before: int, tail: bytes, live: list[tuple[int, tuple[int, ...]]]) -> None:
+        self.before, self.tail, self.live, self.moves = before, tail, live, {}
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        #: token or prefix of one -> (rank or -1, whether a longer token starts so)
+        self.known: dict[bytes, tuple[int, bool]] = {t: (r, False) for t, r in ranks.items()}
+        for prefix in {t[:k] for t in ranks for k in range(1, len(t))}:
+            self.known[prefix] = (ranks.get(prefix, -1), True)
         self._clear()
 
     def _clear(self) -> None:
-        self.start = State(-1, b"", {0: ()})
+        self.start = State(-1, b"", [(0, ())])
         self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
         self.seams: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token, or None if merging its bytes never gives it."""
+        if token in self.parts:
+            return self.parts[token]
         parts = [token[i : i + 1] for i in range(len(token))]
         while len(parts) > 2:
             rank, k = min((self.ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
             if rank == 1 << 60:
-                return None
+                break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return (parts[0], parts[1]) if len(parts) == 2 else None
+        self.parts[token] = found = (parts[0], parts[1]) if len(parts) == 2 else None
+        return found
 
     def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """Parts of the token along its right (side 1) or left (side 0) edge, each with the rank of the
@@ -81,36 +93,47 @@ class Transducer:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens; left -1: none before."""
-        if (ok := self.seams.get((left, right))) is None:
-            ys = self._spine(right, 0)
-            if left < 0:
-                ok = bool(ys)
-            else:
-                xs, get = self._spine(left, 1), self.ranks.get
-                ok = bool(xs and ys) and not any((r := get(x + y)) is not None and r < x_in and r <= y_in for x, x_in in xs for y, y_in in ys)
-            self.seams[left, right] = ok
+        ys = self._spine(right, 0)
+        if left < 0:
+            ok = bool(ys)
+        else:
+            xs, get = self._spine(left, 1), self.ranks.get
+            ok = bool(xs and ys) and not any((r := get(x + y)) is not None and r < x_in and r <= y_in for x, x_in in xs for y, y_in in ys)
+        self.seams[left, right] = ok
         return ok
 
+    def _advance(self, state: State, tail: bytes, last: bool) -> list[tuple[int, tuple[int, ...]]]:
+        """Configurations after one more byte; if it is the piece's last, only the finished one."""
+        known, seams, live, done = self.known.get, self.seams.get, [], None
+        for s, tokens in state.live:
+            if (of := known(tail[s:])) is None:
+                continue
+            rank, extends = of
+            if done is None and rank >= 0:
+                seam = (tokens[-1] if tokens else state.before, rank)
+                if (ok := seams(seam)) is None:
+                    ok = self.follows(*seam)
+                if ok:
+                    done = (*tokens, rank)
+                    if last:
+                        break
+            if extends:
+                live.append((s, tokens))
+        live.append((len(tail), done))
+        return live
+
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         tail = state.tail + bytes((byte,))
-        n, chains = len(tail), {}
-        for s, tokens in state.chains.items():
-            part = tail[s:]
-            rank = self.ranks.get(part)
-            if n not in chains and rank is not None and self.follows(tokens[-1] if tokens else state.before, rank):
-                chains[n] = (*tokens, rank)
-            if part in self.prefixes:
-                chains[s] = tokens
-        agreed, every = 0, list(chains.values())
-        least = min(every, key=len)
-        while agreed < len(least) and all(c[agreed] == least[agreed] for c in every):
+        live = self._advance(state, tail, False)
+        first, agreed = live[0][1], 0
+        while agreed < len(first) and all(len(c) > agreed and c[agreed] == first[agreed] for _, c in live):
             agreed += 1
-        sent = least[:agreed]
-        size = sum(len(self.tokens[t]) for t in sent)
-        before = sent[-1] if sent else state.before
-        key = (before, tail[size:])
-        if (to := self.states.get(key)) is None:
-            to = self.states[key] = State(*key, {s - size: chains[s][agreed:] for s in sorted(chains)})
+        sent, before = first[:agreed], state.before
+        if sent:
+            size, before = sum(len(self.tokens[t]) for t in sent), sent[-1]
+            tail, live = tail[size:], [(s - size, c[agreed:]) for s, c in live]
+        if (to := self.states.get((before, tail))) is None:
+            to = self.states[before, tail] = State(before, tail, live)
         state.moves[byte] = move = (to, sent)
         return move
 
@@ -118,14 +141,16 @@ class Transducer:
         """Token ids of one pre-split piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
+        if not piece:
+            return ()
         if len(self.states) > KEPT or len(self.seams) > 4 * KEPT:
             self._clear()
         state, out = self.start, []
-        for byte in piece:
+        for byte in piece[:-1]:
             state, sent = state.moves.get(byte) or self._move(state, byte)
             if sent:
                 out += sent
-        return (*out, *state.chains[len(state.tail)])
+        return (*out, *self._advance(state, state.tail + piece[-1:], True)[-1][1])
 
 
 class Utf8Stream:
@@ -164,18 +189,23 @@ class Encoder(dict):
         import regex
 
         super().__init__()
-        self.find = regex.compile(pattern).finditer
+        self.find = regex.compile(pattern)
         self.transducer = Transducer(read_ranks(path))
+        self.names = {i: str(i) for i in self.transducer.tokens}
 
     def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if len(self) > KEPT:
+        if len(self) > PIECES:
             self.clear()
         ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        self[piece] = found = (ids, " ".join(map(str, ids)))
+        self[piece] = found = (ids, " ".join([self.names[i] for i in ids]))
         return found
 
     def runs(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        found = (m[0] for m in self.find(text))
+        if len(text) <= LONG:
+            if text:
+                yield list(map(self.__getitem__, self.find.findall(text)))
+            return
+        found = (m[0] for m in self.find.finditer(text))
         while run := [self[piece] for piece in islice(found, RUN)]:
             yield run
 
@@ -189,7 +219,12 @@ class Encoder(dict):
 
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+    """This worker's encoder.  Its tables are large and live as long as the worker, so the garbage
+    collector is kept from walking them over and over."""
+    made = Encoder(path, pattern)
+    gc.freeze()
+    gc.set_threshold(100_000, 20, 100)
+    return made
 
 
 def digests(path: str, pattern: str):
@@ -203,8 +238,9 @@ def digests(path: str, pattern: str):
             for text in batch.column(1):
                 n, ids_sha, text_sha, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
                 for run in code.runs(text.as_py() or ""):
-                    ids = list(chain.from_iterable([r[0] for r in run]))
-                    ids_sha.update(((" " if n else "") + " ".join([r[1] for r in run])).encode())
+                    groups, names = zip(*run, strict=True)
+                    ids = list(chain.from_iterable(groups))
+                    ids_sha.update(((" " if n else "") + " ".join(names)).encode())
                     n += len(ids)
                     text_sha.update(stream.feed(b"".join(map(of, ids))).encode())
                 text_sha.update(stream.end().encode())
