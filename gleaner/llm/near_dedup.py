@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, settle, table
+from gleaner.llm.common import components, meet, settle, table
 from gleaner.llm.words import flat, mix, shingle_set, shingles, slices, words
 
 BANDS, ROWS = 30, 5
@@ -32,10 +32,6 @@ LEVEL = 1.001
 SLACK = 15.0
 #: Sets of a bucket that one task compares with as many others at once.
 BLOCK = 256
-#: Texts held against one copy of another's in a task.
-PART = 256
-#: Keys of the filter that holds texts without partners back from the shuffle, at most.
-COARSE = 1 << 18
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -174,21 +170,8 @@ def _confirm(numerator: int, denominator: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach numerator / denominator.
-
-    The partners of b are dealt over parts of PART at most, each with its own copy of b's text, so that
-    every text moves about once and no b gathers all its partners in one task.
-    """
-    load = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    against = pairs.join(load, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("own"))
-    bases = load.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"))
-    wanted = settle(against.union(bases))
-    # most texts have no partner: a filter of at most COARSE keys, whatever the input, keeps them out of the shuffle
-    coarse = lambda id_col: F.pmod(F.xxhash64(id_col), F.lit(COARSE)).alias("coarse")
-    some = texts.withColumn("coarse", coarse("id")).join(F.broadcast(wanted.select(coarse("id")).distinct()), "coarse", "left_semi")
-    rows = wanted.join(some.drop("coarse"), "id").select("b", "part", "own", F.col("id").alias("a"), "text")
-    dealt = rows.repartition("b", "part").sortWithinPartitions("b", "part", "own")
-    return dealt.mapInArrow(_confirm(numerator, denominator), "a long, b long").distinct()
+    """The pairs (a, b) of ids whose full shingle sets reach numerator / denominator."""
+    return meet(pairs, texts).mapInArrow(_confirm(numerator, denominator), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

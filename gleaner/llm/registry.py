@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage, by name."""
 
-from gleaner.llm import bpe, decontaminate, fingerprints, hmm, language, licenses, near_dedup, quality, token_counts
+from gleaner.llm import bpe, decontaminate, fingerprints, hmm, language, licenses, near_dedup, passages, quality, token_counts
 
-MODULES = (near_dedup, bpe, licenses, token_counts, language, quality, fingerprints, hmm, decontaminate)
+MODULES = (near_dedup, bpe, licenses, token_counts, language, quality, fingerprints, hmm, decontaminate, passages)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
