@@ -173,40 +173,62 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     return _model([tuple(r) for r in counted.groupBy("lang", "ord", "gram").agg(F.sum("n")).collect()])
 
 
+class _Judge:
+    """Predictions for the texts of a column: (language or und, score, bits per byte) arrays."""
+
+    def __init__(self, model: Model) -> None:
+        import regex
+
+        self.scorer, self.letter = Scorer(model), regex.compile(r"\p{L}").search
+        self.names = np.array([*model.languages, "und"], object)
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        data, at = flat(texts)
+        for i, j in slices(np.diff(at)):
+            size = np.diff(at[i : j + 1])
+            letters = np.array([bool(t) and self.letter(t) is not None for t in texts.slice(i, j - i).to_pylist()], bool)
+            bits = self.scorer.lengths(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            some = bits.shape[1] > 0
+            best = bits.argmin(1) if some else np.zeros(j - i, int)
+            least = bits.min(1, initial=np.inf)
+            part = np.minimum(1.0, CONFIDENT_BYTES / np.maximum(size, 1))
+            odds = np.exp2(-(bits - least[:, None]) * part[:, None]).sum(1)
+            ok = letters & some
+            yield i, j, self.names[np.where(ok, best, len(self.names) - 1)], np.where(ok, 1 / np.maximum(odds, 1), 0.0), np.where(ok, least / np.maximum(size, 1), 0.0)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of each text: id_col, lang_pred, score, bits_per_byte.
 
     lang_pred is a language of the model, or `und` with score 0 if the text is null or has no letter;
     ties go to the language first in order.  score is the posterior of the predicted language with the
-    code lengths of texts over CONFIDENT_BYTES bytes scaled to that many.  Rows are kept as they are.
+    code lengths of texts over CONFIDENT_BYTES bytes scaled to that many.  One row per row of docs.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        names = np.array([*shared.value.languages, "und"], object)
+        judge = _Judge(shared.value)
         for batch in batches:
-            data, at = flat(batch.column(2))
-            letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(np.diff(at)):
-                size = np.diff(at[i : j + 1])
-                bits = scorer.lengths(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                best = bits.argmin(1) if bits.shape[1] else np.zeros(j - i, int)
-                part = np.minimum(1.0, CONFIDENT_BYTES / np.maximum(size, 1))
-                least = bits.min(1, initial=np.inf)
-                odds = np.exp2(-(bits - least[:, None]) * part[:, None]).sum(1)
-                ok = letters[i:j] & (size > 0) & (bits.shape[1] > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(names[np.where(ok, best, len(names) - 1)], pa.string()), pa.array(np.where(ok, 1 / np.maximum(odds, 1), 0.0)), pa.array(np.where(ok, least / np.maximum(size, 1), 0.0))],
-                    ["id", "lang_pred", "score", "bits_per_byte"],
-                )
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.rlike(r"\p{L}").alias("letters"), text.alias("text"))
+            for i, j, lang, score, bits in judge(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], ["id", "lang_pred", "score", "bits_per_byte"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language of the model; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(shared.value)
+        for batch in batches:
+            for i, j, lang, _, _ in judge(batch.column(batch.schema.get_field_index(text_col))):
+                yield batch.slice(i, j - i).filter(pa.array(lang != "und"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(digest("doc_id") % 4 != 2))
