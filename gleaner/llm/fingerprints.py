@@ -186,7 +186,7 @@ def _in_turn(docs: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")))
     )
     spread = dealt.select("id", "text", F.explode(copies).alias("c")).select("c.part", "id", "text", "c.own")
-    return spread.repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), F.desc("id"), "text")
+    return spread.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.desc("own"), F.desc("id"), "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,7 @@ def _model(rows: list) -> Model:
     """Frozen statistics from counts (lang, ord, gram, n)."""
     langs = sorted({r[0] for r in rows})
     own = {lang: k for k, lang in enumerate(langs)}
-    code, order, gram, n = (np.array([f(r) for r in rows]) for f in (lambda r: own[r[0]], lambda r: r[1], lambda r: r[2], lambda r: r[3]))
+    code, order, gram, n = (np.array([f(r) for r in rows], np.int64) for f in (lambda r: own[r[0]], lambda r: r[1], lambda r: r[2], lambda r: r[3]))
     trees: list[Tree] = []
     below, base = None, np.full((256, len(langs)), -8.0, np.float32)
     for k in range(ORDER + 1):
