@@ -25,10 +25,13 @@ from gleaner.llm.words import _LOWER, Words, flat, slices, words
 
 STATES, SYMBOLS, RARE, ROUNDS = 8, 4096, 256, 4
 TABLE = 1 << 18
-#: Longest stretch over which the expected counts run back and forth; scores are never cut.
-STRETCH = 1 << 16
-#: Tokens that the recursion takes side by side, and texts at most.
-TOGETHER, TEXTS = 1 << 18, 512
+#: Tokens over which the expected counts run back and forth; later stretches of a text start from the
+#: chain's stationary distribution.  Scores are never cut.
+STRETCH = 1024
+#: Cells of the grid of steps and texts that the recursion takes side by side: with expected counts, and without.
+TOGETHER, ALONG, TEXTS = 1 << 19, 1 << 22, 512
+#: Tokens gathered before they are scored, so that long texts find company of their length.
+GATHERED = 3_000_000
 END = 0x5DEECE66D
 _MARK = -1
 
@@ -113,12 +116,12 @@ def _rows(w: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "class", "n"])
 
 
-def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+def _groups(lengths: np.ndarray, cells: int) -> Iterator[np.ndarray]:
     """Sequences of like length, longest first in each group."""
     order = np.argsort(-lengths, kind="stable")
     i = 0
     while i < len(order):
-        size = int(max(1, min(TEXTS, TOGETHER // max(lengths[order[i]], 1))))
+        size = int(max(1, min(TEXTS, cells // max(lengths[order[i]], 1))))
         yield order[i : i + size]
         i += size
 
@@ -134,7 +137,7 @@ def _grid(symbols: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.nd
 def forward(model: Model, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of each non-empty sequence symbols[at[i]:at[i + 1]]."""
     out = np.zeros(len(at) - 1)
-    for group in _groups(np.diff(at)):
+    for group in _groups(np.diff(at), ALONG):
         grid, running = _grid(symbols, at, group)
         total = np.zeros(len(group))
         alpha = np.broadcast_to(model.start, (len(group), len(model.start)))
@@ -148,37 +151,50 @@ def forward(model: Model, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(model: Model, symbols: np.ndarray, at: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Adds the expected starts, moves and emissions of the sequences (Baum-Welch's first half)."""
+def stationary(moves: np.ndarray) -> np.ndarray:
+    now = np.full(len(moves), 1 / len(moves))
+    for _ in range(200):
+        now = now @ moves
+    return now / now.sum()
+
+
+def expected(model: Model, symbols: np.ndarray, at: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray], fresh: np.ndarray | None = None) -> None:
+    """Adds the expected starts, moves and emissions of the sequences (Baum-Welch's first half).
+
+    fresh: which sequences are starts of texts; the others continue one.  All, if None.
+    """
     starts, moves, emits = into
     k = len(model.start)
-    for group in _groups(np.diff(at)):
+    fresh = np.ones(len(at) - 1, bool) if fresh is None else fresh
+    usual = stationary(model.moves).astype(np.float32)
+    start, step, emit = (x.astype(np.float32) for x in model)
+    for group in _groups(np.diff(at), TOGETHER):
         grid, running = _grid(symbols, at, group)
         steps, size = grid.shape
-        alpha = np.zeros((steps, size, k))
-        now = np.broadcast_to(model.start, (size, k))
+        alpha = np.zeros((steps, size, k), np.float32)
+        now = np.where(fresh[group][:, None], start, usual)
         for t in range(steps):
             n = running[t]
-            now = (now[:n] @ model.moves if t else now) * model.emits[grid[t, :n]]
+            now = (now[:n] @ step if t else now) * emit[grid[t, :n]]
             now /= now.sum(1, keepdims=True)
             alpha[t, :n] = now
-        beta = np.ones((size, k))
-        back = model.moves.T
+        beta = np.ones((size, k), np.float32)
+        back = np.ascontiguousarray(step.T)
         for t in range(steps - 1, -1, -1):
             n = running[t]
             if t + 1 < steps and (m := running[t + 1]):
                 # beta holds, for the sequences that go on, the emission-weighted value of step t + 1
                 ahead = beta[:m]
-                pair = alpha[t, :m] @ model.moves
+                pair = alpha[t, :m] @ step
                 norm = (pair * ahead).sum(1, keepdims=True)
                 ahead = ahead / norm
-                moves += model.moves * (alpha[t, :m].T @ ahead)
+                moves += model.moves * (alpha[t, :m].T @ ahead).astype(np.float64)
                 beta[:m] = ahead @ back
             gamma = alpha[t, :n] * beta[:n]
             gamma /= gamma.sum(1, keepdims=True)
             alpha[t, :n] = gamma
-            beta[:n] *= model.emits[grid[t, :n]]
-        starts += alpha[0].sum(0)
+            beta[:n] *= emit[grid[t, :n]]
+        starts += alpha[0][fresh[group]].sum(0, dtype=np.float64)
         live = np.arange(size)[None, :] < running[:, None]
         flat_symbols, flat_gamma = grid[live], alpha[live]
         for s in range(k):
@@ -217,9 +233,8 @@ def train(texts: DataFrame, common: np.ndarray, weight: np.ndarray, rounds: int
             sums = (np.zeros(states), np.zeros((states, states)), np.zeros((size, states)))
             for _, data, w in _texts(batches, 0):
                 symbols, at, _ = code.sequences(find, data, w)
-                long = np.diff(at).max(initial=0) > STRETCH
-                cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(at[:-1], at[1:], strict=True)] + [at[-1:]]) if long else at
-                expected(shared.value, symbols, cuts, sums)
+                cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] + [at[-1:]])
+                expected(shared.value, symbols, cuts, sums, np.isin(cuts[:-1], at))
             every = np.concatenate([s.ravel() for s in sums])
             some = np.flatnonzero(every)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(every[some])], ["at", "v"])
@@ -283,24 +298,30 @@ def score_texts(docs: DataFrame, training: F.Column, id_col: str = "doc_id", tex
     def main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_n, common, model, within = known.value
         find, code, logs = Lookup(held), Words2Symbols(common), np.append(np.log10(held_n + 1.0), 0.0)
+        held_rows, held_symbols, held_at = [], [], [np.zeros(1, np.int64)]
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            symbols, at = np.concatenate(held_symbols), np.concatenate(held_at)
+            hmm, first = forward(model, symbols, at) if model is not None else np.zeros(len(at) - 1), 0
+            for ids, keys, n, seen, basic, inside in held_rows:
+                own = hmm[first : first + len(n)] + inside if model is not None else basic
+                first += len(n)
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(basic), pa.array(own)], ["id", "key", "n_tokens", "known", "base", "hmm"])
+
         for batch, data, w in _texts(batches, 2):
             symbols, at, own = code.sequences(find, data, w)
-            log = np.concatenate([[0.0], np.cumsum(logs[own])])
-            local = log[w.at[1:]] - log[w.at[:-1]]
-            seen = np.concatenate([[0], np.cumsum(own >= 0)])
-            end = np.log10(ends + 1.0)
-            hmm = np.zeros(batch.num_rows)
-            if model is not None:
-                rare_at = own >= len(common)
-                inside = np.where(rare_at | (own < 0), logs[own] - within[classes(data, w)], 0.0)
-                sums = np.concatenate([[0.0], np.cumsum(inside)])
-                hmm = forward(model, symbols, at) + sums[w.at[1:]] - sums[w.at[:-1]]
+            between = lambda values, w=w: (total := np.concatenate([[0.0], np.cumsum(values)]))[w.at[1:]] - total[w.at[:-1]]
+            rare_at = (own >= len(common)) | (own < 0)
+            inside = between(np.where(rare_at, logs[own] - within[classes(data, w)], 0.0))
             n = np.diff(at)
-            basic = local + end - n * base
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array((seen[w.at[1:]] - seen[w.at[:-1]] + (ends > 0)).astype(np.int64)), pa.array(basic), pa.array(hmm if model is not None else basic)],
-                ["id", "key", "n_tokens", "known", "base", "hmm"],
-            )
+            held_rows.append((batch.column(0), batch.column(1), n, between(own >= 0) + (ends > 0), between(logs[own]) + np.log10(ends + 1.0) - n * base, inside))
+            held_symbols.append(symbols.astype(np.int16))
+            held_at.append(at[1:] + held_at[-1][-1])
+            if held_at[-1][-1] >= GATHERED:
+                yield from scored()
+                held_rows, held_symbols, held_at = [], [], [np.zeros(1, np.int64)]
+        if held_rows:
+            yield from scored()
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of each text outside the table, with their number; and a mark for each row of the key."""
