@@ -57,6 +57,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def mostly_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (id, text) whose id is among ids, and a few others.
+
+    A filter of at most COARSE keys, whatever the input, keeps most other texts out of the shuffle to come.
+    """
+    coarse = F.pmod(F.xxhash64("id"), F.lit(COARSE)).alias("coarse")
+    return texts.withColumn("coarse", coarse).join(F.broadcast(ids.select(coarse).distinct()), "coarse", "left_semi").drop("coarse")
+
+
+def of_ids(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (id, text) whose id is among ids."""
+    return mostly_of(ids, texts).join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def meet(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Brings the texts (id, text) of pairs (a, b) of ids together: rows (b, part, own, a, text) in tasks
     sorted so that the text of b, with own 0, comes before those of its partners a, with own 1.
@@ -64,12 +78,10 @@ def meet(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     The partners of b are dealt over parts of about PART, each with its own copy of b's text, so that
     every text moves about once and no b gathers all its partners in one task.
     """
+    pairs = settle(pairs)
     load = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     against = pairs.join(load, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("own"))
     bases = load.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"))
     wanted = settle(against.union(bases))
-    # most texts have no partner: a filter of at most COARSE keys, whatever the input, keeps them out of the shuffle
-    coarse = F.pmod(F.xxhash64("id"), F.lit(COARSE)).alias("coarse")
-    some = texts.withColumn("coarse", coarse).join(F.broadcast(wanted.select(coarse).distinct()), "coarse", "left_semi").drop("coarse")
-    rows = wanted.join(some, "id").select("b", "part", "own", F.col("id").alias("a"), "text")
+    rows = wanted.join(mostly_of(wanted, texts), "id").select("b", "part", "own", F.col("id").alias("a"), "text")
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "own")

@@ -8,8 +8,8 @@ the full shingle sets decide.
 
 Hot groups stay linear.  Equal sets collapse to one node first.  Within a bucket every set is paired
 with the least one only; once those links have made components, the buckets that still hold more than
-one component are compared across components in blocks of bounded size inside the tasks, which emit
-the few pairs whose likelihood passes and never all pairs.
+one component are compared across components in blocks of bounded size inside the tasks, by exact
+intersection counts, and only links that join components leave a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, meet, settle, table
+from gleaner.llm.common import components, meet, of_ids, settle, table
 from gleaner.llm.words import flat, mix, shingle_set, shingles, slices, words
 
 BANDS, ROWS = 30, 5
@@ -30,8 +30,10 @@ REGISTERS = BANDS * ROWS
 LEVEL = 1.001
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is given up (about 5.5 sigma).
 SLACK = 15.0
-#: Sets of a bucket that one task compares with as many others at once.
-BLOCK = 256
+#: Sets of a bucket, and shingles of theirs, that are compared with as many others at once, about.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Columns of the membership matrices multiplied at once.
+COLUMNS = 8192
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -121,28 +123,70 @@ def _screen(threshold: float):
     return run
 
 
-def _across(threshold: float):
-    """Pairs of one block whose components differ and whose likelihood passes."""
+def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingle set with 32 bits of each hash, for screening in blocks."""
+    for batch in batches:
+        sets = [(shingle_set(t.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["set_id", "small"])
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, by products of membership matrices."""
+    every, back = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(s) for s in (*one, *two)])
+    often = np.flatnonzero(np.bincount(back, minlength=len(every)) > 1)  # a hash held once is in no intersection
+    place = np.full(len(every), -1)
+    place[often] = np.arange(len(often))
+    at = place[back]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for c in range(0, len(often), COLUMNS):
+        i, j = np.searchsorted(at, [c, c + COLUMNS])
+        held = np.zeros((len(one) + len(two), min(COLUMNS, len(often) - c)), np.float32)
+        held[row[i:j], at[i:j] - c] = 1
+        out += held[: len(one)] @ held[len(one) :].T
+    return out
+
+
+def _linked(numerator: int, denominator: int):
+    """Pairs (a, b) of different components in one block whose small sets reach the threshold.
+
+    Pairs beyond doubt are thinned to those that join components not joined yet in the block; pairs that a
+    chance collision of small hashes could decide all go on to the full sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = []
+            found: list[tuple[int, int]] = []
             for left, right, members in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.array([m["set_id"] for m in members])
-                comp, n, side = (np.array([m[k] for m in members]) for k in ("component", "n", "block"))
-                regs = np.frombuffer(b"".join(m["regs"] for m in members), np.uint16).reshape(-1, REGISTERS)
-                one, two = np.flatnonzero(side == left), np.flatnonzero(side == right)
-                for x in one.tolist():
-                    ys = two[(comp[two] != comp[x]) & ((left != right) | (ids[two] > ids[x]))]
-                    ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-9]
-                    if len(ys):
-                        near = ys[(regs[ys] == regs[x]).sum(1) >= 0.5 * REGISTERS]
-                        if len(near):
-                            ok = plausible(np.broadcast_to(regs[x], (len(near), REGISTERS)), regs[near], np.full(len(near), n[x]), n[near], threshold) > 0
-                            pair = np.stack([np.full(ok.sum(), ids[x]), ids[near[ok]]], 1)
-                            found.append(np.stack([pair.max(1), pair.min(1)], 1))
-            rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0], pa.int64()), pa.array(rows[:, 1], pa.int64())], ["a", "b"])
+                one, two = ([m for m in members if m["block"] == side] for side in (left, right))
+                sets = [[np.frombuffer(m["small"], np.uint32) for m in side] for side in (one, two)]
+                if not one or not two:
+                    continue
+                both = shared_counts(*sets)
+                total = np.array([m["n"] for m in one])[:, None] + np.array([m["n"] for m in two])[None, :]
+                passes = lambda n, total=total: denominator * n >= numerator * (total - n)
+                apart = np.array([m["component"] for m in one])[:, None] != np.array([m["component"] for m in two])[None, :]
+                root: dict[int, int] = {}
+
+                def top(c: int, root=root) -> int:
+                    while (up := root.get(c, c)) != c:
+                        c = up
+                    return c
+
+                sure = passes(both - 2)
+                for i, j in np.argwhere(apart & passes(both + 2)).tolist():
+                    a, b = one[i], two[j]
+                    if sure[i, j]:
+                        x, y = top(a["component"]), top(b["component"])
+                        if x == y:
+                            continue
+                        root[max(x, y)] = min(x, y)
+                    found.append((max(a["set_id"], b["set_id"]), min(a["set_id"], b["set_id"])))
+            rows = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
     return run
 
@@ -204,18 +248,15 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     first = settle(components(links))
 
     owner = shared.select("band", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = owner.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = (
-        owner.join(mixed.select("band", "size"), "band")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(sets.select("set_id", "n", "regs"), "set_id")
-    )
-    blocks = members.groupBy("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).agg(
-        F.collect_list(F.struct("set_id", "component", "n", "block", "regs")).alias("members")
+    sized = owner.join(sets.select("set_id", "n"), "set_id")
+    mixed = sized.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("size")).where("low < high")
+    members = settle(sized.join(mixed.select("band", F.ceil("size").cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")))
+    small = settle(of_ids(members.select(F.col("set_id").alias("id")).distinct(), texts).mapInArrow(_small_sets, "set_id long, small binary").dropDuplicates(["set_id"]))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(small, "set_id")
+    blocks = spread.groupBy("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).agg(
+        F.collect_list(F.struct("set_id", "component", "n", "block", "small")).alias("members")
     )
-    across = blocks.select("left", "right", "members").mapInArrow(_across(threshold), "a long, b long").distinct()
+    across = blocks.select("left", "right", "members").mapInArrow(_linked(numerator, denominator), "a long, b long").distinct()
     more = settle(confirm(across.join(best, ["a", "b"], "left_anti"), texts, numerator, denominator))
     last = components(links.union(more)) if more.take(1) else first
     owned = sets.select("k1", "k2", "set_id").join(last.withColumnRenamed("node", "set_id"), "set_id", "left")
