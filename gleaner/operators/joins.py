@@ -13,6 +13,7 @@ def closed_edges(edges: DataFrame, nodes: DataFrame, source: str, target: str, n
         edges.select(source, target).distinct()
         .join(once.select(F.col(node).alias(source)), source, "left_semi")
         .join(once.select(F.col(node).alias(target)), target, "left_semi")
+        .select(source, target)
     )
 
 

@@ -19,7 +19,7 @@ def weighted_terms(tasks: DataFrame, task: str, text: str, most: int = 32) -> Da
     quoted = F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), lambda w: F.struct(w.alias("w"), F.lit(16).alias("weight")))
     bare = F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, "^[./]+|[./]+$", "")), lambda w: F.length(w) > 1)
     plain = F.transform(bare, lambda w: F.struct(w.alias("w"), F.when(w.rlike("[a-z0-9][A-Z]|[_./]"), 10).when(w.rlike("^[A-Z]"), 4).otherwise(2).alias("weight")))
-    found = tasks.select(task, F.posexplode(F.concat(quoted, plain)).alias("pos", "t")).select(task, "pos", F.lower("t.w").alias("term"), "t.weight")
+    found = tasks.select(task, F.posexplode(F.concat(quoted, plain)).alias("pos", "__t")).select(task, "pos", F.lower("__t.w").alias("term"), "__t.weight")
     once = found.groupBy(task, "term").agg(F.max("weight").alias("w"), F.count("*").alias("times"), F.min("pos").alias("pos"))
     boost = F.when((F.col("times") > 1) & (F.col("w") < 8), F.least(F.lit(8), F.col("w") + (F.col("times") - 1) * F.when(F.col("w") >= 4, 4).otherwise(2))).otherwise(F.col("w"))
     return top_k(once.select(task, "term", boost.cast("int").alias("weight"), "times", "pos"), [task], [F.desc("weight"), F.desc("times"), F.col("pos"), F.col("term")], most, "position").drop("pos")

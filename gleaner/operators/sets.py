@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the folder the cluster names in spark.checkpoint.dir."""
+    """Compute df once and cut its lineage: a Parquet table in the folder the cluster names in
+    spark.checkpoint.dir, so that the next plan knows its true size."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def difference(every: DataFrame, chosen: DataFrame, on: list[str], scope: list[str], sample: str, samples: int = 5) -> DataFrame:
