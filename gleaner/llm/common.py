@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewrite(df: DataFrame) -> DataFrame:
+    """settle() through a Parquet table in the same folder, for loops: a checkpoint keeps the size that the
+    optimizer guessed, and guesses of joins upon joins multiply round by round until they burst."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        settle(df.limit(0))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def digest(col: str) -> F.Column:
     """crc32 of an id written as text, for the contracts' held-out folds."""
     return F.crc32(F.col(col).cast("string"))
@@ -48,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settle(small.union(root.select("u", F.col("m").alias("v"))).distinct())
+        now = rewrite(small.union(root.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
