@@ -50,8 +50,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the text decoded from them."""
-    return bpe.token_digests(docs)
+    """Token counts and digests of the ids and of the text decoded from them.
+
+    The encoder's memo is small here: its workers go on to other stages and keep it.
+    """
+    return bpe.token_digests(docs, pieces=100_000)
 
 
 STAGES = [
