@@ -232,8 +232,11 @@ def encoder(path: str, pattern: str, pieces: int = PIECES) -> Encoder:
     return made
 
 
-def digests(path: str, pattern: str, pieces: int = PIECES):
-    """mapInArrow function: (id, text) to the token count, the ids' digest and the decoded text's digest."""
+def digests(path: str, pattern: str, pieces: int = PIECES, forget: bool = False):
+    """mapInArrow function: (id, text) to the token count, the ids' digest and the decoded text's digest.
+
+    forget: the worker drops its encoder when a task ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern, pieces)
@@ -253,6 +256,11 @@ def digests(path: str, pattern: str, pieces: int = PIECES):
                 id_hashes.append(ids_sha.hexdigest())
                 text_hashes.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if forget:
+            del code, of
+            encoder.cache_clear()
+            gc.unfreeze()
+            gc.collect()
 
     return run
 
@@ -284,17 +292,18 @@ def decode_tokens(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", pieces: int = PIECES) -> DataFrame:
+def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", pieces: int = PIECES, forget: bool = False) -> DataFrame:
     """Encodes every text and decodes its ids again: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty (no tokens).  One pass over the rows without a shuffle; a task holds
-    one Arrow batch, the ids of at most RUN pieces, and a memo of `pieces` pieces, which changes the speed alone.  Repeated ids and rows give a row each.
+    one Arrow batch, the ids of at most RUN pieces, and a memo of `pieces` pieces, which
+    changes the speed alone; with `forget` a worker drops it at the end of each task.  Repeated ids and rows give a row each.
     """
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digests(path, pattern, pieces), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(digests(path, pattern, pieces, forget), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
