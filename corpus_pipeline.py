@@ -52,9 +52,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them.
 
-    The encoder's memo is small here: its workers go on to other stages and keep it.
+    The encoder's memo is small here and goes with the task: its workers go on to other stages.
     """
-    return bpe.token_digests(docs, pieces=100_000)
+    return bpe.token_digests(docs, pieces=200_000, forget=True)
 
 
 STAGES = [
