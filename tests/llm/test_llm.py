@@ -156,6 +156,19 @@ def test_a_passage_is_found_though_the_first_holder_has_only_a_part(spark):
     assert [(r["doc_id"], r["match_id"], r["start_word"], r["end_word"]) for r in found] == [(9, 5, 0, 64)]
 
 
+def test_passages_are_found_though_an_earlier_text_holds_their_middle(spark):
+    """A fragment in an earlier text must not take all the signatures of an exact copy."""
+    rnd = random.Random(15)
+    rows, want = [], set()
+    for k in range(40):
+        passage = [rnd.choice(VOCABULARY) for _ in range(50)]
+        rows.append((3 * k, f"{sentence(rnd, 30)} {' '.join(passage[3:48])} {sentence(rnd, 30)}"))
+        rows += [(3 * k + m, f"{sentence(rnd, 30)} {' '.join(passage)} {sentence(rnd, 30)}") for m in (1, 2)]
+        want.add((3 * k + 2, 3 * k + 1))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["match_id"]) for r in found if r["similarity"] == 1} >= want
+
+
 def test_removal_keeps_the_other_words(spark, docs, empty, corpus):
     found = passages.repeated_passages(docs)
     left = by_id(passages.remove_repeats(docs, found))
