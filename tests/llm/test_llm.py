@@ -14,7 +14,8 @@ import pytest
 import corpus_pipeline
 from gleaner.llm import bpe, decontaminate, fingerprints, hmm, language, licenses, near_dedup, passages, quality, registry, token_counts
 from gleaner.llm.common import components
-from gleaner.llm.words import shingle_set
+from gleaner.llm.words import shingle_set, words
+from gleaner.llm.words import shingles as hashed
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, JSON = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
@@ -169,6 +170,29 @@ def test_passages_are_found_though_an_earlier_text_holds_their_middle(spark):
     assert {(r["doc_id"], r["match_id"]) for r in found if r["similarity"] == 1} >= want
 
 
+def between(a, b):
+    """passages() of two texts."""
+    code = [t.encode() for t in (a, b)]
+    x, y = (hashed(words(np.frombuffer(c, np.uint8), np.array([0, len(c)])))[0] for c in code)
+    return passages.passages(x, y, a == b)
+
+
+def test_passages_align_over_all_places_of_the_other_text(spark):
+    rnd = random.Random(16)
+    line = sentence(rnd, 6)
+    texts = [f"{sentence(rnd, 20)} {' '.join([line] * 10)} {sentence(rnd, 20)}" for _ in range(2)]
+    assert [p[:2] for p in between(texts[1], texts[0])] == [(20, 80)]
+    often = " ".join([line] * 20)
+    assert set().union(*(range(*p[:2]) for p in between(often, often))) >= set(range(54, 120))
+    assert all(p[3] <= p[0] for p in between(often, often))
+    part = sentence(rnd, 30)
+    passage = f"{sentence(rnd, 20)} {part} {sentence(rnd, 20)}"
+    assert [p[:2] for p in between(f"{sentence(rnd, 9)} {passage}", f"{part} {sentence(rnd, 40)} {passage}")] == [(9, 79)]
+    rows = [(0, texts[0]), (1, texts[1]), (2, often)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["match_id"]) for r in found} >= {(1, 0), (2, 2)}
+
+
 def test_removal_keeps_the_other_words(spark, docs, empty, corpus):
     found = passages.repeated_passages(docs)
     left = by_id(passages.remove_repeats(docs, found))
