@@ -193,6 +193,23 @@ def test_passages_align_over_all_places_of_the_other_text(spark):
     assert {(r["doc_id"], r["match_id"]) for r in found} >= {(1, 0), (2, 2)}
 
 
+def test_near_passages_match_brute_force():
+    """Passages with words inserted, removed or changed in the middle are found where they reach 0.8."""
+    rnd, held = random.Random(17), 0
+    for _ in range(300):
+        n = rnd.randint(55, 130)
+        copy = passage = sentence(rnd, n).split()
+        kind, many = rnd.choice(["insert", "remove", "change"]), rnd.randint(1, 20)
+        at = rnd.randint(n // 4, n - n // 4)
+        copy = passage[:at] + (sentence(rnd, many).split() if kind != "remove" else []) + passage[at + (many if kind != "insert" else 0) :]
+        a, b = (set(shingles(" ".join(t))) for t in (copy, passage))
+        if len(copy) >= 50 and len(a & b) / len(a | b) >= 0.8:
+            held += 1
+            first, second = f"{sentence(rnd, 20)} {' '.join(passage)} {sentence(rnd, 20)}", f"{sentence(rnd, 30)} {' '.join(copy)} {sentence(rnd, 20)}"
+            assert (30, 30 + len(copy)) in [p[:2] for p in between(second, first)], (kind, many, n, at)
+    assert held >= 100
+
+
 def test_removal_keeps_the_other_words(spark, docs, empty, corpus):
     found = passages.repeated_passages(docs)
     left = by_id(passages.remove_repeats(docs, found))
