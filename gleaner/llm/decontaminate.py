@@ -4,7 +4,9 @@ Every item is cut into windows of a size class fit for its length, at every plac
 into windows of the same sizes at a stride short enough that a copied item holds whole document windows.
 Windows are compared as 64-bit SimHash fingerprints of their word shingles.  A multi-index finds all
 item fingerprints within RADIUS bits: of four 16-bit blocks at least one differs in at most one bit, and
-the index lists each item window under all such values.  Candidates are decided by the weighted Jaccard
+the index lists each item window under all such values.  An item that reaches the threshold in spite of
+words changed, added or removed in its middle has an unbroken part: windows of a small size find it by
+equal fingerprints.  Candidates are decided by the weighted Jaccard
 similarity of shingle counts over the aligned stretch of the document.
 
 One pass over the documents and no shuffle; items travel to the tasks in blocks of bounded size.
@@ -26,6 +28,9 @@ from gleaner.llm.words import SHINGLE, flat, mix, shingles, slices, words
 #: Window sizes in shingles, each with the documents' stride.
 SIZES = ((1, 1), (2, 1), (4, 1), (6, 2), (9, 3), (14, 4), (21, 6), (32, 8), (48, 12), (72, 18), (108, 27), (162, 40), (243, 60))
 RADIUS = 7
+#: Window size and stride for unbroken parts: with m breaks similarity 0.8 needs 40 m shingles, which leaves one part of
+#: 17 or more; items of fewer than 40 shingles have no break inside.
+PART = (14, 4)
 #: Bytes of item texts that go to the tasks at once.
 BLOCK_BYTES = 4 << 20
 #: Bytes of documents fingerprinted at once; the shingles' bits take a few hundred times the shingle count.
@@ -49,6 +54,7 @@ class Items(NamedTuple):
     grams: list[np.ndarray]
     weights: list[dict[int, int]]
     indexes: list[Index]
+    parts: tuple[np.ndarray, np.ndarray, np.ndarray]  # fingerprints of PART windows in order, item, place
 
 
 def size_class(n: int) -> tuple[int, int]:
@@ -98,7 +104,13 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
             listed.append((order // len(flips)).astype(np.int32))
         indexes.append(Index(size, stride, every, item, place, first, listed))
     weights = [dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True)) for g in grams]
-    return Items(ids, grams, weights, indexes)
+    of = [k for k, own in enumerate(grams) if len(own) >= PART[0] + PART[1] - 1]
+    fps = [prints(bits_before(mix(grams[k])), np.arange(len(grams[k]) - PART[0] + 1), PART[0]) for k in of]
+    every = np.concatenate([np.zeros(0, np.uint64), *fps])
+    order = np.argsort(every, kind="stable")
+    item = np.repeat(np.array(of, np.int64), [len(f) for f in fps])
+    place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(f)) for f in fps)])
+    return Items(ids, grams, weights, indexes, (every[order], item[order], place[order]))
 
 
 def lookup(index: Index, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +135,14 @@ def lookup(index: Index, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair[:, 0], pair[:, 1]
 
 
+def equal_parts(items: Items, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (position in fps, item window of PART) with equal fingerprints."""
+    low, high = (np.searchsorted(items.parts[0], fps, side) for side in ("left", "right"))
+    n = high - low
+    hit = np.repeat(np.arange(len(fps)), n)
+    return hit, np.arange(len(hit)) - np.repeat(np.cumsum(n) - n - low, n)
+
+
 def similarity(grams: list[int], weight: dict[int, int]) -> float:
     """Weighted Jaccard: shared counts over the greater counts."""
     own: dict[int, int] = {}
@@ -155,14 +175,17 @@ def find(items: Items, data: np.ndarray, at: np.ndarray, threshold: float) -> li
     before = bits_before(mix(own))
     row = np.repeat(np.arange(len(at) - 1), np.diff(own_at))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for index in items.indexes:
-        starts = np.arange(0, len(own) - index.size + 1, index.stride)
-        starts = starts[row[starts] == row[starts + index.size - 1]]
+    for index in (*items.indexes, None):
+        size, stride = (index.size, index.stride) if index else PART
+        starts = np.arange(0, len(own) - size + 1, stride)
+        starts = starts[row[starts] == row[starts + size - 1]]
         if not len(starts):
             continue
-        hit, window = lookup(index, prints(before, starts, index.size))
-        begin = starts[hit] - index.place[window]
-        tries = {(int(r), int(i), int(b)) for r, i, b in zip(row[starts[hit]], index.item[window], begin, strict=True)}
+        fps = prints(before, starts, size)
+        hit, window = lookup(index, fps) if index else equal_parts(items, fps)
+        item, place_of = (index.item, index.place) if index else items.parts[1:]
+        begin = starts[hit] - place_of[window]
+        tries = {(int(r), int(i), int(b)) for r, i, b in zip(row[starts[hit]], item[window], begin, strict=True)}
         for r, i, b in sorted(tries):
             mine = own[own_at[r] : own_at[r + 1]]
             s, place, n = best_match(mine, b - int(own_at[r]), items.grams[i], items.weights[i])

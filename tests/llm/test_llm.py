@@ -265,6 +265,27 @@ def test_contaminations_match_brute_force(spark, docs, empty):
     assert decontaminate.contaminations(docs, bench.where("false")).count() == 0
 
 
+def test_items_with_changes_in_the_middle_are_found():
+    """Words changed, added and removed in the middle of items, against the similarity of the whole stretch."""
+    rnd, held, found = random.Random(18), set(), set()
+    items = [(k, sentence(rnd, rnd.randint(44, 140))) for k in range(120)]
+    index = decontaminate.prepare(items)
+    for k, item in items:
+        copy = item.split()
+        for m in range(rnd.randint(1, 3)):
+            at = (2 * m + 1) * len(copy) // 6 if m else len(copy) // 2
+            kind = rnd.choice(["change", "add", "remove"])
+            copy[at : at + (kind != "add")] = [f"new{m}"] if kind != "remove" else []
+            own, weight = (Counter(shingles(" ".join(t))) for t in (copy, item.split()))
+            both = sum((own & weight).values())
+            if both / (sum(own.values()) + sum(weight.values()) - both) < 0.8:
+                break
+            text = f"{sentence(rnd, 33)} {' '.join(copy)} {sentence(rnd, 21)}".encode()
+            held.add((k, m))
+            found |= {(k, m) for _, i, *_ in decontaminate.find(index, np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0.8) if i == k}
+    assert found == held and len(held) >= 60
+
+
 def test_multi_index_guarantees_the_radius():
     rng = np.random.default_rng(8)
     items = decontaminate.prepare([(k, " ".join(f"q{x}" for x in rng.integers(0, 10**6, 40))) for k in range(30)])
