@@ -6,8 +6,12 @@ best rows of each salt before the group meets in one window.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SALTS = 32
 
@@ -73,19 +77,28 @@ def largest_fit(rows: DataFrame, scope: list[str], order: list[Column], size: st
 def greedy_batches(rows: DataFrame, scope: list[str], order: list[str], size: str, most_rows: int, most_size: int) -> DataFrame:
     """Batches filled in order: a row that would pass either limit opens the next one.
 
-    Adds batch (from 1).  Sequential within a scope, so a scope must fit a task; scopes run side by side.
+    Adds batch (from 1).  A scope is folded in one task from sorted batches: only its running batch is held,
+    never its rows.
     """
-    item = F.struct(*order, *(c for c in rows.columns if c not in {*order, *scope}))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["batch"] == 0) | (s["n"] + 1 > most_rows) | (s["bytes"] + x[size] > most_size)
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, F.lit(1)).otherwise(s["n"] + 1).cast("long").alias("n"), F.when(full, x[size]).otherwise(s["bytes"] + x[size]).cast("long").alias("bytes"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    held = rows.groupBy(*scope).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    packed = held.withColumn("__batches", F.aggregate("__items", start, step)["out"])
-    return packed.select(*scope, F.explode(F.arrays_zip("__items", "__batches")).alias("__z")).select(*scope, "__z.__items.*", F.col("__z.__batches").alias("batch"))
+    columns = [*scope, *order, *(c for c in rows.columns if c not in {*order, *scope})]
+    at = [columns.index(c) for c in (*scope, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, batch, n, total = None, 0, 0, 0
+        for part in batches:
+            out = []
+            for *key, z in zip(*(part.column(k).to_pylist() for k in at), strict=True):
+                if key != held:
+                    held, batch = key, 0
+                # a missing size passes no limit, and unknown totals none until the next batch
+                full = batch == 0 or n + 1 > most_rows or (total is not None and z is not None and total + z > most_size)
+                batch, n = (batch + 1, 1) if full else (batch, n + 1)
+                total = z if full else None if total is None or z is None else total + z
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], [*part.schema.names, "batch"])
+
+    ordered = rows.select(*columns).repartition(*scope).sortWithinPartitions(*scope, *columns[len(scope) :])
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def unique_winner(rows: DataFrame, key: list[str], tier: str, candidate: str, strict_tiers: int = 2) -> DataFrame:

@@ -87,6 +87,10 @@ def test_ledger_identity_and_partitioning(spark):
 def test_batches_budgets_and_winners(spark):
     df = spark.createDataFrame([("a", k, s) for k, s in enumerate([5, 5, 9, 1, 1, 1])], "g string, k int, size int")
     assert [r["batch"] for r in R.greedy_batches(df, ["g"], ["k"], "size", 3, 10).orderBy("k").collect()] == [1, 1, 2, 2, 3, 3]
+    big = df.sparkSession.range(150_000).selectExpr("0 AS g", "id AS k", "1L AS size")
+    batches = R.greedy_batches(big, ["g"], ["k"], "size", 3, 10)
+    assert "collect_list" not in batches._jdf.queryExecution().toString()  # a scope's rows never meet in one row
+    assert batches.where("batch <> k div 3 + 1").count() == 0 and batches.count() == 150_000
     assert rows(R.largest_fit(df, ["g"], [F.col("k")], "size", 10)) == [("a", 2, 10)] and rows(R.largest_fit(df, ["g"], [F.col("k")], "size", 4)) == [("a", 0, 0)]
     tiers = spark.createDataFrame([("x", 0, "p"), ("x", 0, "q"), ("x", 1, "r"), ("y", 1, "s"), ("z", 3, "t"), ("z", 3, "u"), ("z", 4, "v"), ("w", 3, "a"), ("w", 3, "b")], "k string, tier int, c string")
     assert rows(R.unique_winner(tiers, ["k"], "tier", "c")) == [("w", "unresolved", None), ("x", "ambiguous", None), ("y", "resolved", "s"), ("z", "resolved", "v")]
