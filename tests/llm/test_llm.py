@@ -452,6 +452,118 @@ def test_licenses_against_plain_matching(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+APACHE = """// Copyright 2021 Some Body
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+package main
+"""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def test_whole_published_licenses_are_known(spark):
+    """As published, in comments, unwrapped, and one after the other; and not with a word changed."""
+    texts = {"MIT": MIT, "BSD-3-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "MPL-2.0": MPL, "Unlicense": UNLICENSE}
+    rows, want = [], {}
+    for name, text in texts.items():
+        for form in (text, "\n".join("# " + line for line in text.split("\n")), re.sub(r"(?<!\n)\n(?!\n)", " ", re.sub(r"(?m)^[ #/*]+", "", text)), "Some words before\n" + text.upper() + "\nand after"):
+            rows.append((len(rows), form))
+            want[len(rows) - 1] = ([name], 1)
+    rows.append((len(rows), "".join(texts.values())))
+    want[len(rows) - 1] = (list(texts), len(texts))
+    rows.append((len(rows), MIT.replace("sublicense", "sell on").replace("copies or substantial", "some")))
+    want[len(rows) - 1] = ([], 0)
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (list(r["licenses"]), r["n_matches"]) for r in found} == want
+
+
+def test_every_sentence_and_rule_can_match(spark):
+    rows = [(i, s) for i, of in licenses.SENTENCES.items() for s in of]
+    found = licenses.scan_licenses(spark.createDataFrame([(k, s + ".") for k, (_, s) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["sentence_ids"]) for r in found} == {k: [i] for k, (i, _) in enumerate(rows)}
+    runs = [(k, ".\n".join(licenses.SENTENCES[i][0] for i in run)) for k, (_, run) in enumerate(licenses.RULES)]
+    found = licenses.scan_licenses(spark.createDataFrame(runs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (list(r["licenses"]), r["n_matches"]) for r in found} == {k: ([name], 1) for k, (name, _) in enumerate(licenses.RULES)}
+
+
 def test_language_scores(spark, docs, empty):
     rnd = random.Random(3)
     words = {"xx": ["aba", "bab", "abba", "baa"], "yy": ["cdc", "ddc", "ccd", "dcd"]}
