@@ -25,15 +25,15 @@ from gleaner.llm.words import _LOWER, Words, flat, slices, words
 
 STATES, SYMBOLS, RARE, ROUNDS = 8, 4096, 256, 4
 TABLE = 1 << 18
-#: Tokens over which the expected counts run back and forth; later stretches of a text start from the
-#: chain's stationary distribution.  Scores are never cut.
-STRETCH = 1024
+#: Tokens over which the expected counts run back and forth at once.  What a stretch takes over from the text on
+#: either side is worked out over WARM tokens and then twice as many again and again, until it changes by less than
+#: SETTLED or reaches the text's end.
+STRETCH, WARM, SETTLED = 1024, 64, 1e-5
 #: Cells of the grid of steps and texts that the recursion takes side by side: with expected counts, and without.
 TOGETHER, ALONG, TEXTS = 1 << 19, 1 << 22, 512
 #: Tokens gathered before they are scored, so that long texts find company of their length.
 GATHERED = 3_000_000
 END = 0x5DEECE66D
-_MARK = -1
 
 _BYTES = _LOWER.astype(np.uint8)
 
@@ -158,28 +158,85 @@ def stationary(moves: np.ndarray) -> np.ndarray:
     return now / now.sum()
 
 
-def expected(model: Model, symbols: np.ndarray, at: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray], fresh: np.ndarray | None = None) -> None:
+def _carried(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, value: np.ndarray, toward: int, update) -> np.ndarray:
+    """value of each sequence after update() by its `size` symbols from `first` on, going on (1) or back (-1)."""
+    some = np.flatnonzero(size)
+    for part in _groups(size[some], ALONG):
+        group = some[part]
+        n = size[group]
+        steps = np.arange(n[0])
+        grid = symbols[first[group][None, :] + toward * np.minimum(steps[:, None], n[None, :] - 1)]
+        running = np.searchsorted(-n, -steps, side="left")
+        now = value[group]
+        for t in range(n[0]):
+            m = running[t]
+            now[:m] = update(now[:m], grid[t, :m])
+            now[:m] /= now[:m].sum(1, keepdims=True)
+        value[group] = now
+    return value
+
+
+def _settled(run, most: np.ndarray) -> np.ndarray:
+    """run(which, width) over doubling widths, up to `most`, until the values hardly change."""
+    width = WARM
+    value, rest = run(np.arange(len(most)), width), np.flatnonzero(most > width)
+    while len(rest):
+        width *= 2
+        new = run(rest, width)
+        moved = np.abs(new - value[rest]).max(1) > SETTLED
+        value[rest] = new
+        rest = rest[moved & (most[rest] > width)]
+    return value
+
+
+def expected(model: Model, symbols: np.ndarray, at: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adds the expected starts, moves and emissions of the sequences (Baum-Welch's first half).
 
-    fresh: which sequences are starts of texts; the others continue one.  All, if None.
+    Sequences go in stretches side by side, each with the forward and backward values of the text around it.
     """
     starts, moves, emits = into
     k = len(model.start)
-    fresh = np.ones(len(at) - 1, bool) if fresh is None else fresh
+    lengths = np.diff(at)
+    parts = -(-lengths // STRETCH)
+    of = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = np.append(at[of] + number * STRETCH, at[-1:])
+    begin, end = at[of], at[of + 1]
     usual = stationary(model.moves).astype(np.float32)
     start, step, emit = (x.astype(np.float32) for x in model)
-    for group in _groups(np.diff(at), TOGETHER):
-        grid, running = _grid(symbols, at, group)
+    back = np.ascontiguousarray(step.T)
+
+    def before(which: np.ndarray, width: int) -> np.ndarray:
+        """Forward values just before the stretches, from `width` tokens on."""
+        place = cuts[:-1][which]
+        first = np.maximum(begin[which], place - width)
+        whole = first == begin[which]
+        value = np.where(whole[:, None], start * emit[symbols[first]], usual)
+        value /= value.sum(1, keepdims=True)
+        return _carried(symbols, first + whole, place - first - whole, value, 1, lambda v, s: (v @ step) * emit[s])
+
+    def after(which: np.ndarray, width: int) -> np.ndarray:
+        """Backward values at the stretches' ends, from `width` tokens beyond."""
+        place = cuts[1:][which]
+        size = np.minimum(end[which], place + width) - place
+        return _carried(symbols, place + size - 1, size, np.full((len(which), k), 1 / k, np.float32), -1, lambda v, s: (v * emit[s]) @ back)
+
+    fresh, last = begin == cuts[:-1], end == cuts[1:]
+    old, on = np.flatnonzero(~fresh), np.flatnonzero(~last)
+    inflow, outflow = np.zeros((len(of), k), np.float32), np.ones((len(of), k), np.float32)
+    inflow[old] = _settled(lambda r, w: before(old[r], w), cuts[:-1][old] - begin[old])
+    outflow[on] = _settled(lambda r, w: after(on[r], w), end[on] - cuts[1:][on])
+    for group in _groups(np.diff(cuts), TOGETHER):
+        grid, running = _grid(symbols, cuts, group)
         steps, size = grid.shape
         alpha = np.zeros((steps, size, k), np.float32)
-        now = np.where(fresh[group][:, None], start, usual)
+        now = np.where(fresh[group][:, None], start, inflow[group] @ step)
         for t in range(steps):
             n = running[t]
             now = (now[:n] @ step if t else now) * emit[grid[t, :n]]
             now /= now.sum(1, keepdims=True)
             alpha[t, :n] = now
-        beta = np.ones((size, k), np.float32)
-        back = np.ascontiguousarray(step.T)
+        beta = outflow[group]
         for t in range(steps - 1, -1, -1):
             n = running[t]
             if t + 1 < steps and (m := running[t + 1]):
@@ -194,6 +251,9 @@ def expected(model: Model, symbols: np.ndarray, at: np.ndarray, into: tuple[np.n
             gamma /= gamma.sum(1, keepdims=True)
             alpha[t, :n] = gamma
             beta[:n] *= emit[grid[t, :n]]
+        entered = ~fresh[group]
+        ahead = beta[entered] / ((inflow[group][entered] @ step) * beta[entered]).sum(1, keepdims=True)
+        moves += model.moves * (inflow[group][entered].T @ ahead).astype(np.float64)
         starts += alpha[0][fresh[group]].sum(0, dtype=np.float64)
         live = np.arange(size)[None, :] < running[:, None]
         flat_symbols, flat_gamma = grid[live], alpha[live]
@@ -233,8 +293,7 @@ def train(texts: DataFrame, common: np.ndarray, weight: np.ndarray, rounds: int
             sums = (np.zeros(states), np.zeros((states, states)), np.zeros((size, states)))
             for _, data, w in _texts(batches, 0):
                 symbols, at, _ = code.sequences(find, data, w)
-                cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] + [at[-1:]])
-                expected(shared.value, symbols, cuts, sums, np.isin(cuts[:-1], at))
+                expected(shared.value, symbols, at, sums)
             every = np.concatenate([s.ravel() for s in sums])
             some = np.flatnonzero(every)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(every[some])], ["at", "v"])
@@ -324,7 +383,7 @@ def score_texts(docs: DataFrame, training: F.Column, id_col: str = "doc_id", tex
             yield from scored()
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text outside the table, with their number; and a mark for each row of the key."""
+        """Words of each text outside the table, with their number; and for each row of the key one of number 0."""
         find = Lookup(known.value[0])
         for batch, _, w in _texts(batches, 1):
             keys = batch.column(0).to_numpy()
@@ -338,7 +397,7 @@ def score_texts(docs: DataFrame, training: F.Column, id_col: str = "doc_id", tex
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(pair)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(keys[pair[first, 0].astype(np.int64)], keys)), pa.array(np.append(pair[first, 1].view(np.int64), np.full(len(keys), _MARK))), pa.array(np.append(n, np.ones(len(keys), np.int64)).astype(np.int64))],
+                [pa.array(np.append(keys[pair[first, 0].astype(np.int64)], keys)), pa.array(np.append(pair[first, 1].view(np.int64), keys)), pa.array(np.append(n, np.zeros(len(keys), np.int64)).astype(np.int64))],
                 ["key", "w", "n"],
             )
 
@@ -347,9 +406,9 @@ def score_texts(docs: DataFrame, training: F.Column, id_col: str = "doc_id", tex
     rest = keyed.select("key", "text").mapInArrow(tail, "key long, w long, n long")
     met = rest.join(counts.select("w", F.col("n").alias("c")), "w", "left")
     more = met.groupBy("key").agg(
-        F.sum(F.when(F.col("w") != _MARK, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("logs"),
-        F.sum(F.when((F.col("w") != _MARK) & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.when(F.col("w") == _MARK, 1).otherwise(0)).alias("copies"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
+        F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("copies"),
     )
     joined = scored.join(more, "key")
     logs, seen = F.col("logs") / F.col("copies"), (F.col("more") / F.col("copies")).cast("long")

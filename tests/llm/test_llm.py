@@ -392,11 +392,14 @@ def test_subsequence_by_bits():
         assert fingerprints._overlap(a, b) == table[-1][-1]
 
 
-def test_forward_and_expected_counts_match_enumeration():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 1024])
+def test_forward_and_expected_counts_match_enumeration(monkeypatch, stretch):
+    """In stretches of any size the counts are those of the whole texts."""
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
     rng = np.random.default_rng(0)
     k, s = 3, 5
     model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(s), k).T.copy())
-    runs = [rng.integers(0, s, n) for n in (1, 4, 2, 4, 3)]
+    runs = [rng.integers(0, s, n) for n in (1, 4, 2, 7, 3)]
     total = (np.zeros(k), np.zeros((k, k)), np.zeros((s, k)))
     logs = []
     for run in runs:
@@ -416,7 +419,21 @@ def test_forward_and_expected_counts_match_enumeration():
     assert np.allclose(hmm.forward(model, np.concatenate(runs), at), logs)
     found = (np.zeros(k), np.zeros((k, k)), np.zeros((s, k)))
     hmm.expected(model, np.concatenate(runs), at, found)
-    assert all(np.allclose(a, b) for a, b in zip(found, total, strict=True))
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(found, total, strict=True))
+
+
+def test_expected_counts_settle_over_long_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    k, s = 4, 30
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k) * 0.2 + np.eye(k) * 0.8, rng.dirichlet(np.ones(s), k).T.copy())
+    runs = [rng.integers(0, s, n) for n in (3, 5000, 700, 2049, 1024)]
+    at, found = np.cumsum([0, *map(len, runs)]), []
+    for stretch in (100, 1024, 10_000):
+        monkeypatch.setattr(hmm, "STRETCH", stretch)
+        found.append((np.zeros(k), np.zeros((k, k)), np.zeros((s, k))))
+        hmm.expected(model, np.concatenate(runs), at, found[-1])
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-3) for other in found[:2] for a, b in zip(other, found[2], strict=True))
+    assert np.isclose(found[0][1].sum(), sum(len(r) - 1 for r in runs), rtol=1e-5)
 
 
 def test_base_scores_and_counts(monkeypatch, docs, empty, corpus):
