@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import table
 from gleaner.llm.words import slices
 
-#: Pieces already encoded that a worker keeps in each of two generations, and as many transducer states, at most.
-PIECES = 450_000
+#: Bytes, about, that a worker keeps of pieces already encoded in each of two generations, and what a piece takes beside
+#: its characters and tokens; transducer states kept, at most, and three times as many seams.
+MEMO, PIECE_BYTES, STATES = 100 << 20, 250, 100_000
 #: Characters of a text beyond which it is encoded in runs of RUN pieces, so that the ids of a huge text
 #: never stand in memory together.
 LONG, RUN = 1 << 20, 50_000
@@ -45,7 +46,7 @@ class State:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], kept: int = PIECES) -> None:
+    def __init__(self, ranks: dict[bytes, int], kept: int = STATES) -> None:
         self.ranks, self.kept = ranks, kept
         self.tokens = {i: t for t, i in ranks.items()}
         #: token or prefix of one -> (rank or -1, whether a longer token starts so)
@@ -183,26 +184,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Pieces of text by the split pattern, each mapped to (ids, ids as text); bounded."""
+    """Pieces of text by the split pattern, each mapped to (ids, ids as text); bounded by bytes."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = PIECES) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = MEMO) -> None:
         import regex
 
         super().__init__()
-        self.kept = pieces
+        self.memo, self.taken = memo, 0
         self.find = regex.compile(pattern)
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.transducer = Transducer(read_ranks(path), pieces)
+        self.transducer = Transducer(read_ranks(path), max(1000, STATES * memo // MEMO))
         self.names = {i: str(i) for i in self.transducer.tokens}
 
     def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if len(self) > self.kept:  # pieces not met since the last turn go, the others come back as they are met
+        if self.taken > self.memo:  # pieces not met since the last turn go, the others come back as they are met
             self.older = dict(self)
             self.clear()
+            self.taken = 0
         if (found := self.older.get(piece)) is None:
             ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
             found = (ids, " ".join([self.names[i] for i in ids]))
         self[piece] = found
+        self.taken += PIECE_BYTES + 2 * len(piece) + 14 * len(found[0])
         return found
 
     def runs(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
@@ -223,23 +226,21 @@ class Encoder(dict):
 
 
 @cache
-def encoder(path: str, pattern: str, pieces: int = PIECES) -> Encoder:
+def encoder(path: str, pattern: str, memo: int = MEMO) -> Encoder:
     """This worker's encoder.  Its tables are large and live as long as the worker, so the garbage
     collector is kept from walking them over and over."""
-    made = Encoder(path, pattern, pieces)
+    pa.default_memory_pool().release_unused()
+    made = Encoder(path, pattern, memo)
     gc.freeze()
     gc.set_threshold(100_000, 20, 100)
     return made
 
 
-def digests(path: str, pattern: str, pieces: int = PIECES, forget: bool = False):
-    """mapInArrow function: (id, text) to the token count, the ids' digest and the decoded text's digest.
-
-    forget: the worker drops its encoder when a task ends.
-    """
+def digests(path: str, pattern: str, memo: int = MEMO):
+    """mapInArrow function: (id, text) to the token count, the ids' digest and the decoded text's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern, pieces)
+        code = encoder(path, pattern, memo)
         of = code.transducer.tokens.__getitem__
         for batch in batches:
             counts, id_hashes, text_hashes = [], [], []
@@ -256,11 +257,6 @@ def digests(path: str, pattern: str, pieces: int = PIECES, forget: bool = False)
                 id_hashes.append(ids_sha.hexdigest())
                 text_hashes.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        if forget:
-            del code, of
-            encoder.cache_clear()
-            gc.unfreeze()
-            gc.collect()
 
     return run
 
@@ -292,18 +288,18 @@ def decode_tokens(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", pieces: int = PIECES, forget: bool = False) -> DataFrame:
+def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """Encodes every text and decodes its ids again: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty (no tokens).  One pass over the rows without a shuffle; a task holds
-    one Arrow batch, the ids of at most RUN pieces, and a memo of `pieces` pieces, which
-    changes the speed alone; with `forget` a worker drops it at the end of each task.  Repeated ids and rows give a row each.
+    one Arrow batch, the ids of at most RUN pieces, and a memo of twice about `memo` bytes, which
+    changes the speed alone.  Repeated ids and rows give a row each.
     """
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digests(path, pattern, pieces, forget), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(digests(path, pattern, memo), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
