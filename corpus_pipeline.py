@@ -14,47 +14,56 @@ from gleaner.llm import bpe, decontaminate, language, near_dedup, passages
 from gleaner.llm.common import settle, table
 
 
+#: Bits a byte beyond which a text is in no language that the model knows; prose takes two to four, random characters six and more.
+UNLIKE = 6.0
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language the model knows stay; a null text or one without a letter is rejected.
+    """Documents that the likeliest language codes in at most UNLIKE bits a byte stay; others are rejected, and so
+    are null texts and those without a letter.
 
-    The model learns from the labelled languages of the stage's own input.
+    The model learns from the labelled languages of the stage's own input; without any, all are rejected.
+    Each row is judged by itself, whatever its id.
     """
-    return language.keep_known(docs, language.fit(docs))
+    return language.keep_known(docs, language.fit(docs), UNLIKE)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the least id, and one row of it.
+    """One document of each near-duplicate class stays: the one with the least id.
 
-    Rows without an id belong to no class and stay.
+    Rows of one id count as one document: all go or stay, but of rows with equal texts one stays.  Rows
+    without an id belong to no class and stay.
     """
     gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.take(1):
         return left
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(once)
+    once = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat an earlier document's go from the text; a text of which no word is left goes whole."""
+    """Passages that repeat an earlier document's go from the text; a text of which no word is left goes whole.
+
+    Rows of one id count as one document's texts, each cut by its own passages; rows without an id stay uncut.
+    """
     cut = passages.remove_repeats(docs, passages.repeated_passages(docs))
     left = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminations(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents that hold a benchmark item go; each row is judged by itself, whatever its id."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them.
 
-    The encoder's memo is small here and goes with the task: its workers go on to other stages.
+    The encoder's memo is small here: its workers hold what other stages left.
     """
-    return bpe.token_digests(docs, pieces=200_000, forget=True)
+    return bpe.token_digests(docs, memo=20 << 20)
 
 
 STAGES = [

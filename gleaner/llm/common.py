@@ -19,22 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one set already, or that of spark.checkpoint.dir; in local mode, one made here."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage, in the folder the cluster names in spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def rewrite(df: DataFrame) -> DataFrame:
-    """settle() through a Parquet table in the same folder, for loops: a checkpoint keeps the size that the
-    optimizer guessed, and guesses of joins upon joins multiply round by round until they burst."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        settle(df.limit(0))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """settle() through a Parquet table in the same folder, for wide rows and for loops: a checkpoint is not compressed and
+    keeps the size that the optimizer guessed, and guesses of joins upon joins multiply round by round until they burst."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ RADIUS = 7
 PART = (14, 4)
 #: Bytes of item texts that go to the tasks at once.
 BLOCK_BYTES = 4 << 20
-#: Bytes of documents fingerprinted at once; the shingles' bits take a few hundred times the shingle count.
-PART_BYTES = 256 << 10
+#: Bytes of documents gone through at once, and places fingerprinted at once: bits take a few hundred bytes a place.
+PART_BYTES, PLACES = 256 << 10, 1 << 16
 
 
 class Index(NamedTuple):
@@ -172,29 +173,41 @@ def find(items: Items, data: np.ndarray, at: np.ndarray, threshold: float) -> li
     own, own_at = shingles(w)
     if not len(own):
         return []
-    before = bits_before(mix(own))
     row = np.repeat(np.arange(len(at) - 1), np.diff(own_at))
+    longest, tries = max([PART[0], *(index.size for index in items.indexes)]), set()
+    for c in range(0, len(own), PLACES):
+        before = bits_before(mix(own[c : c + PLACES + longest]))
+        for index in (*items.indexes, None):
+            size, stride = (index.size, index.stride) if index else PART
+            starts = np.arange(-(-c // stride) * stride, min(c + PLACES, len(own) - size + 1), stride)
+            starts = starts[row[starts] == row[starts + size - 1]]
+            if not len(starts):
+                continue
+            fps = prints(before, starts - c, size)
+            hit, window = lookup(index, fps) if index else equal_parts(items, fps)
+            item, place_of = (index.item, index.place) if index else items.parts[1:]
+            begin = starts[hit] - place_of[window]
+            tries |= {(int(r), int(i), int(b)) for r, i, b in zip(row[starts[hit]], item[window], begin, strict=True)}
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for index in (*items.indexes, None):
-        size, stride = (index.size, index.stride) if index else PART
-        starts = np.arange(0, len(own) - size + 1, stride)
-        starts = starts[row[starts] == row[starts + size - 1]]
-        if not len(starts):
-            continue
-        fps = prints(before, starts, size)
-        hit, window = lookup(index, fps) if index else equal_parts(items, fps)
-        item, place_of = (index.item, index.place) if index else items.parts[1:]
-        begin = starts[hit] - place_of[window]
-        tries = {(int(r), int(i), int(b)) for r, i, b in zip(row[starts[hit]], item[window], begin, strict=True)}
-        for r, i, b in sorted(tries):
-            mine = own[own_at[r] : own_at[r + 1]]
-            s, place, n = best_match(mine, b - int(own_at[r]), items.grams[i], items.weights[i])
-            if s >= threshold and (s, place, n) > best.get((r, i), (0.0, 0, 0)):
-                best[r, i] = (s, place, n)
+    for r, i, b in sorted(tries):
+        mine = own[own_at[r] : own_at[r + 1]]
+        s, place, n = best_match(mine, b - int(own_at[r]), items.grams[i], items.weights[i])
+        if s >= threshold and (s, place, n) > best.get((r, i), (0.0, 0, 0)):
+            best[r, i] = (s, place, n)
     words_of = np.diff(w.at)
     return [(r, i, s, -place, min(int(n + SHINGLE - 1), int(words_of[r]))) for (r, i), (s, place, n) in sorted(best.items())]
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Broadcast]:
+    """The items, prepared in blocks of about BLOCK_BYTES that go to the tasks one after the other."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for b in range(blocks):
+        block = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(prepare(block))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Benchmark items found in documents: id_col, item_id, similarity, start_word, n_words.
 
@@ -203,15 +216,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8
     words has its whole word sequence as its one shingle.  Null or wordless texts and items, and items with
     a null id, match nothing; repeated rows each give their rows.  Other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
-    for b in range(blocks):
-        block = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast(prepare(block))
+    for shared in _blocks(benchmark, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -230,6 +237,25 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8
     return found.withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no benchmark item, by the rule of contaminations().
+
+    Each row is judged by itself, whatever its id; nothing is shuffled.
+    """
+    for shared in _blocks(benchmark, item_id, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, at = flat(batch.column(batch.schema.get_field_index(text_col)))
+                for i, j in slices(np.diff(at), PART_BYTES):
+                    clean = np.ones(j - i, bool)
+                    clean[[r for r, *_ in find(shared.value, data[at[i] : at[j]], at[i : j + 1] - at[i], threshold)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -216,15 +216,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language of the model; nothing is shuffled."""
+def keep_known(docs: DataFrame, model: Model, most_bits: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text its likeliest language codes in at most `most_bits` bits a byte.
+
+    Null texts and those without a letter have no language and go, as all do if the model knows none.  Nothing is shuffled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(shared.value)
         for batch in batches:
-            for i, j, lang, _, _ in judge(batch.column(batch.schema.get_field_index(text_col))):
-                yield batch.slice(i, j - i).filter(pa.array(lang != "und"))
+            for i, j, lang, _, bits in judge(batch.column(batch.schema.get_field_index(text_col))):
+                yield batch.slice(i, j - i).filter(pa.array((lang != "und") & (bits <= most_bits)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -176,8 +176,10 @@ def _linked(numerator: int, denominator: int):
                         c = up
                     return c
 
-                sure = passes(both - 2)
-                for i, j in np.argwhere(apart & passes(both + 2)).tolist():
+                most = np.maximum(np.array([m["n"] for m in one])[:, None], np.array([m["n"] for m in two])[None, :]) ** 2 / 2.0**32
+                doubt = 2 + most + 6 * np.sqrt(most)  # small hashes that fall together by chance, about Poisson
+                sure = passes(both - doubt)
+                for i, j in np.argwhere(apart & passes(both + doubt)).tolist():
                     a, b = one[i], two[j]
                     if sure[i, j]:
                         x, y = top(a["component"]), top(b["component"])

@@ -72,11 +72,9 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
+def _sums(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial sums of the words of some rows, and where the words start and end."""
     n = len(data)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none)
     inside = ~_SEPARATOR[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -84,10 +82,30 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     power, inverse = powers(n)
-    total = np.cumsum(_BYTE[data] * power)
-    total = np.concatenate([np.zeros(1, np.uint64), total])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return Words(hashes, np.searchsorted(start, at), start, end)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power)])
+    return (total[end] - total[start]) * inverse[start], start, end
+
+
+def words(data: np.ndarray, at: np.ndarray) -> Words:
+    """Long data goes in pieces, so that but for the words themselves memory follows SLICE_BYTES."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for c in range(0, len(data), SLICE_BYTES):
+        piece = data[c : c + SLICE_BYTES]
+        own = at[np.searchsorted(at, c) : np.searchsorted(at, c + len(piece), "right")] - c
+        total, start, end = _sums(piece, own)
+        if found and len(start) and start[0] == 0 and found[-1][2][-1] == c and (len(own) == 0 or own[0] > 0):  # a word goes on
+            held = found[-1]
+            size = int(held[2][-1] - held[1][-1])
+            held[0][-1:] += total[:1] * np.array([pow(_BASE, size, 1 << 64)], np.uint64)
+            held[2][-1] = c + end[0]
+            total, start, end = total[1:], start[1:], end[1:]
+        if len(start):
+            found.append((total, start + c, end + c))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none)
+    total, start, end = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
+    return Words(mix(total + (end - start).astype(np.uint64)), np.searchsorted(start, at), start, end)
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -650,5 +650,57 @@ def test_pipeline_stages_take_effect(spark, docs, empty, corpus, tmp_path):
         assert stage(spark, own.where("false"), str(tmp_path)).columns == own.columns, name
 
 
+def test_pipeline_judges_rows_by_their_own_text(spark, tmp_path):
+    """Rows without an id are judged too, and unlike texts under one id all stay, each cut in its own places."""
+    rnd = random.Random(12)
+    item, passage, other = sentence(rnd, 40), sentence(rnd, 60), sentence(rnd, 80)
+    rows = [(None, "Before it. " + item), (1, item), (2, passage), (7, f"{sentence(rnd, 30)} {passage} {sentence(rnd, 30)}"), (7, other), (7, other), (8, "12 34"), (9, "Plain words.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        left.write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+    found = defaultdict(set)
+    for r in left.collect():
+        found[r["doc_id"]].add(len(r["text"].split()))
+    assert dict(found) == {2: {60}, 7: {60, 80}, 9: {2}} and left.count() == 4
+
+
+def test_language_stage_rejects_what_no_language_codes(spark):
+    rnd = random.Random(13)
+    noise = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(300))
+    rows = [(k, sentence(rnd, 50), "en") for k in range(40)] + [(100, noise, None), (101, None, "en"), (102, "42", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == set(range(40))
+
+
+def test_words_of_long_texts_are_the_same_in_pieces(monkeypatch):
+    rnd = random.Random(5)
+    texts = [sentence(rnd, 300), "", "x" * 500, " a " * 90, "ends with a word", "Another begins"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *map(len, texts)])
+    whole = words(data, at)
+    for size in (1, 7, 64, 501):
+        monkeypatch.setattr("gleaner.llm.words.SLICE_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, words(data, at), strict=True)), size
+
+
+def test_long_texts_are_searched_for_items_in_parts(monkeypatch):
+    rnd = random.Random(6)
+    items = decontaminate.prepare([(k, sentence(rnd, n)) for k, n in enumerate((9, 40, 200, 700))])
+    held = sentence(rnd, 300)
+    rnd = random.Random(6)
+    copies = [sentence(rnd, n) for n in (9, 40, 200, 700)]
+    text = " ".join(f"{part} {copy}" for part, copy in zip([held] * 4, copies, strict=True))
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = decontaminate.find(items, data, np.array([0, len(data)]), 0.8)
+    assert [k for _, k, *_ in whole] == [0, 1, 2, 3]
+    for places in (100, 333, 1024):
+        monkeypatch.setattr(decontaminate, "PLACES", places)
+        assert decontaminate.find(items, data, np.array([0, len(data)]), 0.8) == whole
+
+
 def test_registry_names_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
