@@ -31,6 +31,18 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(edges, sources).select("node")
 
 
+def branches(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): what each root reaches, itself included; edges must not lead into other roots where walks end there."""
+    frontier = settle(roots.select(F.col("node").alias("root"), "node").distinct())
+    seen, k = frontier, 0
+    while frontier.take(1):
+        k += 1
+        ahead = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node")).distinct()
+        frontier = settle(ahead.join(seen, ["root", "node"], "left_anti"))
+        seen = settle(seen.union(frontier)) if k % 8 == 0 else seen.union(frontier)
+    return seen
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

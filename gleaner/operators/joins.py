@@ -111,10 +111,11 @@ def either(left: DataFrame, right: DataFrame, ways: list[list[str]], a: str, b:
     return out.distinct()
 
 
-def exact_else_near(cites: DataFrame, signals: DataFrame, cite: str, path: str, at: str, weight: str, n: int = 3) -> DataFrame:
-    """Up to n signals on each cite's own line; only if there are none, up to n others of its path."""
+def exact_else_near(cites: DataFrame, signals: DataFrame, cite: str, path: str, at: str, weight: str, n: int = 3, ties: list[str] | None = None) -> DataFrame:
+    """Up to n signals on each cite's own line; only if there are none, up to n others of its path; ties: what tells
+    signals of one weight and line apart."""
     from gleaner.operators.ranking import top_k
 
     met = cites.select(cite, path, F.col(at).alias("__at")).join(signals, path).withColumn("exact", F.col(at) == F.col("__at"))
     tier = met.groupBy(cite).agg(F.max("exact").alias("exact"))
-    return top_k(met.join(tier, [cite, "exact"]).drop("__at"), [cite], [F.desc(weight), F.col(at)], n)
+    return top_k(met.join(tier, [cite, "exact"]).drop("__at"), [cite], [F.desc(weight), F.col(at), *map(F.col, ties or [])], n)

@@ -75,13 +75,14 @@ def trace(candidates: DataFrame, selected: DataFrame, task: str, file: str, floo
 def lexical_search(queries: DataFrame, entries: DataFrame, query: str, text: str, name: str, most: int = 20) -> DataFrame:
     """(query, name, match, rank): entries whose name equals, starts with or holds the query, in that order.
 
-    Matching is by lower-cased name: equality and prefixes meet in an equi-join on the query's first three
-    characters' trigram, so a query is held against the names that share a trigram with it, never all.
+    Matching is by lower-cased name, in an equi-join on the query's first three characters (or as many as it has), so a
+    query is held against the names that hold those, never all.  An empty query finds nothing.
     """
-    q = queries.select(query, F.lower(F.trim(text)).alias("__q")).where("length(__q) >= 3")
+    q = queries.select(query, F.lower(F.trim(text)).alias("__q")).where("length(__q) >= 1").withColumn("__size", F.least(F.length("__q"), F.lit(3)))
     e = entries.select(name, F.lower(name).alias("__n")).distinct()
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__n") - 2), lambda k: F.substring(F.col("__n"), k, F.lit(3)))))
-    indexed = e.where("length(__n) >= 3").select(name, "__n", grams.alias("__g"))
+    sizes = F.broadcast(q.select("__size").distinct())
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__n") - F.col("__size") + 1), lambda k: F.substring(F.col("__n"), k, F.col("__size")))))
+    indexed = e.join(sizes, F.length("__n") >= F.col("__size")).select(name, "__n", grams.alias("__g"))
     met = q.withColumn("__g", F.substring("__q", 1, 3)).join(indexed, "__g").where(F.contains("__n", F.col("__q")))
     match = F.when(F.col("__n") == F.col("__q"), "exact").when(F.startswith("__n", F.col("__q")), "prefix").otherwise("substring")
     order = F.when(F.col("match") == "exact", 0).when(F.col("match") == "prefix", 1).otherwise(2)

@@ -43,11 +43,15 @@ def signals(rows: DataFrame, key: list[str], rules: list[tuple[str, str, int, st
     return rows.where(some).select(*key, "line", F.inline(hits))
 
 
-def best_signals(found: DataFrame, file: list[str], per_file: int) -> DataFrame:
-    """The strongest signal of each line (first rule on ties), then the strongest per_file lines of each file."""
+def best_of_lines(found: DataFrame, file: list[str]) -> DataFrame:
+    """The strongest signal of each line (first rule on ties)."""
     line = Window.partitionBy(*file, "line").orderBy(F.desc("weight"), "rule")
-    best = found.withColumn("__k", F.row_number().over(line)).where("__k = 1").drop("__k")
-    return top_k(best, file, [F.desc("weight"), F.col("line")], per_file, "rank")
+    return found.withColumn("__k", F.row_number().over(line)).where("__k = 1").drop("__k")
+
+
+def best_signals(found: DataFrame, file: list[str], per_file: int) -> DataFrame:
+    """The strongest signal of each line, then the strongest per_file lines of each file."""
+    return top_k(best_of_lines(found, file), file, [F.desc("weight"), F.col("line")], per_file, "rank")
 
 
 def capped(best: DataFrame, scope: list[str], file: list[str], file_order: list, total: int) -> DataFrame:

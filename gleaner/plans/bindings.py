@@ -49,18 +49,17 @@ LINES = """lines AS (SELECT doc_id, source, unnest(l) AS text, generate_subscrip
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, n): suppliers call the parts that they ship at a high discount; a part calls the suppliers it
-    came back to at a high tax.
+    """(src, dst, n): every item is a call: of its part by its supplier, or if it came back the other way round.
 
     Parts are numbered from 10**9 on, so that both stand in one space of node ids.
     """
     items = table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey") + 1_000_000_000
-    down = items.where("l_returnflag = 'A' and l_discount >= 0.1").groupBy(F.col("l_suppkey").alias("src"), part.alias("dst")).agg(F.count("*").alias("n"))
-    up = items.where("l_returnflag = 'R' and l_tax >= 0.08 and l_quantity >= 40").groupBy(part.alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
+    down = items.where("l_returnflag <> 'R'").groupBy(F.col("l_suppkey").alias("src"), part.alias("dst")).agg(F.count("*").alias("n"))
+    up = items.where("l_returnflag = 'R'").groupBy(part.alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
     return down.union(up)
 
 
 EDGES = """edges AS (
-  SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.1 GROUP BY ALL
-  UNION ALL SELECT l_partkey + 1000000000, l_suppkey, count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_tax >= 0.08 AND l_quantity >= 40 GROUP BY ALL)"""
+  SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL
+  UNION ALL SELECT l_partkey + 1000000000, l_suppkey, count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"""

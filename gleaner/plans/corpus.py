@@ -182,5 +182,5 @@ def name_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("k1_signal_ledger", f"""WITH {_BEST} SELECT doc_id, count(*) AS eligible, least(count(*), 3) AS selected, count(*) - least(count(*), 3) AS omitted, CASE WHEN count(*) > 3 THEN 'max_per_group' ELSE 'none' END AS cutoff,
   coalesce(string_agg(CASE WHEN rank BETWEEN 4 AND 6 THEN CAST(line AS VARCHAR) END, ',' ORDER BY rank), '') AS omitted_sample FROM best GROUP BY 1""")
 def signal_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = N.best_signals(found(spark, sf_dir), ["source", "doc_id"], 1_000_000).drop("rank")
+    best = N.best_of_lines(found(spark, sf_dir), ["source", "doc_id"])
     return R.omission_ledger(best, ["doc_id"], [F.desc("weight"), F.col("line")], 3, "line")

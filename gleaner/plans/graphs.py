@@ -130,11 +130,11 @@ def membership_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.apply_membership(proposed, table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("member")), "grp", "member")
 
 
-@add("c27_either_key", """SELECT DISTINCT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND b.c_mktsegment = 'BUILDING' UNION SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_suppkey = b.c_custkey AND b.c_mktsegment = 'BUILDING'""")
+@add("c27_either_key", """SELECT DISTINCT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND floor(a.s_acctbal / 100) = floor(b.c_acctbal / 100) UNION SELECT a.s_suppkey, b.c_custkey FROM supplier a JOIN customer b ON a.s_suppkey = b.c_custkey""")
 def either_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("num"))
-    right = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("num"))
-    return J.either(left, right, [["nation"], ["num"]], "a", "b")
+    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 100).alias("balance"), F.col("s_suppkey").alias("num"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 100).alias("balance"), F.col("c_custkey").alias("num"))
+    return J.either(left, right, [["nation", "balance"], ["num"]], "a", "b")
 
 
 @add("c25_text_overlay", r"""WITH n AS (SELECT item_id AS k, CASE WHEN item_id % 4 = 0 THEN text || ' {name}' WHEN item_id % 4 = 1 THEN repeat(text, 3) ELSE upper(text) END AS t FROM benchmark WHERE item_id % 5 <> 2 UNION ALL SELECT 100000, 'x')
@@ -195,14 +195,14 @@ def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("f6_support_overlap", f"WITH {PAIRS} SELECT flag, a, b, shared FROM pairs")
 def support_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with like support sets: urgent orders by the sizes of their parts."""
+    """Candidates with like support sets: orders by their parts."""
     return S.overlaps(part_sets(spark, sf_dir), ["flag"], "id", "member", 0.75).select("flag", "a", "b", "shared")
 
 
-@add("f6_keep_first", f"""WITH RECURSIVE {PAIRS}, d AS (SELECT DISTINCT flag, id FROM m), r AS (SELECT flag, id, row_number() OVER (PARTITION BY flag ORDER BY id) AS k FROM d),
+@add("f6_keep_first", f"""WITH RECURSIVE {PAIRS}, d AS (SELECT flag, a AS id FROM pairs UNION SELECT flag, b FROM pairs), r AS (SELECT flag, id, row_number() OVER (PARTITION BY flag ORDER BY id) AS k FROM d),
 walk(flag, k, kept) AS (SELECT flag, 0, CAST([] AS BIGINT[]) FROM (SELECT DISTINCT flag FROM r) UNION ALL
   SELECT w.flag, w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.flag = w.flag AND p.b = r.id AND list_contains(w.kept, p.a)) THEN kept ELSE list_append(kept, r.id) END FROM walk w JOIN r ON r.flag = w.flag AND r.k = w.k + 1)
-SELECT flag, unnest(kept) AS id FROM (SELECT flag, arg_max(kept, k) AS kept FROM walk GROUP BY 1)""")
+SELECT flag, unnest(kept) AS id FROM (SELECT flag, arg_max(kept, k) AS kept FROM walk GROUP BY 1) UNION ALL SELECT flag, id FROM (SELECT DISTINCT flag, id FROM m) WHERE (flag, id) NOT IN (SELECT (flag, id) FROM d)""")
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = part_sets(spark, sf_dir)
     rows = sets.select("flag", "id").distinct()

@@ -91,12 +91,12 @@ def spread_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.spread_quota(groups, ["c_nationkey"], "c_mktsegment", "n", 10)
 
 
-@add("e18_unique_winner", """WITH t AS (SELECT c_nationkey AS k, o_orderkey % 4 AS tier, o_custkey % 3 AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000), g AS (SELECT k, tier, count(DISTINCT c) AS n, min(c) AS c FROM t GROUP BY ALL),
+@add("e18_unique_winner", """WITH t AS (SELECT c_custkey AS k, o_orderkey % 4 AS tier, o_orderkey % 3 AS c FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT k, tier, count(DISTINCT c) AS n, min(c) AS c FROM t GROUP BY ALL),
 w AS (SELECT k, arg_min(c, tier) FILTER (n = 1) AS c, min(tier) FILTER (n = 1) AS s, min(tier) FILTER (n > 1 AND tier < 2) AS m FROM g GROUP BY k)
 SELECT k, CASE WHEN m IS NOT NULL AND (s IS NULL OR m < s) THEN 'ambiguous' WHEN s IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN s IS NOT NULL AND (m IS NULL OR m > s) THEN c END AS winner FROM w""")
 def unique_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = table(spark, sf_dir, "orders").where("o_totalprice > 400000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = met.select(F.col("c_nationkey").alias("k"), (F.col("o_orderkey") % 4).alias("tier"), (F.col("o_custkey") % 3).alias("c"))
+    met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = met.select(F.col("c_custkey").alias("k"), (F.col("o_orderkey") % 4).alias("tier"), (F.col("o_orderkey") % 3).alias("c"))
     return R.unique_winner(rows, ["k"], "tier", "c")
 
 
@@ -149,12 +149,12 @@ def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(flag, id, member): part sizes of each order, as support sets of candidates."""
-    met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return met.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_orderpriority = '1-URGENT'").select(F.col("o_orderstatus").alias("flag"), F.col("l_orderkey").alias("id"), (F.col("p_size") % 12).alias("member")).distinct()
+    """(flag, id, member): parts of each order, as support sets of candidates."""
+    met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.select(F.col("o_orderstatus").alias("flag"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("member")).distinct()
 
 
-PAIRS = """m AS (SELECT DISTINCT o_orderstatus AS flag, l_orderkey AS id, p_size % 12 AS member FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
+PAIRS = """m AS (SELECT DISTINCT o_orderstatus AS flag, l_orderkey AS id, l_partkey AS member FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 z AS (SELECT flag, id, count(*) AS n FROM m GROUP BY ALL), j AS (SELECT a.flag, a.id AS a, b.id AS b, count(*) AS shared FROM m a JOIN m b ON a.flag = b.flag AND a.member = b.member AND a.id < b.id GROUP BY ALL),
 pairs AS (SELECT j.flag, a, b, shared, shared / CAST(x.n + y.n - shared AS DOUBLE) AS jaccard FROM j JOIN z x ON x.flag = j.flag AND x.id = a JOIN z y ON y.flag = j.flag AND y.id = b WHERE shared / CAST(x.n + y.n - shared AS DOUBLE) >= 0.75)"""
 

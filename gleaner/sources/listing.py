@@ -19,7 +19,10 @@ def read_listing(records: DataFrame, key: list[str], record: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text: str = "content", most_bytes: int | None = None) -> DataFrame:
-    """A content table with n_bytes and truncated; text files are read whole, one row each (path, content)."""
+    """A content table with n_bytes and truncated; text files are read whole, one row each (path, content).
+
+    Contents beyond most_bytes are cut there, or up to three bytes before, where a character would be cut in two.
+    """
     if fmt == "text":
         rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias(text))
     else:
@@ -27,8 +30,10 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text: str
     sized = rows.withColumn("n_bytes", F.octet_length(text).cast("long"))
     if most_bytes is None:
         return sized.withColumn("truncated", F.lit(False))
-    over = F.col("n_bytes") > most_bytes
-    return sized.withColumn("truncated", over).withColumn(text, F.when(over, F.substring(text, 1, most_bytes)).otherwise(F.col(text)))
+    over, data = F.coalesce(F.col("n_bytes") > most_bytes, F.lit(False)), F.encode(text, "UTF-8")
+    begins = lambda k: ~F.hex(F.substring(data, most_bytes - k + 1, 1)).rlike("^[89AB]")
+    size = F.when(begins(0), most_bytes).when(begins(1), most_bytes - 1).when(begins(2), most_bytes - 2).otherwise(most_bytes - 3)
+    return sized.withColumn("truncated", over).withColumn(text, F.when(over, F.decode(F.substring(data, F.lit(1), size), "UTF-8")).otherwise(F.col(text)))
 
 
 def source_catalog(paths: DataFrame, inputs: DataFrame, key: list[str]) -> DataFrame:

@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from gleaner.plans import corpus, events, files, graphs, rows
+from gleaner.plans import corpus, events, files, graphs, rows, studies
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (files, rows, corpus, graphs, events)
+MODULES = (files, rows, corpus, graphs, events, studies)
 NAMES = [n for m in MODULES for n in m.registry.sql]
 
 
