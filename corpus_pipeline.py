@@ -11,21 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, decontaminate, language, near_dedup, passages
-from gleaner.llm.common import settle, table
-
-
-#: Bits a byte beyond which a text is in no language that the model knows; prose takes two to four, random characters six and more.
-UNLIKE = 6.0
+from gleaner.llm.common import release, settle, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the likeliest language codes in at most UNLIKE bits a byte stay; others are rejected, and so
-    are null texts and those without a letter.
+    """Documents that the likeliest language's statistics code about as short as plain bytes stay; those that no
+    known language fits are rejected, and so are null texts and those without a letter.
 
     The model learns from the labelled languages of the stage's own input; without any, all are rejected.
     Each row is judged by itself, whatever its id.
     """
-    return language.keep_known(docs, language.fit(docs), UNLIKE)
+    return language.keep_known(docs, language.fit(docs))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of one id count as one document's texts, each cut by its own passages; rows without an id stay uncut.
     """
+    release(spark)
     cut = passages.remove_repeats(docs, passages.repeated_passages(docs))
     left = cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
@@ -63,7 +60,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The encoder's memo is small here: its workers hold what other stages left.
     """
-    return bpe.token_digests(docs, memo=20 << 20)
+    return bpe.token_digests(docs, memo=40 << 20)
 
 
 STAGES = [

@@ -16,9 +16,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from gleaner.llm.words import slices
 
 #: Bytes, about, that a worker keeps of pieces already encoded in each of two generations, and what a piece takes beside
 #: its characters and tokens; transducer states kept, at most, and three times as many seams.
-MEMO, PIECE_BYTES, STATES = 100 << 20, 250, 100_000
+MEMO, PIECE_BYTES, STATES = 80 << 20, 150, 100_000
 #: Characters of a text beyond which it is encoded in runs of RUN pieces, so that the ids of a huge text
 #: never stand in memory together.
 LONG, RUN = 1 << 20, 50_000
@@ -184,7 +185,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Pieces of text by the split pattern, each mapped to (ids, ids as text); bounded by bytes."""
+    """Pieces of text by the split pattern, each mapped to its packed ids; bounded by bytes."""
 
     def __init__(self, path: str, pattern: str, memo: int = MEMO) -> None:
         import regex
@@ -192,33 +193,38 @@ class Encoder(dict):
         super().__init__()
         self.memo, self.taken = memo, 0
         self.find = regex.compile(pattern)
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, bytes] = {}
         self.transducer = Transducer(read_ranks(path), max(1000, STATES * memo // MEMO))
-        self.names = {i: str(i) for i in self.transducer.tokens}
+        self.packed = "H" if max(self.transducer.tokens, default=0) < 1 << 16 else "I"
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, piece: str) -> bytes:
         if self.taken > self.memo:  # pieces not met since the last turn go, the others come back as they are met
             self.older = dict(self)
             self.clear()
             self.taken = 0
         if (found := self.older.get(piece)) is None:
-            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-            found = (ids, " ".join([self.names[i] for i in ids]))
+            found = array(self.packed, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         self[piece] = found
-        self.taken += PIECE_BYTES + 2 * len(piece) + 14 * len(found[0])
+        self.taken += PIECE_BYTES + len(piece) + len(found)
         return found
 
-    def runs(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
+    def runs(self, text: str) -> Iterator[array]:
+        """The ids of a text, at most RUN pieces of a long one at a time."""
         if len(text) <= LONG:
             if text:
-                yield list(map(self.__getitem__, self.find.findall(text)))
+                yield self.unpacked(map(self.__getitem__, self.find.findall(text)))
             return
         found = (m[0] for m in self.find.finditer(text))
-        while run := [self[piece] for piece in islice(found, RUN)]:
-            yield run
+        while run := list(islice(found, RUN)):
+            yield self.unpacked(map(self.__getitem__, run))
+
+    def unpacked(self, pieces: Iterable[bytes]) -> array:
+        out = array(self.packed)
+        out.frombytes(b"".join(pieces))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for run in self.runs(text) for ids, _ in run for i in ids]
+        return [i for run in self.runs(text) for i in run]
 
     def decode(self, ids: Iterable[int]) -> str:
         stream, tokens = Utf8Stream(), self.transducer.tokens
@@ -242,14 +248,13 @@ def digests(path: str, pattern: str, memo: int = MEMO):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path, pattern, memo)
         of = code.transducer.tokens.__getitem__
+        name = [str(i) for i in range(max(code.transducer.tokens, default=-1) + 1)].__getitem__
         for batch in batches:
             counts, id_hashes, text_hashes = [], [], []
             for text in batch.column(1):
                 n, ids_sha, text_sha, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-                for run in code.runs(text.as_py() or ""):
-                    groups, names = zip(*run, strict=True)
-                    ids = list(chain.from_iterable(groups))
-                    ids_sha.update(((" " if n else "") + " ".join(names)).encode())
+                for ids in code.runs(text.as_py() or ""):
+                    ids_sha.update(((" " if n else "") + " ".join(map(name, ids))).encode())
                     n += len(ids)
                     text_sha.update(stream.feed(b"".join(map(of, ids))).encode())
                 text_sha.update(stream.end().encode())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files behind tables that are settled: Spark deletes them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the folder the cluster names in spark.checkpoint.dir."""
     shared_folder(df.sparkSession)

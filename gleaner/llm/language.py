@@ -216,8 +216,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, model: Model, most_bits: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text its likeliest language codes in at most `most_bits` bits a byte.
+def keep_known(docs: DataFrame, model: Model, bits_a_byte: float = 8.0, bits_beside: float = 64.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text its likeliest language codes in at most `bits_a_byte` bits a byte
+    and `bits_beside` more, so that a name or number in a short text does not decide.
 
     Null texts and those without a letter have no language and go, as all do if the model knows none.  Nothing is shuffled.
     """
@@ -226,8 +227,10 @@ def keep_known(docs: DataFrame, model: Model, most_bits: float, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(shared.value)
         for batch in batches:
-            for i, j, lang, _, bits in judge(batch.column(batch.schema.get_field_index(text_col))):
-                yield batch.slice(i, j - i).filter(pa.array((lang != "und") & (bits <= most_bits)))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for i, j, lang, _, bits in judge(texts):
+                size = np.diff(flat(texts.slice(i, j - i))[1])
+                yield batch.slice(i, j - i).filter(pa.array((lang != "und") & (bits * size <= bits_a_byte * size + bits_beside)))
 
     return docs.mapInArrow(run, docs.schema)
 
