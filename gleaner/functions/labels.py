@@ -143,3 +143,65 @@ def operational_kind(path: Column) -> Column:
 ENDPOINT = r"https?://(?:localhost|127\.0\.0\.1)(?::[0-9]{1,5})?(?:/[^\s\])}>\"']*)?"
 LOG_PATH = r"(?:/|\.\.?/)[A-Za-z0-9_.~/-]+\.log\b"
 PLACEHOLDER = r"<[^>]+>|\$\{?[A-Za-z_][A-Za-z0-9_]*\}?"
+
+
+#: Fixed words that carry no meaning of their own in names of components.
+COMMON_WORDS = ["and", "api", "core", "engine", "flow", "for", "framework", "layer", "management", "module", "operations", "request", "service", "system", "the", "tool"]
+
+
+def semantic_tokens(text: Column) -> Column:
+    """Distinct lower-case words of three characters or more, in order, without common ones."""
+    words = F.split(F.lower(text), "[^a-z0-9]+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(COMMON_WORDS)))
+
+
+def shared_tokens(left: Column, right: Column) -> Column:
+    return F.size(F.array_intersect(left, right))
+
+
+def path_term_score(path: Column, terms: Column) -> Column:
+    """One for each term that a segment of the path holds, and one more if it is the file's own name."""
+    segments = F.split(F.lower(path), "[^a-z0-9]+")
+    base = F.regexp_replace(F.element_at(F.split(F.lower(path), "/"), -1), "[.][^.]*$", "")
+    held = lambda term: F.exists(segments, lambda s: (s == term) | ((F.length(term) >= 3) & F.contains(s, term)))
+    each = F.transform(terms, lambda t: F.when(held(t), F.when(base == t, 2).otherwise(1)).otherwise(0))
+    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
+
+
+def layered_score(path: Column, terms: Column, seed: Column, legacy: list[str]) -> Column:
+    """Struct (score, reasons) of a path for terms: seeds before all; then the first rule of each layer that holds."""
+    low = F.lower(path)
+    base = F.element_at(F.split(low, "/"), -1)
+    stem = F.regexp_replace(base, "[.][^.]*$", "")
+    words = lambda of: F.split(of, "[^a-z0-9]+")
+    folders = F.slice(F.split(low, "/"), F.lit(1), F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0)))
+    long = F.filter(terms, lambda t: F.length(t) >= 3)
+    rules = [
+        (F.exists(terms, lambda t: (t == stem) | (t == base)), "exact_base", 100),
+        (F.arrays_overlap(long, words(base)), "base_word", 70),
+        (F.arrays_overlap(long, folders), "folder", 60),
+        (F.exists(F.array(*map(F.lit, legacy)), lambda w: F.contains(low, w)), "legacy", -100),
+        (F.contains(low, F.lit("patch/")) | F.contains(low, F.lit("diff/")), "patch", -20),
+    ]
+    own = signal_sum(rules)
+    return F.when(seed, F.struct(F.lit(200).alias("score"), F.array(F.lit("seed")).alias("reasons"))).otherwise(own)
+
+
+def surface_quality(kind: Column, exact: Column, available: Column, dependency: Column, identity: Column, registration: Column, handler: Column, static: Column) -> Column:
+    """Struct (role, readiness) of a runtime surface from its quality dimensions: the first rule that holds."""
+    made = lambda role, readiness: F.struct(F.lit(role).alias("role"), F.lit(readiness).alias("readiness"))
+    whole = identity & registration & handler & static & exact
+    return (
+        F.when((kind == "process_entry") & exact, made("entry_surface", "partial"))
+        .when(~available, made("rejected", "rejected"))
+        .when(dependency, made("noisy", "unsupported"))
+        .when((kind == "cli_command") & whole, made("entry_surface", "ready"))
+        .when(kind == "cli_command", made("entry_surface", "partial"))
+        .when((kind == "http_route") & whole, made("entry_surface", "ready"))
+        .when((kind == "http_route") & identity & registration, made("entry_surface", "partial"))
+        .when(kind == "http_route", made("dynamic_frontier", "unsupported"))
+        .when((kind == "http_server") & registration, made("entry_surface", "partial"))
+        .when(kind == "http_server", made("entry_surface", "unsupported"))
+        .when(identity & registration, made("descriptor", "partial"))
+        .otherwise(made("dynamic_frontier", "unsupported"))
+    )

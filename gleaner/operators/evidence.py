@@ -175,3 +175,35 @@ def retained_graph(nodes: DataFrame, edges: DataFrame, reachable: DataFrame, ent
 def chunked(rows: DataFrame, bucket: list[str], order: list[Column], size: int) -> DataFrame:
     """rows with chunk: buckets cut into chunks of `size` in order, numbered from 0."""
     return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)) - 1) / size).cast("long"))
+
+
+def query_terms(rows: DataFrame, key: str, text: str, ignored: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, term, alias): distinct words of two characters or more without ignored ones; alias: the words that stand
+    for it in searches, itself where the table (term, alias) has none."""
+    words = rows.select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("term")).where("length(term) >= 2").distinct()
+    kept = words.join(ignored.select("term").distinct(), "term", "left_anti")
+    return kept.join(aliases.select("term", "alias").distinct(), "term", "left").select(key, "term", F.coalesce("alias", "term").alias("alias"))
+
+
+def anchor_relations(anchors: DataFrame, calls: DataFrame, tests: DataFrame, terms: DataFrame, scope: str, most: int) -> DataFrame:
+    """(scope, left, right, kind, score): the best kind of relation of each pair of a scope's anchors, `most` in all.
+
+    anchors (scope, id, score); calls (scope, left, right) and tests (scope, left, right) as observed; terms (scope,
+    id, term, weight): pairs meet over the terms that they share, never all against all.
+    """
+    a, b = terms.select(scope, "term", "weight", F.col("id").alias("left")), terms.select(scope, "term", F.col("id").alias("right"))
+    shared = a.join(b, [scope, "term"]).where("left < right").groupBy(scope, "left", "right").agg(F.max("weight").alias("weight"))
+    kinds = calls.select(scope, "left", "right", F.lit(0).alias("order"), F.lit("direct_call").alias("kind"), F.lit(4000).alias("bonus"))
+    kinds = kinds.union(tests.select(scope, "left", "right", F.lit(1), F.lit("test_reference"), F.lit(3000)))
+    kinds = kinds.union(shared.select(scope, "left", "right", F.lit(2), F.lit("shared_task_term"), (1000 + F.col("weight") * 10).cast("int")))
+    pair = [F.least("left", "right").alias("lo"), F.greatest("left", "right").alias("hi")]
+    best = kinds.where("left <> right").groupBy(scope, *pair).agg(F.min_by(F.struct("left", "right", "kind", "bonus"), F.struct("order", "left", "right")).alias("b")).select(scope, "b.*")
+    score = lambda end: anchors.select(scope, F.col("id").alias(end), F.col("score").alias(f"__{end}"))
+    scored = best.join(score("left"), [scope, "left"]).join(score("right"), [scope, "right"]).withColumn("score", F.col("__left") + F.col("__right") + F.col("bonus"))
+    return top_k(scored, [scope], [F.desc("score"), F.col("left"), F.col("right")], most).select(scope, "left", "right", "kind", "score")
+
+
+def cards_of(rows: DataFrame, card: str, member: str, complete: Column, needed: int) -> DataFrame:
+    """(card, members, badge): cards with their distinct members; full where so many are complete, else partial."""
+    per = rows.groupBy(card).agg(F.countDistinct(member).alias("members"), F.countDistinct(F.when(complete, F.col(member))).alias("__c"))
+    return per.select(card, "members", F.when(F.col("__c") >= needed, "full").otherwise("partial").alias("badge"))

@@ -121,3 +121,45 @@ def group_quota(rows: DataFrame, scope: list[str], group: str, folder: str, firs
     tier = F.when(F.col(first), 0).when(F.col("__g") <= quota, 1).otherwise(2)
     placed = ranked.withColumn("tier", tier).withColumn("position", F.row_number().over(Window.partitionBy(*scope).orderBy("tier", *keys)))
     return placed.where(F.col("position") <= total).drop("__f", "__late", "__g")
+
+
+def role_contract(candidates: DataFrame, scope: list[str], role: str, anchor: str, file: str, score: str, minimum: dict[str, int], per_file: int, total: int) -> DataFrame:
+    """rows with selected and reason: each required role's best anchors up to its minimum, roles in the order given,
+    then the best of the rest; an anchor once, at most per_file of a file and `total` of a scope.
+
+    Candidates (scope, role, anchor, file, score) are cut to the best `total` times two of each role before a scope
+    meets in one task, whose state is what it has selected.
+    """
+    from gleaner.operators.ranking import top_k
+
+    order = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in {r: k for k, r in enumerate(minimum)}.items() for x in pair)), F.col(role)), F.lit(len(minimum)))
+    near = top_k(candidates, [*scope, role], [F.desc(score), F.col(anchor)], 2 * total, "role_rank")
+    asked = near.where(F.col(role).isin(list(minimum))).select(*near.columns, F.lit(0).alias("pass"), order.alias("turn"))
+    rest = near.select(*near.columns, F.lit(1).alias("pass"), F.lit(0).alias("turn"))
+    queue = asked.union(rest).withColumn("down", -F.col(score))
+
+    def start():
+        seen, files, roles, chosen = set(), {}, {}, 0
+
+        def step(turn, r, a, f):
+            nonlocal chosen
+            if a in seen:
+                return (False, "duplicate")
+            if turn == 0 and roles.get(r, 0) >= minimum[r]:
+                return (False, "role_filled")
+            if files.get(f, 0) >= per_file:
+                return (False, "file_limit")
+            if chosen >= total:
+                return (False, "total_limit")
+            seen.add(a)
+            files[f] = files.get(f, 0) + 1
+            chosen += 1
+            if turn == 0:
+                roles[r] = roles.get(r, 0) + 1
+            return (True, "reserved" if turn == 0 else "filled")
+
+        return step
+
+    shape = {"selected": (T.BooleanType(), pa.bool_()), "reason": (T.StringType(), pa.string())}
+    out = fold_sorted(queue, scope, ["pass", "turn", "down", anchor, role], ["pass", role, anchor, file], shape, start)
+    return out.where("selected").drop("pass", "turn", "down", "role_rank", "selected")

@@ -613,3 +613,122 @@ def strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = per.groupBy("o_custkey").agg(*(F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}_{v}") for c in ("parts", "cost") for v in (0, 1)))
     better = F.when(F.col("parts_0").isNull() | F.col("parts_1").isNull(), "incomplete").when(F.col("parts_0") > F.col("parts_1"), "first").when(F.col("parts_1") > F.col("parts_0"), "second").when(F.col("cost_0") <= F.col("cost_1"), "first").otherwise("second")
     return wide.withColumn("better", better)
+
+
+_TERMS = ["widget", "bolt", "gear", "small", "cold", "core", "app"]
+
+
+@add("e8_layered_score", f"""WITH {FILES}, s AS (SELECT path, lower(path) AS low, split_part(lower(path), '/', -1) AS base, part % 29 = 0 AS seed, {_LIST(_TERMS)} AS terms FROM files), t AS (SELECT *, regexp_replace(base, '[.][^.]*$', '') AS stem, string_split_regex(base, '[^a-z0-9]+') AS words, list_slice(string_split(low, '/'), 1, len(string_split(low, '/')) - 1) AS dirs, contains(low, 'archive') OR contains(low, 'testdata') AS legacy FROM s),
+r AS (SELECT *, list_contains(terms, stem) OR list_contains(terms, base) AS a, list_has_any(terms, words) AS b, list_has_any(terms, dirs) AS c FROM t)
+SELECT path, CASE WHEN seed THEN 200 ELSE CASE WHEN a THEN 100 ELSE 0 END + CASE WHEN b THEN 70 ELSE 0 END + CASE WHEN c THEN 60 ELSE 0 END - CASE WHEN legacy THEN 100 ELSE 0 END END AS score,
+  CASE WHEN seed THEN 'seed' ELSE concat_ws(',', CASE WHEN a THEN 'exact_base' END, CASE WHEN b THEN 'base_word' END, CASE WHEN c THEN 'folder' END, CASE WHEN legacy THEN 'legacy' END) END AS reasons FROM r""")
+def layered_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = L.layered_score(F.col("path"), F.array(*map(F.lit, _TERMS)), F.col("part") % 29 == 0, ["archive", "testdata"])
+    return files(spark, sf_dir).select("path", made.alias("s")).select("path", "s.score", F.array_join("s.reasons", ",").alias("reasons"))
+
+
+@add("h4_shared_tokens", f"""WITH {FILES}, t AS (SELECT path, part, list_distinct(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND NOT list_contains({_LIST(L.COMMON_WORDS)}, w))) AS tokens, string_split_regex(lower(path), '[^a-z0-9]+') AS seg FROM files)
+SELECT t.path, len(t.tokens) AS tokens, len(list_intersect(t.tokens, {_LIST(_TERMS)})) AS shared, CAST(list_sum(list_transform({_LIST(_TERMS)}, lambda x: CASE WHEN len(list_filter(seg, lambda s: contains(s, x))) > 0 THEN 1 ELSE 0 END)) AS BIGINT) AS path_score FROM t""")
+def shared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, tokens = F.array(*map(F.lit, _TERMS)), L.semantic_tokens(F.col("path"))
+    return files(spark, sf_dir).select("path", F.size(tokens).alias("tokens"), L.shared_tokens(tokens, terms).alias("shared"), L.path_term_score(F.col("path"), terms).alias("path_score"))
+
+
+@add("h3_query_terms", """WITH w AS (SELECT DISTINCT conv_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM conversations), ig AS (SELECT term FROM w GROUP BY 1 HAVING count(DISTINCT conv_id) > 12), al AS (SELECT DISTINCT a.term, b.term AS alias FROM (SELECT DISTINCT term FROM w WHERE length(term) >= 6) a JOIN (SELECT DISTINCT term FROM w WHERE length(term) = 5) b ON left(a.term, 5) = b.term)
+SELECT conv_id, w.term, coalesce(alias, w.term) AS alias FROM w LEFT JOIN al ON al.term = w.term WHERE length(w.term) >= 2 AND w.term NOT IN (SELECT term FROM ig)""")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of conversations; words of many are ignored, and long words stand for the five-letter words they begin with."""
+    turns = table(spark, sf_dir, "conversations")
+    words = turns.select("conv_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term")).distinct()
+    ignored = words.groupBy("term").agg(F.count("*").alias("n")).where("n > 12")
+    every = words.select("term").distinct()
+    short = every.where("length(term) = 5").select(F.col("term").alias("alias"))
+    aliases = every.where("length(term) >= 6").withColumn("alias", F.substring("term", 1, 5)).join(short, "alias")
+    return E.query_terms(turns, "conv_id", "text", ignored, aliases)
+
+
+@add("b12_surface_quality", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, (['process_entry', 'cli_command', 'http_route', 'http_server', 'http_route_descriptor'])[l_partkey % 5 + 1] AS kind, l_returnflag <> 'R' AS exact, l_tax < 0.08 AS available, l_discount > 0.09 AS dep, l_suppkey % 3 <> 0 AS idn, l_suppkey % 4 <> 0 AS reg, l_suppkey % 7 <> 0 AS han, l_quantity > 10 AS sta FROM lineitem),
+r AS (SELECT *, CASE WHEN kind = 'process_entry' AND exact THEN 'entry_surface/partial' WHEN NOT available THEN 'rejected/rejected' WHEN dep THEN 'noisy/unsupported' WHEN kind IN ('cli_command', 'http_route') AND idn AND reg AND han AND sta AND exact THEN 'entry_surface/ready' WHEN kind = 'cli_command' THEN 'entry_surface/partial'
+  WHEN kind = 'http_route' AND idn AND reg THEN 'entry_surface/partial' WHEN kind = 'http_route' THEN 'dynamic_frontier/unsupported' WHEN kind = 'http_server' AND reg THEN 'entry_surface/partial' WHEN kind = 'http_server' THEN 'entry_surface/unsupported' WHEN idn AND reg THEN 'descriptor/partial' ELSE 'dynamic_frontier/unsupported' END AS q FROM t)
+SELECT kind, split_part(q, '/', 1) AS role, split_part(q, '/', 2) AS readiness, count(*) AS n FROM r GROUP BY ALL""")
+def surface_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as runtime surfaces with five dimensions of quality."""
+    kind = F.element_at(F.array(*map(F.lit, ["process_entry", "cli_command", "http_route", "http_server", "http_route_descriptor"])), (F.col("l_partkey") % 5 + 1).cast("int"))
+    s = F.col("l_suppkey")
+    made = L.surface_quality(F.col("kind"), F.col("l_returnflag") != "R", F.col("l_tax") < 0.08, F.col("l_discount") > 0.09, s % 3 != 0, s % 4 != 0, s % 7 != 0, F.col("l_quantity") > 10)
+    rows = table(spark, sf_dir, "lineitem").withColumn("kind", kind).select("kind", made.alias("q"))
+    return rows.groupBy("kind", "q.role", "q.readiness").agg(F.count("*").alias("n"))
+
+
+@add("c18_anchor_relations", """WITH a AS (SELECT l_orderkey AS task, l_linenumber AS id, max(CAST(l_quantity AS BIGINT)) AS score FROM lineitem GROUP BY ALL), c AS (SELECT DISTINCT x.l_orderkey AS task, x.l_linenumber AS l, y.l_linenumber AS r FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber WHERE x.l_returnflag = 'A'),
+t AS (SELECT DISTINCT x.l_orderkey AS task, x.l_linenumber AS l, y.l_linenumber AS r FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber + 2 WHERE x.l_returnflag = 'N'), m AS (SELECT DISTINCT l_orderkey AS task, l_linenumber AS id, l_suppkey % 5 AS term, l_suppkey % 5 + 8 AS weight FROM lineitem),
+s AS (SELECT x.task, x.id AS l, y.id AS r, max(x.weight) AS w FROM m x JOIN m y ON x.task = y.task AND x.term = y.term AND x.id < y.id GROUP BY ALL), k AS (SELECT task, l, r, 0 AS o, 'direct_call' AS kind, 4000 AS bonus FROM c UNION ALL SELECT task, l, r, 1, 'test_reference', 3000 FROM t UNION ALL SELECT task, l, r, 2, 'shared_task_term', 1000 + w * 10 FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY task, least(l, r), greatest(l, r) ORDER BY o, l, r) AS p FROM k), z AS (SELECT b.task, l, r, kind, x.score + y.score + bonus AS score FROM b JOIN a x ON x.task = b.task AND x.id = l JOIN a y ON y.task = b.task AND y.id = r WHERE p = 1)
+SELECT task, l AS "left", r AS "right", kind, score FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, l, r) AS q FROM z) WHERE q <= 4""")
+def anchor_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of an order as anchors: calls to the next line, tests of the line two before, terms by supplier."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("id"), "l_returnflag", "l_suppkey", F.col("l_quantity").cast("long").alias("score"))
+    anchors = items.groupBy("task", "id").agg(F.max("score").alias("score"))
+    lines = anchors.select("task", F.col("id").alias("right"))
+    near = lambda flag, step: items.where(F.col("l_returnflag") == flag).select("task", F.col("id").alias("left"), (F.col("id") + step).alias("right")).distinct().join(lines, ["task", "right"], "left_semi")
+    terms = items.select("task", "id", (F.col("l_suppkey") % 5).alias("term"), (F.col("l_suppkey") % 5 + 8).alias("weight")).distinct()
+    return E.anchor_relations(anchors, near("A", 1), near("N", -2), terms, "task", 4)
+
+
+@add("j3_verification_frontier", f"""WITH RECURSIVE {EDGES}, both_ AS (SELECT src, dst FROM edges WHERE n > 1 UNION SELECT dst, src FROM edges WHERE n > 1), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT b.dst, w.distance + 1 FROM walk w JOIN both_ b ON b.src = w.node WHERE w.distance < 2),
+d AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1), c AS (SELECT p_type AS kind, p_partkey, distance, p_size FROM part JOIN d ON d.node = p_partkey + 1000000000) SELECT kind, p_partkey, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY distance, p_size DESC, p_partkey) AS rank FROM c) WHERE rank <= 6""")
+def verification_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six parts of each type nearest to the entries over repeated relations either way: what to check first."""
+    linked = S.settle(G.undirected(edges(spark, sf_dir).where("n > 1")))
+    reach = G.distances(linked, _entries(spark, sf_dir), 2)
+    met = table(spark, sf_dir, "part").withColumn("node", F.col("p_partkey") + 1_000_000_000).join(reach, "node").withColumnRenamed("p_type", "kind")
+    return R.top_k(met, ["kind"], [F.col("distance"), F.desc("p_size"), F.col("p_partkey")], 6).select("kind", "p_partkey", "distance", "rank")
+
+
+@add("j5_response_evaluation", """WITH c AS (SELECT o_custkey AS task, count(*) AS expected, count(*) FILTER (o_orderstatus <> 'F') AS covered, bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') AS tripped FROM orders GROUP BY 1), g AS (SELECT o_custkey AS task, count(*) AS refs, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)) AS invalid, count(DISTINCT l_suppkey) AS evidence FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+r AS (SELECT c.task, round(covered / CAST(expected AS DOUBLE), 6) AS coverage, coalesce(invalid, 0) AS invalid, coalesce(evidence, 0) AS evidence, NOT tripped AS clear FROM c LEFT JOIN g USING (task)) SELECT *, coverage >= 0.4 AND invalid <= 4 AND evidence >= 3 AND clear AS passed FROM r""")
+def response_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tasks: directions covered, references grounded, evidence seen, tripwires clear; all must hold."""
+    orders = table(spark, sf_dir, "orders")
+    directions = orders.groupBy(F.col("o_custkey").alias("task")).agg(
+        F.count("*").alias("expected"), F.count_if(F.col("o_orderstatus") != "F").alias("covered"), F.bool_or((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")).alias("tripped")
+    )
+    met = orders.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("task"), F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    grounded = J.exists_flag(met, table(spark, sf_dir, "part").where("p_size <= 45"), ["p_partkey"], "known")
+    evidence = grounded.groupBy("task").agg(F.count_if(~F.col("known")).alias("invalid"), F.countDistinct("l_suppkey").alias("evidence"))
+    out = directions.join(evidence, "task", "left").select("task", F.round(F.col("covered") / F.col("expected"), 6).alias("coverage"), F.coalesce("invalid", F.lit(0)).alias("invalid"), F.coalesce("evidence", F.lit(0)).alias("evidence"), (~F.col("tripped")).alias("clear"))
+    return out.withColumn("passed", (F.col("coverage") >= 0.4) & (F.col("invalid") <= 4) & (F.col("evidence") >= 3) & F.col("clear"))
+
+
+@add("j10_theme_cards", """SELECT l_orderkey AS card, count(DISTINCT l_partkey) AS members, CASE WHEN count(DISTINCT l_partkey) FILTER (l_returnflag <> 'R') >= 3 THEN 'full' ELSE 'partial' END AS badge FROM lineitem GROUP BY 1""")
+def theme_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.cards_of(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "card"), "card", "l_partkey", F.col("l_returnflag") != "R", 3)
+
+
+@add("g18_handoff_groups", """WITH h AS (SELECT o_orderkey AS entry, s_nationkey AS target, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R' GROUP BY ALL), t AS (SELECT o_orderkey AS entry, count(l_orderkey) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'R' GROUP BY 1)
+SELECT t.entry, coalesce(string_agg(target || ':' || n, ',' ORDER BY target), '') AS handoffs, total, coalesce(sum(n), 0) = total AS checked FROM t LEFT JOIN h USING (entry) GROUP BY t.entry, total""")
+def handoff_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as process entries: exact handoffs grouped by the target's nation, with the totals checked."""
+    items = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("entry"), "l_suppkey")
+    groups = items.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("entry", F.col("s_nationkey").alias("target")).agg(F.count("*").alias("n"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("target", "n"))), lambda g: F.concat_ws(":", g["target"].cast("string"), g["n"].cast("string")))
+    listed = groups.groupBy("entry").agg(F.array_join(text, ",").alias("handoffs"), F.sum("n").alias("sum"))
+    total = items.groupBy("entry").agg(F.count("*").alias("total"))
+    out = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry")).join(total, "entry", "left").join(listed, "entry", "left")
+    return out.select("entry", F.coalesce("handoffs", F.lit("")).alias("handoffs"), F.coalesce("total", F.lit(0)).alias("total"), (F.coalesce("sum", F.lit(0)) == F.coalesce("total", F.lit(0))).alias("checked"))
+
+
+@add("f7_diverse_directions")
+def diverse_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as directions of their customer: anchors by supplier, terms by part, six unlike ones of the dearest first."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 6)).alias("anchors"), F.sort_array(F.collect_set(F.col("l_partkey") % 20)).alias("terms"))
+    rows = table(spark, sf_dir, "orders").join(items, "o_orderkey").select("o_custkey", (-F.col("o_totalprice")).alias("down"), "o_orderkey", "anchors", F.col("o_orderstatus").alias("stage"), "terms")
+    return X.diverse_directions(rows, ["o_custkey"], ["down", "o_orderkey"], "anchors", "stage", "terms", 6).select("o_custkey", "o_orderkey", "selected")
+
+
+@add("j2_role_contract")
+def role_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of each customer as candidates for roles: two of one flag and one of the next reserved, eight in all, three of a part's brand."""
+    met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = met.select("o_custkey", F.col("l_returnflag").alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("anchor"), F.col("p_brand").alias("file"), F.col("l_quantity").cast("long").alias("score")).distinct()
+    return X.role_contract(rows, ["o_custkey"], "role", "anchor", "file", "score", {"R": 2, "A": 1}, 3, 8).select("o_custkey", "role", "anchor", "file", "score", "reason")

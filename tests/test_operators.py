@@ -10,6 +10,7 @@ from gleaner.functions import paths as P
 from gleaner.functions import text as X
 from gleaner.functions.rules import PROSE_RULES, SIGNAL_RULES
 from gleaner.operators import evaluation as V
+from gleaner.operators import evidence
 from gleaner.operators import graph as G
 from gleaner.operators import incremental as C
 from gleaner.operators import intervals as I
@@ -18,6 +19,7 @@ from gleaner.operators import quality as Q
 from gleaner.operators import ranking as R
 from gleaner.operators import retrieval as T
 from gleaner.operators import scan as N
+from gleaner.operators import selection
 from gleaner.operators import sets as S
 from gleaner.sources import listing as L
 from gleaner.streaming import sessions as Z
@@ -185,3 +187,69 @@ def test_stream_and_batch_fold_agree(spark, tmp_path):
     finally:
         query.stop()
     assert got == want
+
+
+def test_diverse_directions_match_plain_choice(spark):
+    rnd = random.Random(4)
+    rows = [(s, i, sorted(rnd.sample(range(5), rnd.randint(0, 4))), rnd.choice("ab"), sorted(rnd.sample(range(6), rnd.randint(0, 5)))) for s in range(12) for i in range(20)]
+    df = spark.createDataFrame(rows, "s int, i int, anchors array<int>, stage string, terms array<int>")
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0
+    want = set()
+    for s in range(12):
+        kept = []
+        for r in (r for r in rows if r[0] == s):
+            if len(kept) < 4 and not any((j := jaccard(r[2], k[2])) >= 0.8 or (j >= 0.6 and r[3] == k[3]) or jaccard(r[4], k[4]) >= 0.68 for k in kept):
+                kept.append(r)
+        want |= {(s, r[1]) for r in kept}
+    found = selection.diverse_directions(df, ["s"], ["i"], "anchors", "stage", "terms", 4)
+    assert {(r["s"], r["i"]) for r in found.where("selected").collect()} == want and found.count() == len(rows)
+    assert selection.diverse_directions(df.where("false"), ["s"], ["i"], "anchors", "stage", "terms", 4).count() == 0
+
+
+def test_role_contract_matches_plain_choice(spark):
+    rnd = random.Random(5)
+    rows = [(s, rnd.choice("xyz"), a, f"f{rnd.randrange(6)}", rnd.randrange(9)) for s in range(10) for a in range(30)]
+    df = spark.createDataFrame(rows, "s int, role string, anchor int, file string, score int")
+    minimum, want = {"y": 2, "x": 1}, set()
+    for s in range(10):
+        seen, files, chosen = set(), {}, []
+        own = [r for r in rows if r[0] == s]
+        near = [r for role in "xyz" for r in sorted((r for r in own if r[1] == role), key=lambda r: (-r[4], r[2]))[:16]]
+        queue = [(r, role) for role in minimum for r in sorted((r for r in near if r[1] == role), key=lambda r: (-r[4], r[2]))] + [(r, None) for r in sorted(near, key=lambda r: (-r[4], r[2], r[1]))]
+        count = dict.fromkeys(minimum, 0)
+        for r, role in queue:
+            if r[2] in seen or (role and count[role] >= minimum[role]) or files.get(r[3], 0) >= 2 or len(chosen) >= 8:
+                continue
+            seen.add(r[2])
+            files[r[3]] = files.get(r[3], 0) + 1
+            chosen.append((s, r[2], "reserved" if role else "filled"))
+            if role:
+                count[role] += 1
+        want |= set(chosen)
+    found = selection.role_contract(df, ["s"], "role", "anchor", "file", "score", minimum, 2, 8)
+    assert {(r["s"], r["anchor"], r["reason"]) for r in found.collect()} == want
+
+
+def test_bytes_of_a_corpus_are_cut_between_characters(spark, tmp_path):
+    texts = ["", "plain", "ééé", "日本語", "a🙂b", "🙂🙂", None, "x" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "i int, content string").write.parquet(f"{tmp_path}/c")
+    for most in (1, 2, 3, 4, 5, 7):
+        for r in L.read_corpus(spark, f"{tmp_path}/c", most_bytes=most).collect():
+            data = None if texts[r["i"]] is None else texts[r["i"]].encode()
+            assert r["content"] == (None if data is None else data[:most].decode(errors="ignore")) and r["truncated"] == (data is not None and len(data) > most), (most, r)
+
+
+def test_short_names_are_searched(spark):
+    queries = spark.createDataFrame([("io",), ("n",), ("",), ("net/io",)], "query string")
+    names = spark.createDataFrame([("io",), ("net/io",), ("n",), ("",), (None,)], "name string")
+    found = {(r["query"], r["name"], r["match"]) for r in T.lexical_search(queries.withColumn("text", queries["query"]), names, "query", "text", "name").collect()}
+    assert found == {("io", "io", "exact"), ("io", "net/io", "substring"), ("n", "n", "exact"), ("n", "net/io", "prefix"), ("net/io", "net/io", "exact")}
+
+
+def test_evidence_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "a/b/c"), (1, "a/b/d"), (2, None), (3, "x"), (4, "a"), (4, "a/b")], "g int, path string")
+    assert {(r["g"], r["prefix"]) for r in evidence.common_prefix(rows, ["g"], "path").collect()} >= {(1, "a/b"), (3, "x"), (4, "a")}
+    keyed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None)], "k int, v string")
+    assert {tuple(r) for r in evidence.unique_rows(keyed, ["k"], ["v"]).collect()} == {(1, "a"), (3, None)}
+    votes = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "g int, o string")
+    assert {tuple(r) for r in evidence.majority(votes, ["g"], "o").collect()} == {(1, "a", 1)}
