@@ -702,5 +702,126 @@ def test_long_texts_are_searched_for_items_in_parts(monkeypatch):
         assert decontaminate.find(items, data, np.array([0, len(data)]), 0.8) == whole
 
 
+def plain_fingerprint(text):
+    """Piece by piece, byte by byte: a piece ends where the hash of the last WINDOW bytes is a multiple of the size."""
+    data, small, long = text, fingerprints.SMALLEST, fingerprints.LENGTH
+    rolled = []
+    for i in range(len(data)):
+        h = 0
+        for k in range(min(fingerprints.WINDOW, i + 1)):
+            h = (h + (data[i - k] + 1) * int(fingerprints._WEIGHTS[k])) & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+        rolled.append(h ^ h >> 13)
+
+    def pieces(size):
+        out, start = [], 0
+        for i, h in enumerate(rolled):
+            if h % size == 0 and len(out) < long - 1:
+                out.append(data[start : i + 1])
+                start = i + 1
+        return out + ([data[start:]] if start < len(data) else [])
+
+    if not data:
+        return f"{small}::"
+    size = small
+    while size * long < len(data):
+        size *= 2
+    while size > small and sum(h % size == 0 for h in rolled) < long // 2:
+        size //= 2
+    letters = lambda of: "".join(chr(fingerprints._LETTERS[int(fingerprints.mix(np.array([sum(int(fingerprints._BYTE_PLAIN[b]) * pow(fingerprints._BASE, k, 1 << 64) for k, b in enumerate(p)) % (1 << 64)], np.uint64))[0]) >> 58]) for p in of)
+    return f"{size}:{letters(pieces(size))}:{letters(pieces(2 * size))}"
+
+
+def test_fingerprints_match_pieces_cut_one_by_one():
+    rnd = random.Random(8)
+    texts = ["", "a", "abc" * 30, *(sentence(rnd, n) for n in (3, 20, 60, 150, 400)), "日本語🙂" * 40]
+    for text in texts:
+        for step in (64, fingerprints.SLICE_BYTES):
+            assert fingerprints.fingerprint(text.encode(), step) == plain_fingerprint(text.encode()), (text[:30], step)
+
+
+def test_likeness_is_the_edit_distance_of_letters():
+    """With insertions and deletions of cost 1: 1 - distance / both lengths."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (0 if x == y else 2)))
+        return row[-1]
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        a = "".join(rnd.choice("ABCDE") for _ in range(rnd.randint(1, 64)))
+        b = "".join(c for c in a if rnd.random() < 0.8) + "".join(rnd.choice("ABCDE") for _ in range(rnd.randint(0, 20)))
+        size = fingerprints.COMMON if min(len(a), len(b)) >= 2 * fingerprints.COMMON else fingerprints.SHORT
+        shares = any(a[i : i + size] in b for i in range(len(a) - size + 1))
+        want = 1.0 if a == b and len(a) >= fingerprints.COMMON else 1 - distance(a, b) / (len(a) + len(b)) if shares else 0.0
+        found = fingerprints.likeness(f"3:{a}:", f"3:{b}:x")
+        assert math.isclose(found, want, abs_tol=1e-12), (a, b)
+    assert fingerprints.likeness("3:ABCDEFG:HIJ", "24:ABCDEFG:HIJ") == 0.0 and fingerprints.likeness("3:A:ABCDEFGH", "6:ABCDEFGH:A") == 1.0
+
+
+def test_preference_weights_maximise_the_likelihood(spark):
+    """Newton steps summed by Spark against a plain gradient climb of the same penalised likelihood."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x @ np.array([1.0, -2.0, 0.5])))).astype(float)
+    rows = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.002 * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 2.0 * w)
+    assert np.allclose(quality._newton(rows, 25, 3, 2.0), w, atol=1e-3)
+
+
+def test_scores_after_training_match_a_plain_model(monkeypatch, spark):
+    """Baum-Welch and the forward recursion written out for every text and state."""
+    monkeypatch.setattr(hmm, "STATES", 3)
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    caught = {}
+    plain_train = hmm.train
+
+    def train(learned, common, weight, rounds):
+        caught["start"] = (common.copy(), weight.copy())
+        caught["model"] = plain_train(learned, common, weight, 2, 3)
+        return caught["model"]
+
+    monkeypatch.setattr(hmm, "train", train)
+    found = {r["doc_id"]: r for r in hmm.score_texts(docs, hmm.F.col("doc_id") % 7 != 2, rounds=2).collect()}
+    common, weight = caught["start"]
+    size, noise = len(common) + 1 + hmm.RARE, np.random.default_rng(11)
+    prior = (weight + 0.5) / (weight + 0.5).sum()
+    emits = prior[:, None] * noise.gamma(1.0, 1.0, (size, 3))
+    start, moves, emits = np.full(3, 1 / 3), np.full((3, 3), 0.05) + np.eye(3) * 0.85, emits / emits.sum(0)
+    place = {int(h): k for k, h in enumerate(common)}
+    symbols = {i: [place[int(words(np.frombuffer(w.encode(), np.uint8), np.array([0, 1])).hashes[0])] for w in t.split()] + [len(common)] for i, t in enumerate(texts)}
+    for _ in range(2):
+        sums = np.full(3, 0.1), np.full((3, 3), 0.1), prior[:, None] * np.full((1, 3), 10.0)
+        for i, run in symbols.items():
+            if i % 7 == 2:
+                continue
+            alpha = [start * emits[run[0]]]
+            for s in run[1:]:
+                alpha.append((alpha[-1] @ moves) * emits[s])
+            beta = [np.ones(3)]
+            for s in reversed(run[1:]):
+                beta.insert(0, moves @ (emits[s] * beta[0]))
+            p = alpha[-1].sum()
+            sums[0][:] += alpha[0] * beta[0] / p
+            for t, s in enumerate(run):
+                sums[2][s] += alpha[t] * beta[t] / p
+                if t:
+                    sums[1][:] += alpha[t - 1][:, None] * moves * (emits[s] * beta[t])[None, :] / p
+        start, moves, emits = sums[0] / sums[0].sum(), sums[1] / sums[1].sum(1, keepdims=True), sums[2] / sums[2].sum(0)
+    for i, run in symbols.items():
+        alpha = start * emits[run[0]]
+        for s in run[1:]:
+            alpha = (alpha @ moves) * emits[s]
+        assert math.isclose(found[i]["score"], math.log10(alpha.sum()), rel_tol=1e-3), i
+
+
 def test_registry_names_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
