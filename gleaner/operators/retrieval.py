@@ -25,9 +25,15 @@ def weighted_terms(tasks: DataFrame, task: str, text: str, most: int = 32) -> Da
     return top_k(once.select(task, "term", boost.cast("int").alias("weight"), "times", "pos"), [task], [F.desc("weight"), F.desc("times"), F.col("pos"), F.col("term")], most, "position").drop("pos")
 
 
-def inverted_index(files: DataFrame, file: str, text: str) -> DataFrame:
-    """(file, token, hits) over lower-cased word tokens."""
-    return files.select(file, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))).alias("token")).groupBy(file, "token").agg(F.count("*").alias("hits"))
+def inverted_index(files: DataFrame, file: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(file, token, hits) over lower-cased word tokens; only: the tokens (column token) that are asked for.
+
+    Tokens that nobody asks for go before anything is counted or shuffled: at once where `only` is a settled table
+    small enough for Spark to broadcast.
+    """
+    tokens = files.select(file, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))).alias("token"))
+    asked = tokens if only is None else tokens.join(only.select("token").distinct(), "token", "left_semi")
+    return asked.groupBy(file, "token").agg(F.count("*").alias("hits"))
 
 
 def score_files(terms: DataFrame, index: DataFrame, task: str, file: str, most: int = 40) -> DataFrame:

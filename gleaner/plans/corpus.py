@@ -9,6 +9,7 @@ from gleaner.functions.rules import PROSE_RULES, SIGNAL_RULES
 from gleaner.operators import ranking as R
 from gleaner.operators import retrieval as T
 from gleaner.operators import scan as N
+from gleaner.operators import sets as S
 from gleaner.plans.bindings import LINES, Registry, table
 
 registry = Registry()
@@ -101,8 +102,15 @@ def task_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.weighted_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def terms_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tasks' terms, and the documents' index of those terms."""
+    terms = S.settle(task_terms(spark, sf_dir))
+    asked = S.settle(terms.select(F.col("term").alias("token")).distinct())
+    return terms, T.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text", asked)
+
+
 def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.score_files(task_terms(spark, sf_dir), T.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text"), "item_id", "doc_id")
+    return T.score_files(*terms_and_index(spark, sf_dir), "item_id", "doc_id")
 
 
 @add("h2_weighted_terms", f"WITH {_TERMS} SELECT item_id, term, weight, times, position FROM terms")
@@ -118,9 +126,9 @@ def term_file_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("j1_task_retrieval")
 def task_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, scored documents, and the twelve that cover the terms best, one by one."""
-    terms = task_terms(spark, sf_dir)
-    index = T.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    best = task_scores(spark, sf_dir).select("item_id", "doc_id")
+    terms, index = terms_and_index(spark, sf_dir)
+    index = S.settle(index)
+    best = T.score_files(terms, index, "item_id", "doc_id").select("item_id", "doc_id")
     held = best.join(terms, "item_id").join(index.withColumnRenamed("token", "term"), ["doc_id", "term"])
     return T.coverage_greedy(held.select("item_id", "doc_id", "term", "weight"), "item_id", "doc_id", "term", "weight")
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,38 @@ def test_evidence_of_odd_tables(spark):
     assert {tuple(r) for r in evidence.unique_rows(keyed, ["k"], ["v"]).collect()} == {(1, "a"), (3, None)}
     votes = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "g int, o string")
     assert {tuple(r) for r in evidence.majority(votes, ["g"], "o").collect()} == {(1, "a", 1)}
+
+
+def test_task_retrieval_matches_plain_choice(spark):
+    """Terms, scores, the best candidates and the choice that covers the terms, in plain Python."""
+    rnd = random.Random(6)
+    words = [f"word{i}" for i in range(40)] + ["do_it", "MixedCase", "a.b"]
+    tasks = [(i, " ".join(rnd.choice(words) for _ in range(8))) for i in range(6)]
+    files = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))) for i in range(50)] + [(99, None)]
+    terms = T.weighted_terms(spark.createDataFrame(tasks, "task int, text string"), "task", "text")
+    docs = spark.createDataFrame(files, "file int, text string")
+    index = T.inverted_index(docs, "file", "text")
+    best = T.score_files(terms, index, "task", "file", 20)
+    held = best.select("task", "file").join(terms, "task").join(index.withColumnRenamed("token", "term"), ["file", "term"])
+    found = {(r["task"], r["file"], r["gain"], r["position"]) for r in T.coverage_greedy(held.select("task", "file", "term", "weight"), "task", "file", "term", "weight", 5).collect()}
+    weights = {(r["task"], r["term"]): r["weight"] for r in terms.collect()}
+    want = set()
+    for task, _ in tasks:
+        own = {t: w for (k, t), w in weights.items() if k == task}
+        hits = {f: {t: n for t in own if (n := sum(x == t for x in re.findall(r"\w+", text.lower())))} for f, text in files if text}
+        score = {f: sum(own[t] + 8 + min(n, 6) * 2 for t, n in h.items()) for f, h in hits.items() if h}
+        near = sorted(score, key=lambda f: (-score[f], -len(hits[f]), f))[:20]
+        covered = set()
+        for position in range(1, 6):
+            if not near:
+                break
+            pick = min(near, key=lambda f: (-sum(own[t] for t in hits[f] if t not in covered), f))
+            gain = sum(own[t] for t in hits[pick] if t not in covered)
+            if gain <= 0:
+                break
+            want.add((task, pick, gain, position))
+            near.remove(pick)
+            covered |= hits[pick].keys()
+    assert found == want
+    asked = spark.createDataFrame([("word1",), ("do_it",)], "token string")
+    assert rows(T.inverted_index(docs, "file", "text", asked)) == rows(index.where("token in ('word1', 'do_it')"))
