@@ -117,10 +117,11 @@ def group_quota(rows: DataFrame, scope: list[str], group: str, folder: str, firs
     quota = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col(group)), F.lit(0))
     near = rows.withColumn("__f", F.row_number().over(Window.partitionBy(*scope, group, folder).orderBy(F.desc(first), *keys))).where(F.col("__f") <= total)
     turned = near.withColumn("__late", F.col("__f") > per_folder)
-    ranked = turned.withColumn("__g", F.row_number().over(Window.partitionBy(*scope, group).orderBy(F.desc(first), "__late", *keys))).where(F.col("__g") <= total)
+    place = lambda *order: F.row_number().over(Window.partitionBy(*scope, group).orderBy(*order))
+    ranked = turned.withColumn("__g", place(F.desc(first), "__late", *keys)).withColumn("__k", place(*keys)).where((F.col("__g") <= total) | (F.col("__k") <= total))
     tier = F.when(F.col(first), 0).when(F.col("__g") <= quota, 1).otherwise(2)
     placed = ranked.withColumn("tier", tier).withColumn("position", F.row_number().over(Window.partitionBy(*scope).orderBy("tier", *keys)))
-    return placed.where(F.col("position") <= total).drop("__f", "__late", "__g")
+    return placed.where(F.col("position") <= total).drop("__f", "__late", "__g", "__k")
 
 
 def role_contract(candidates: DataFrame, scope: list[str], role: str, anchor: str, file: str, score: str, minimum: dict[str, int], per_file: int, total: int) -> DataFrame:

@@ -68,7 +68,7 @@ def grounding_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("l_orderkey", L.grounding_mode(F.col("kinds"), F.col("live")).alias("mode"))
 
 
-@add("b18_confidence_cap", """WITH f AS (SELECT o_orderkey, round(least(o_totalprice / 500000, 1), 6) AS c, o_orderpriority = '1-URGENT' AND coalesce(bool_and(l_returnflag <> 'A'), true) AS execution, o_orderstatus = 'F' AND coalesce(bool_and(l_returnflag <> 'N'), true) AS entrypoint,
+@add("b18_confidence_cap", """WITH f AS (SELECT o_orderkey, least(o_totalprice / 500000, 1) AS c, o_orderpriority = '1-URGENT' AND coalesce(bool_and(l_returnflag <> 'A'), true) AS execution, o_orderstatus = 'F' AND coalesce(bool_and(l_returnflag <> 'N'), true) AS entrypoint,
   o_orderstatus = 'F' AND count(l_orderkey) < 3 AS dispatch, o_orderstatus = 'F' AND count(l_orderkey) >= 3 AND max(l_quantity) < 40 AS core_call, o_custkey % 7 = 0 AS context FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, o_custkey),
 g AS (SELECT *, least(1.0, CASE WHEN execution OR entrypoint OR dispatch THEN 0.3 ELSE 1.0 END, CASE WHEN core_call THEN 0.5 ELSE 1.0 END, CASE WHEN context THEN 0.6 ELSE 1.0 END) AS cap, concat_ws(',', CASE WHEN execution THEN 'execution' END, CASE WHEN entrypoint THEN 'entrypoint' END, CASE WHEN dispatch THEN 'dispatch' END, CASE WHEN core_call THEN 'core_call' END, CASE WHEN context THEN 'context' END) AS missing FROM f)
 SELECT o_orderkey, CAST(least(c, cap) AS DOUBLE) AS confidence, CAST(cap AS DOUBLE) AS cap, missing, CASE WHEN missing = '' THEN 'verified' ELSE 'partial' END AS status, c > cap AS capped FROM g""")
@@ -86,7 +86,7 @@ def confidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
         "core_call": cli & (F.col("n") >= 3) & (F.col("q") < 40),
         "context": F.col("o_custkey") % 7 == 0,
     }
-    made = L.capped_confidence(F.round(F.least(F.col("o_totalprice") / 500000, F.lit(1.0)), 6), missing)
+    made = L.capped_confidence(F.least(F.col("o_totalprice") / 500000, F.lit(1.0)), missing)
     return met.withColumn("m", made).select("o_orderkey", "m.confidence", "m.cap", F.array_join("m.missing", ",").alias("missing"), "m.status", "m.capped")
 
 
