@@ -205,3 +205,10 @@ def surface_quality(kind: Column, exact: Column, available: Column, dependency:
         .when(identity & registration, made("descriptor", "partial"))
         .otherwise(made("dynamic_frontier", "unsupported"))
     )
+
+
+def candidate_path_score(path: Column, receiver_file: Column, method: Column, question: Column, saved: Column) -> Column:
+    """Score of a file for a call: named after the receiver, words of its name that the method or the question has, read before."""
+    base = F.element_at(F.split(F.lower(path), "/"), -1)
+    words = F.array_distinct(F.split(base, "[^a-z0-9]+"))
+    return F.when(base == receiver_file, 100).otherwise(0) + 20 * F.size(F.array_intersect(words, method)) + 4 * F.size(F.array_intersect(words, question)) + F.when(saved, 8).otherwise(0)

@@ -115,3 +115,21 @@ def invalid(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFrame:
     known = nodes.select("node").distinct()
     ends = [edges.join(known.select(F.col("node").alias(end)), end, "left_anti").select(F.lit(f"unknown_{end}").alias("code"), F.col(end).alias("id")).distinct() for end in ("src", "dst")]
     return twice.union(odd).union(ends[0]).union(ends[1])
+
+
+def critical_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(src, dst, distance, rank, position): edges of the breadth-first tree's paths to targets (node, rank), each edge
+    for its best target, `budget` of them in all: best targets first, from the sources on."""
+    from gleaner.operators.ranking import top_k
+
+    reach = settle(distances(edges, sources, depth))
+    at = lambda end, name: reach.select(F.col("node").alias(end), F.col("distance").alias(name))
+    tree = edges.select("src", "dst").distinct().join(at("src", "before"), "src").join(at("dst", "distance"), "dst").where("distance = before + 1")
+    tree = settle(tree.groupBy("dst", "distance").agg(F.min("src").alias("src")))
+    front, out = settle(targets.join(reach, "node").select("node", "rank")), None
+    for _ in range(depth):
+        step = settle(front.withColumnRenamed("node", "dst").join(tree, "dst").groupBy("src", "dst", "distance").agg(F.min("rank").alias("rank")))
+        out = step if out is None else out.union(step)
+        front = step.groupBy(F.col("src").alias("node")).agg(F.min("rank").alias("rank"))
+    best = out.groupBy("src", "dst", "distance").agg(F.min("rank").alias("rank")).withColumn("__all", F.lit(0))
+    return top_k(best, ["__all"], [F.col("rank"), F.col("distance"), F.col("src"), F.col("dst")], budget, "position").drop("__all")

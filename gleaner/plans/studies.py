@@ -732,3 +732,27 @@ def role_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = met.select("o_custkey", F.col("l_returnflag").alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("anchor"), F.col("p_brand").alias("file"), F.col("l_quantity").cast("long").alias("score")).distinct()
     return X.role_contract(rows, ["o_custkey"], "role", "anchor", "file", "score", {"R": 2, "A": 1}, 3, 8).select("o_custkey", "role", "anchor", "file", "score", "reason")
+
+
+@add("e27_candidate_paths", f"""WITH {FILES}, b AS (SELECT repo, path, part, regexp_extract(lower(path), '[^/]*$') AS base FROM files), r AS (SELECT repo, min(base) AS receiver FROM b WHERE ends_with(base, '.go') GROUP BY 1),
+s AS (SELECT b.repo, path, CASE WHEN base = receiver THEN 100 ELSE 0 END + 20 * len(list_intersect(list_distinct(string_split_regex(base, '[^a-z0-9]+')), ['widget0', 'small', 'test'])) + 4 * len(list_intersect(list_distinct(string_split_regex(base, '[^a-z0-9]+')), ['cold', 'go'])) + CASE WHEN part % 10 = 0 THEN 8 ELSE 0 END AS score FROM b JOIN r USING (repo))
+SELECT repo, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= 5""")
+def candidate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files of each repository for a call whose receiver is its first Go file by name."""
+    own = files(spark, sf_dir)
+    base = F.element_at(F.split(F.lower("path"), "/"), -1)
+    receivers = own.where(F.endswith(base, F.lit(".go"))).groupBy("repo").agg(F.min(base).alias("receiver"))
+    words = lambda *of: F.array(*map(F.lit, of))
+    score = L.candidate_path_score(F.col("path"), F.col("receiver"), words("widget0", "small", "test"), words("cold", "go"), F.col("part") % 10 == 0)
+    return R.top_k(own.join(receivers, "repo").select("repo", "path", score.alias("score")), ["repo"], [F.desc("score"), F.col("path")], 5).select("repo", "path", "score", "rank")
+
+
+@add("g8_critical_edges", f"""WITH RECURSIVE {EDGES}, one AS (SELECT src, dst FROM edges WHERE n > 1), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN one e ON e.src = w.node WHERE w.distance < 4), reach AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1),
+tree AS (SELECT e.dst, d.distance, min(e.src) AS src FROM one e JOIN reach s ON s.node = e.src JOIN reach d ON d.node = e.dst WHERE d.distance = s.distance + 1 GROUP BY ALL), t AS (SELECT p_partkey + 1000000000 AS node, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part), goal AS (SELECT node, rank FROM t WHERE rank <= 200),
+back(src, dst, distance, rank) AS (SELECT tree.src, tree.dst, tree.distance, rank FROM goal JOIN tree ON tree.dst = node UNION SELECT tree.src, tree.dst, tree.distance, b.rank FROM back b JOIN tree ON tree.dst = b.src), best AS (SELECT src, dst, distance, min(rank) AS rank FROM back GROUP BY ALL)
+SELECT src, dst, distance, rank, position FROM (SELECT *, row_number() OVER (ORDER BY rank, distance, src, dst) AS position FROM best) WHERE position <= 60""")
+def critical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty edges at most on the way from the entries to the two hundred largest parts, over relations of two witnesses."""
+    graph = S.settle(edges(spark, sf_dir).where("n > 1").select("src", "dst"))
+    targets = R.top_k(table(spark, sf_dir, "part").withColumn("__all", F.lit(0)), ["__all"], [F.desc("p_size"), F.col("p_partkey")], 200)
+    return G.critical_edges(graph, _entries(spark, sf_dir), targets.select((F.col("p_partkey") + 1_000_000_000).alias("node"), "rank"), 4, 60)
