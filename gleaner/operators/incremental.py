@@ -22,14 +22,18 @@ def symmetric_difference(saved: DataFrame, current: DataFrame, on: list[str]) ->
     return a.join(b, on, "left_anti").withColumn("side", F.lit("saved")).union(b.join(a, on, "left_anti").withColumn("side", F.lit("current")))
 
 
-def input_freshness(captured: DataFrame, current: DataFrame, owner: list[str], path: str, digest: str) -> DataFrame:
-    """(owner, status, affected): fresh, partially_stale (some input changed or gone) or unavailable (all gone)."""
+def input_freshness(captured: DataFrame, current: DataFrame, owner: list[str], path: str, digest: str, scope: list[str] | None = None) -> DataFrame:
+    """(owner, status, affected): fresh, unrelated (only inputs of other owners in the scope changed), partially_stale
+    (some input changed or gone) or unavailable (all gone).  scope: columns of the owner; none: nothing is unrelated."""
     now = current.select(path, F.col(digest).alias("__now"))
     met = captured.join(now, path, "left")
     stale = F.count(F.when(~F.col(digest).eqNullSafe(F.col("__now")), 1))
     gone = F.count(F.when(F.col("__now").isNull(), 1))
-    out = met.groupBy(*owner).agg(stale.alias("affected"), gone.alias("__gone"), F.count("*").alias("__n"))
-    status = F.when(F.col("affected") == 0, "fresh").when(F.col("__gone") == F.col("__n"), "unavailable").otherwise("partially_stale")
+    out = met.groupBy(*owner).agg(stale.alias("affected"), gone.alias("__gone"), F.count("*").alias("__n")).withColumn("__moved", F.lit(0))
+    if scope:
+        moved = out.groupBy(*scope).agg(F.sum("affected").alias("__moved"))
+        out = out.drop("__moved").join(moved, scope)
+    status = F.when((F.col("affected") == 0) & (F.col("__moved") > 0), "unrelated").when(F.col("affected") == 0, "fresh").when(F.col("__gone") == F.col("__n"), "unavailable").otherwise("partially_stale")
     return out.select(*owner, status.alias("status"), "affected")
 
 

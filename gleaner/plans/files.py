@@ -190,9 +190,10 @@ def task_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.task_kind(F.col("text")).alias("kind"))
 
 
-@add("h8_redact_secrets", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*"?[A-Za-z0-9_\-./+]{8,}|\bbearer\s+[A-Za-z0-9_\-.=]{8,}|\b(?:ghp_|sk-|akia)[A-Za-z0-9]{10,}')) AS secrets FROM documents""")
+@add("h8_redact_secrets", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|token|secret|password|passwd)\s*[:=]\s*"?[A-Za-z0-9_\-./+]{8,}|\bbearer\s+[A-Za-z0-9_\-.=]{8,}|\b(?:ghp_|sk-|akia)[A-Za-z0-9]{10,}')) AS secrets,
+  sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(api[_-]?key|token|secret|password|passwd)(\s*[:=]\s*"?)[A-Za-z0-9_\-./+]{8,}', '\1\2[redacted]', 'g'), '(?i)\bbearer\s+[A-Za-z0-9_\-.=]{8,}', 'Bearer [redacted]', 'g'), '\b(ghp_|sk-|AKIA)[A-Za-z0-9]{10,}', '[redacted]', 'g')) AS redacted_sha256 FROM documents""")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.secret_count(F.col("text")).cast("long").alias("secrets"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.secret_count(F.col("text")).cast("long").alias("secrets"), F.sha2(X.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
 @add("h10_tripwire", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'mit')")

@@ -226,13 +226,14 @@ def dirty_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.symmetric_difference(f.where("size <> 1"), f.where("size <> 2"), ["repo", "path"])
 
 
-@add("k6_input_freshness", """WITH c AS (SELECT o_custkey AS owner, o_orderkey AS path, o_orderstatus AS h FROM orders), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS h FROM orders WHERE o_orderstatus <> 'P')
-SELECT owner, CASE WHEN count(*) FILTER (c.h IS DISTINCT FROM n.h) = 0 THEN 'fresh' WHEN count(*) FILTER (n.h IS NULL) = count(*) THEN 'unavailable' ELSE 'partially_stale' END AS status, count(*) FILTER (c.h IS DISTINCT FROM n.h) AS affected FROM c LEFT JOIN n USING (path) GROUP BY 1""")
+@add("k6_input_freshness", """WITH c AS (SELECT o_custkey % 40 AS scope, o_orderkey % 400 AS owner, o_orderkey AS path, o_orderstatus AS h FROM orders), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 97 = 0 THEN 'Z' ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 89 > 0),
+f AS (SELECT scope, owner, count(*) AS n, count(*) FILTER (n.h IS NULL) AS gone, count(*) FILTER (c.h IS DISTINCT FROM n.h) AS affected FROM c LEFT JOIN n USING (path) GROUP BY ALL), m AS (SELECT *, sum(affected) OVER (PARTITION BY scope) AS moved FROM f)
+SELECT scope, owner, CASE WHEN affected = 0 AND moved > 0 THEN 'unrelated' WHEN affected = 0 THEN 'fresh' WHEN gone = n THEN 'unavailable' ELSE 'partially_stale' END AS status, affected FROM m""")
 def input_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    captured = o.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("h"))
-    now = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 7 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("h"))
-    return C.input_freshness(captured, now, ["owner"], "path", "h")
+    captured = o.select((F.col("o_custkey") % 40).alias("scope"), (F.col("o_orderkey") % 400).alias("owner"), F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("h"))
+    now = o.where("o_orderkey % 89 > 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 97 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("h"))
+    return C.input_freshness(captured, now, ["scope", "owner"], "path", "h", ["scope"])
 
 
 @add("k7_index_invalidation", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 50))")
