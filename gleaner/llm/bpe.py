@@ -30,7 +30,7 @@ from gleaner.llm.words import slices
 
 #: Bytes, about, that a worker keeps of pieces already encoded in each of two generations, and what a piece takes beside
 #: its characters and tokens; transducer states kept, at most, and three times as many seams.
-MEMO, PIECE_BYTES, STATES = 80 << 20, 150, 100_000
+MEMO, PIECE_BYTES, STATES = 160 << 20, 150, 100_000
 #: Characters of a text beyond which it is encoded in runs of RUN pieces, so that the ids of a huge text
 #: never stand in memory together.
 LONG, RUN = 1 << 20, 50_000

@@ -102,10 +102,10 @@ def meet(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     The partners of b are dealt over parts of about PART, each with its own copy of b's text, so that
     every text moves about once and no b gathers all its partners in one task.
     """
-    pairs = settle(pairs)
+    pairs = rewrite(pairs)
     load = pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     against = pairs.join(load, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("own"))
     bases = load.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("own"))
-    wanted = settle(against.union(bases))
+    wanted = rewrite(against.union(bases))
     rows = wanted.join(mostly_of(wanted, texts), "id").select("b", "part", "own", F.col("id").alias("a"), "text")
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "own")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, meet, of_ids, settle, table
+from gleaner.llm.common import components, meet, of_ids, release, rewrite, settle, table
 from gleaner.llm.words import flat, mix, shingle_set, shingles, slices, words
 
 BANDS, ROWS = 30, 5
@@ -233,14 +233,14 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     """
     threshold = numerator / denominator
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = settle(texts.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, regs binary"))
-    sets = settle(
+    sketches = rewrite(texts.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, regs binary"))
+    sets = rewrite(
         sketches.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("set_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
     width = 2 * ROWS
     bands = sets.select("set_id", F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width)) for k in range(BANDS)))).alias("band"))
     buckets = bands.groupBy("band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b < top").select("band", "b")
-    shared = settle(bands.join(buckets, "band"))
+    shared = rewrite(bands.join(buckets, "band"))
     star = shared.where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     of = lambda side: sets.select(F.col("set_id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
     sized = star.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
@@ -248,12 +248,13 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     best = screened.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     links = settle(confirm(best, texts, numerator, denominator))
     first = settle(components(links))
+    release(docs.sparkSession)
 
     owner = shared.select("band", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     sized = owner.join(sets.select("set_id", "n"), "set_id")
     mixed = sized.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("size")).where("low < high")
-    members = settle(sized.join(mixed.select("band", F.ceil("size").cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")))
-    small = settle(of_ids(members.select(F.col("set_id").alias("id")).distinct(), texts).mapInArrow(_small_sets, "set_id long, small binary").dropDuplicates(["set_id"]))
+    members = rewrite(sized.join(mixed.select("band", F.ceil("size").cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")))
+    small = rewrite(of_ids(members.select(F.col("set_id").alias("id")).distinct(), texts).mapInArrow(_small_sets, "set_id long, small binary").dropDuplicates(["set_id"]))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(small, "set_id")
     blocks = spread.groupBy("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).agg(
         F.collect_list(F.struct("set_id", "component", "n", "block", "small")).alias("members")
