@@ -27,6 +27,8 @@ from gleaner.llm.words import SLICE_BYTES, flat, slices
 ORDER = 3
 #: Training texts per language at most, whole: those least by hash of their id.
 DOCS_PER_LANG = 400
+#: Bytes of texts judged at once; a few arrays of a number a byte and language stand beside them.
+PART_BYTES = 512 << 10
 #: Longer texts' code lengths are scaled to this many bytes for the score, so that it says more than 0 or 1.
 CONFIDENT_BYTES = 40
 
@@ -184,7 +186,7 @@ class _Judge:
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         data, at = flat(texts)
-        for i, j in slices(np.diff(at)):
+        for i, j in slices(np.diff(at), PART_BYTES):
             size = np.diff(at[i : j + 1])
             letters = np.array([bool(t) and self.letter(t) is not None for t in texts.slice(i, j - i).to_pylist()], bool)
             bits = self.scorer.lengths(data[at[i] : at[j]], at[i : j + 1] - at[i])
