@@ -69,7 +69,7 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     else:
         raise ValueError(f"scores up to {bound} need more primes")
     whole = digits[-1].astype(np.int64 if bound <= LAST else object)
-    for d, p in zip(digits[-2::-1], PRIMES[len(digits) - 2 :: -1], strict=True):
+    for d, p in reversed([*zip(digits[:-1], PRIMES, strict=False)]):
         whole = whole * p + d
     return whole if bound <= LAST else np.clip(whole, -LAST - 1, LAST).astype(np.int64)
 
