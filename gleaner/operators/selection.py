@@ -124,20 +124,33 @@ def group_quota(rows: DataFrame, scope: list[str], group: str, folder: str, firs
     return placed.where(F.col("position") <= total).drop("__f", "__late", "__g", "__k")
 
 
-def role_contract(candidates: DataFrame, scope: list[str], role: str, anchor: str, file: str, score: str, minimum: dict[str, int], per_file: int, total: int) -> DataFrame:
-    """rows with selected and reason: each required role's best anchors up to its minimum, roles in the order given,
-    then the best of the rest; an anchor once, at most per_file of a file and `total` of a scope.
-
-    Candidates (scope, role, anchor, file, score) are cut to the best `total` times two of each role before a scope
-    meets in one task, whose state is what it has selected.
+def role_contract(candidates: DataFrame, scope: list[str], role: str, anchor: str, file: str, score: str, minimum: dict[str, int], per_file: int, total: int, fill: str | None = None) -> DataFrame:
+    """rows with reason: each required role's best anchors up to its minimum, roles in the order given, then the best
+    of the rest by `fill` (the score, if none is named); an anchor once, at most per_file of a file and `total` of a
+    scope.  Of several rows of an anchor and role the best counts, then the least file; of an anchor's rows, the
+    best by fill, then the least role and file, where the rest is filled.
+
+    Before a scope meets in one task, its candidates are cut to those that can still be chosen.  Of a file, a role
+    passes over `total` chosen anchors at most before it has chosen per_file or the file is full; on its way to
+    `total` choices it passes over `total` chosen anchors and the rows left of total / per_file full files.  So the
+    rows that are kept decide the same as all do, and a task holds what it has selected.
     """
     from gleaner.operators.ranking import top_k
 
-    order = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in {r: k for k, r in enumerate(minimum)}.items() for x in pair)), F.col(role)), F.lit(len(minimum)))
-    near = top_k(candidates, [*scope, role], [F.desc(score), F.col(anchor)], 2 * total, "role_rank")
-    asked = near.where(F.col(role).isin(list(minimum))).select(*near.columns, F.lit(0).alias("pass"), order.alias("turn"))
-    rest = near.select(*near.columns, F.lit(1).alias("pass"), F.lit(0).alias("turn"))
-    queue = asked.union(rest).withColumn("down", -F.col(score))
+    fill = fill or score
+    turn = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in {r: k for k, r in enumerate(minimum)}.items() for x in pair)), F.col(role)), F.lit(len(minimum)))
+    of_file = per_file + total
+    of_role = 2 * total + total // max(1, per_file) * of_file
+
+    def cut(rows: DataFrame, one: list[str], group: list[str], by: str) -> DataFrame:
+        once = top_k(rows, one, [F.desc(by), F.col(role), F.col(file)], 1, "__rank").drop("__rank")
+        order = [F.desc(by), F.col(anchor), F.col(role)]
+        near = top_k(once, [*group, file], order, of_file, "__rank").drop("__rank")
+        return top_k(near, group, order, of_role, "__rank").drop("__rank")
+
+    columns = candidates.columns
+    asked = cut(candidates.where(F.col(role).isin(list(minimum))), [*scope, role, anchor], [*scope, role], score).select(*columns, F.lit(0).alias("pass"), turn.alias("turn"), (-F.col(score)).alias("down"))
+    rest = cut(candidates, [*scope, anchor], scope, fill).select(*columns, F.lit(1).alias("pass"), F.lit(0).alias("turn"), (-F.col(fill)).alias("down"))
 
     def start():
         seen, files, roles, chosen = set(), {}, {}, 0
@@ -162,5 +175,5 @@ def role_contract(candidates: DataFrame, scope: list[str], role: str, anchor: st
         return step
 
     shape = {"selected": (T.BooleanType(), pa.bool_()), "reason": (T.StringType(), pa.string())}
-    out = fold_sorted(queue, scope, ["pass", "turn", "down", anchor, role], ["pass", role, anchor, file], shape, start)
-    return out.where("selected").drop("pass", "turn", "down", "role_rank", "selected")
+    out = fold_sorted(asked.union(rest), scope, ["pass", "turn", "down", anchor, role], ["pass", role, anchor, file], shape, start)
+    return out.where("selected").drop("pass", "turn", "down", "selected")

@@ -63,3 +63,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = """edges AS (
   SELECT l_suppkey AS src, l_partkey + 1000000000 AS dst, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL
   UNION ALL SELECT l_partkey + 1000000000, l_suppkey, count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"""
+
+
+def choice_sql(rows: str, columns: str, minimum: dict[str, int], per_file: int, total: int) -> str:
+    """Anchors chosen one by one from the whole queue of each scope, in SQL: reserved by role, then filled.
+
+    `rows` has scope, role, anchor, file, score and fill; nothing is cut beforehand.
+    """
+    turn = "CASE role " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(minimum)) + " END"
+    least = "CASE q.role " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in minimum.items()) + " END"
+    return f"""queue AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY pass, turn, down, anchor, role) AS k FROM (
+      SELECT scope, role, anchor, file, 0 AS pass, {turn} AS turn, -score AS down FROM (SELECT * FROM {rows} WHERE role IN ({', '.join(f"'{r}'" for r in minimum)}) QUALIFY row_number() OVER (PARTITION BY scope, role, anchor ORDER BY score DESC, file) = 1)
+      UNION ALL SELECT scope, role, anchor, file, 1, 0, -fill FROM (SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY scope, anchor ORDER BY fill DESC, role, file) = 1))),
+    walk AS (SELECT scope, 0::BIGINT AS k, []::BIGINT[] AS seen, []::VARCHAR[] AS held, []::VARCHAR[] AS roles, NULL::VARCHAR AS reason FROM (SELECT DISTINCT scope FROM queue) UNION ALL
+      SELECT scope, k, CASE WHEN ok THEN list_append(seen, anchor) ELSE seen END, CASE WHEN ok THEN list_append(held, file) ELSE held END, CASE WHEN ok AND pass = 0 THEN list_append(roles, role) ELSE roles END, CASE WHEN ok THEN CASE pass WHEN 0 THEN 'reserved' ELSE 'filled' END END
+      FROM (SELECT w.scope, q.k, w.seen, w.held, w.roles, q.anchor, q.file, q.pass, q.role, NOT list_contains(w.seen, q.anchor) AND (q.pass = 1 OR len(list_filter(w.roles, lambda r: r = q.role)) < {least}) AND len(list_filter(w.held, lambda f: f = q.file)) < {per_file} AND len(w.seen) < {total} AS ok
+        FROM walk w JOIN queue q ON q.scope = w.scope AND q.k = w.k + 1))
+    SELECT {columns} FROM walk JOIN queue q USING (scope, k) WHERE reason IS NOT NULL"""

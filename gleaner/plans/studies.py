@@ -12,7 +12,7 @@ from gleaner.operators import joins as J
 from gleaner.operators import ranking as R
 from gleaner.operators import selection as X
 from gleaner.operators import sets as S
-from gleaner.plans.bindings import EDGES, FILES, Registry, edges, files, table
+from gleaner.plans.bindings import EDGES, FILES, Registry, choice_sql, edges, files, table
 
 registry = Registry()
 add = registry.add
@@ -726,7 +726,8 @@ def diverse_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.diverse_directions(rows, ["o_custkey"], ["down", "o_orderkey"], "anchors", "stage", "terms", 6).select("o_custkey", "o_orderkey", "selected")
 
 
-@add("j2_role_contract")
+@add("j2_role_contract", f"""WITH RECURSIVE cand AS (SELECT DISTINCT o_custkey AS scope, l_returnflag AS role, l_orderkey * 10 + l_linenumber AS anchor, p_brand AS file, l_quantity::BIGINT AS score, l_quantity::BIGINT AS fill FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+{choice_sql('cand', 'scope AS o_custkey, q.role, q.anchor, q.file, -q.down AS score, reason', {'R': 2, 'A': 1}, 3, 8)}""")
 def role_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of each customer as candidates for roles: two of one flag and one of the next reserved, eight in all, three of a part's brand."""
     met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
