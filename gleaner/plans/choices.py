@@ -1,14 +1,17 @@
-"""Queries over choices: roles, covering frontiers."""
+"""Queries over choices: roles, covering frontiers, walks under limits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import expansion as Z
 from gleaner.operators import frontier as Y
+from gleaner.operators import retrieval as W
 from gleaner.operators import roles as O
 from gleaner.operators import selection as X
-from gleaner.plans.bindings import FILES, Registry, choice_sql, files, table
+from gleaner.operators import sets as S
+from gleaner.plans.bindings import FILES, Registry, choice_sql, edges, files, table
 
 registry = Registry()
 add = registry.add
@@ -79,3 +82,37 @@ def coverage_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scope"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank"))
     near = near.select("scope", F.explode(F.array(F.lit("R"), F.lit("A"))).alias("role"), ((F.col("scope") + F.col("rank")) % 25).alias("bucket"), "rank")
     return Y.coverage_frontier(rows, ["scope"], "span", "role", "bucket", "targets", "order", 40, near)
+
+
+def link_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(callables, edges): pages by their titles, and what they link to by its own name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    links = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))).alias("dst")).distinct()
+    titles = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("name"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    refs = links.select(F.col("dst").alias("node")).distinct().select("node", F.substring("node", 2, 1 << 30).alias("name"), F.col("node").alias("path"))
+    return titles.union(refs), links
+
+
+def asked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, term): the twelve strongest words of each conversation's first turn."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    terms = W.weighted_terms(first, "conv_id", "text", 12)
+    return terms.where("length(term) > 2").select(F.col("conv_id").alias("query"), "term")
+
+
+@add("g16_question_expansion")
+def question_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a question over the whole graph of pages and links."""
+    callables, links = link_graph(spark, sf_dir)
+    return Z.question_expansion(callables, links, asked_terms(spark, sf_dir))
+
+
+@add("g7_entry_calls")
+def entry_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a root of the whole call graph: families admitted (reason null) and left out, of each node."""
+    calls = S.settle(edges(spark, sf_dir))
+    roots = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    late = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_tax > 0.07").groupBy(F.col("l_suppkey").alias("node")).agg(F.count("*").alias("n")).withColumn("reason", F.lit("dynamic_invoke"))
+    families, rest = Z.entry_calls(calls, roots, left_out=late)
+    kept = families.select("root", F.col("caller").alias("node"), "callee", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("families"), "witnesses", "position")
+    return kept.unionByName(rest.select("root", "node", F.lit(None).cast("long").alias("callee"), "reason", "families", "witnesses", F.lit(None).cast("int").alias("position")))

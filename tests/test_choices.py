@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import frontier, roles, selection
+from gleaner.operators import expansion, frontier, roles, selection
 
 
 def plain_contract(rows, minimum, per_file, total):
@@ -129,3 +129,113 @@ def test_frontier_of_one_large_scope(spark):
     found = frontier.coverage_frontier(rows, ["scope"], "span", "role", "bucket", "targets", "order", 60).orderBy("position").collect()
     assert [(r["span"], r["phase"]) for r in found] == want
     assert frontier.coverage_frontier(rows.where("false"), ["scope"], "span", "role", "bucket", "targets", "order", 60).count() == 0
+
+
+def words_of(name):
+    out, now = [], ""
+    for k, c in enumerate(name):
+        if not c.isalnum() or (c.isupper() and k and now):
+            out += [now.lower()] * bool(now)
+            now = ""
+        now += c if c.isalnum() else ""
+    return [*out, now.lower()] if now else out
+
+
+def plain_expansion(callables, edges, terms, hops, expansions, most):
+    names, paths = {n: words_of(name or "") for n, name, _ in callables}, {n: p or "" for n, _, p in callables}
+    whole = {n: name for n, name, _ in callables}
+    test = {n: p.endswith("_test.go") or bool({"test", "tests", "testdata"} & set(p.lower().split("/"))) for n, p in paths.items()}
+    begins = lambda w, t: w.startswith(t) or t.startswith(w)
+    near = defaultdict(set)
+    for a, b in edges:
+        if a in names and b in names and a != b:
+            near[a].add(b)
+            near[b].add(a)
+    scored = {}
+    for n, words in names.items():
+        hit = {t for t in terms for w in words if begins(w, t)}
+        if hit:
+            scored[n] = (40 + 5 * len(hit) + 10 * (not test[n]) + sum(30 if w == t else 10 for t in terms for w in words if begins(w, t)) + 15 * (whole[n] in terms), len(hit))
+    if not scored:
+        return []
+    over = lambda n: sum(3 if w == t else 1 for t in terms for w in names[n] if begins(w, t))
+    root = min(scored, key=lambda n: (-scored[n][0], -scored[n][1], test[n], n))
+    nodes, done = {root: (0, None, 0, scored[root][0])}, []
+    for _ in range(expansions):
+        fresh = [n for n in nodes if n not in done]
+        if not fresh:
+            break
+        now = min(fresh, key=lambda n: (-over(n), paths[n] != paths[root], nodes[n][0], test[n], n))
+        done.append(now)
+        for other in sorted(near[now]):
+            if other not in nodes and nodes[now][0] < hops and len(nodes) < most:
+                nodes[other] = (nodes[now][0] + 1, now, len(nodes), over(other))
+    return [(n, *v, done.index(n) + 1 if n in done else None) for n, v in nodes.items()]
+
+
+def test_question_expansion_equals_best_first(spark):
+    rnd = random.Random(11)
+    stems = ["send", "sending", "s", "parse", "read", "reader", "map", "mapError", "x1", "Über"]
+    callables = [(k, "".join(rnd.choice(stems).capitalize() if rnd.random() < 0.5 else rnd.choice(stems) + "_" for _ in range(rnd.randint(1, 3))), rnd.choice(["a.go", "a_test.go", "test/x.go", "b/c.go"])) for k in range(80)]
+    callables += [(90, None, None), (91, "parse", "a.go")]
+    edges = [(rnd.randrange(83), rnd.randrange(83)) for _ in range(200)] + [(5, k) for k in range(80)] + [(None, 1), (7, 7)]
+    asked = {q: {rnd.choice(["send", "pars", "reader", "maps", "parse", "über", "none", "x"]) for _ in range(rnd.randint(1, 4))} for q in range(25)} | {99: {"zzz"}}
+    for hops, expansions, most in ((2, 3, 64), (1, 4, 9), (2, 3, 5)):
+        found = defaultdict(set)
+        args = (spark.createDataFrame(callables, "node int, name string, path string"), spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts] + [(3, None)], "query int, term string"))
+        for r in expansion.question_expansion(*args, hops, expansions, most).collect():
+            found[r["query"]].add(tuple(r)[1:])
+        assert found == {q: set(rows) for q, ts in asked.items() if (rows := plain_expansion(callables, edges, ts, hops, expansions, most))}
+
+
+def plain_calls(edges, root, depth, fan_out, most_nodes, most_families):
+    out = defaultdict(list)
+    for a, b, n in edges:
+        out[a].append((b, n))
+    at, queue, families, lost = {root: 0}, [(root, 0)], [], defaultdict(lambda: [0, 0])
+
+    def refuse(node, reason, rest):
+        if rest:
+            lost[node, reason][0] += len(rest)
+            lost[node, reason][1] += sum(n for _, n in rest)
+
+    for node, level in queue:
+        own = sorted(out[node], key=lambda f: (-f[1], f[0]))
+        if level >= depth:
+            refuse(node, "depth_limit", own)
+            continue
+        refuse(node, "outgoing_limit", own[fan_out:])
+        for k, (callee, n) in enumerate(own[:fan_out]):
+            if callee not in at and len(at) >= most_nodes:
+                refuse(node, "node_limit", own[k:fan_out])
+                break
+            if len(families) >= most_families:
+                refuse(node, "family_limit", own[k:fan_out])
+                break
+            if callee not in at:
+                at[callee] = len(at)
+                queue.append((callee, level + 1))
+            families.append((node, callee, n, level, len(families) + 1))
+    return families, lost, at
+
+
+def test_entry_calls_equal_a_plain_walk(spark):
+    rnd = random.Random(4)
+    edges = sorted({(rnd.randrange(60), rnd.randrange(60)): rnd.randint(1, 9) for _ in range(500)}.items())
+    edges = [(a, b, n) for (a, b), n in edges] + [(0, k, 2) for k in range(100, 140)]
+    df = spark.createDataFrame([*edges, (None, 3, 1)], "src int, dst int, n int")
+    roots = spark.createDataFrame([(k,) for k in [*range(25), 999, 7]], "node int")
+    extra = spark.createDataFrame([(0, "dynamic_invoke", 3), (5, "non_static", 0)], "node int, reason string, n int")
+    for limits in ((3, 12, 32, 48), (2, 4, 9, 100), (3, 5, 100, 11), (1, 50, 20, 30)):
+        families, rest = expansion.entry_calls(df, roots, "n", *limits, left_out=extra)
+        got, left = defaultdict(set), defaultdict(set)
+        for r in families.collect():
+            got[r["root"]].add(tuple(r)[1:])
+        for r in rest.collect():
+            left[r["root"]].add(tuple(r)[1:])
+        for root in [*range(25), 999]:
+            want, lost, at = plain_calls(edges, root, *limits)
+            assert got[root] == set(want)
+            assert left[root] == {(n, reason, f, w) for (n, reason), (f, w) in lost.items()} | ({(0, "dynamic_invoke", 3, 3)} if 0 in at else set())
+            every = [n for a, _, n in edges if a in at]
+            assert sum(f[2] for f in want) + sum(w for _, w in lost.values()) == sum(every) and len(want) + sum(f for f, _ in lost.values()) == len(every)
