@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives free memory back to the system when its task ends.
+
+    Python workers live on between stages: what one stage's arrays took would else count beside the next stage's.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc: nothing to trim
+            pass
+
+    return task
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the folder the cluster names in spark.checkpoint.dir."""
     shared_folder(df.sparkSession)

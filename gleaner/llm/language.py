@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import digest, table
+from gleaner.llm.common import digest, lean, table
 from gleaner.llm.words import SLICE_BYTES, flat, slices
 
 #: Longest context in bytes.
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], ["id", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, model: Model, bits_a_byte: float = 8.0, bits_beside: float = 64.0, text_col: str = "text") -> DataFrame:
@@ -234,7 +234,7 @@ def keep_known(docs: DataFrame, model: Model, bits_a_byte: float = 8.0, bits_bes
                 size = np.diff(flat(texts.slice(i, j - i))[1])
                 yield batch.slice(i, j - i).filter(pa.array((lang != "und") & (bits * size <= bits_a_byte * size + bits_beside)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

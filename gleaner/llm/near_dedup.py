@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import components, meet, of_ids, release, rewrite, settle, table
+from gleaner.llm.common import components, lean, meet, of_ids, release, rewrite, settle, table
 from gleaner.llm.words import flat, mix, shingle_set, shingles, slices, words
 
 BANDS, ROWS = 30, 5
@@ -34,6 +34,8 @@ SLACK = 15.0
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Columns of the membership matrices multiplied at once.
 COLUMNS = 8192
+#: Bytes of texts sketched at once, or one text more.
+PART_BYTES = 1 << 19
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -88,7 +90,7 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = flat(batch.column(1))
-        for i, j in slices(np.diff(at)):
+        for i, j in slices(np.diff(at), PART_BYTES):
             h, s_at = shingles(words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
             sets = [np.unique(h[s:e]) for s, e in zip(s_at[:-1].tolist(), s_at[1:].tolist(), strict=True)]
             sizes = np.array([len(s) for s in sets])
@@ -217,7 +219,7 @@ def _confirm(numerator: int, denominator: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets reach numerator / denominator."""
-    return meet(pairs, texts).mapInArrow(_confirm(numerator, denominator), "a long, b long").distinct()
+    return meet(pairs, texts).mapInArrow(lean(_confirm(numerator, denominator)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     """
     threshold = numerator / denominator
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = rewrite(texts.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, regs binary"))
+    sketches = rewrite(texts.mapInArrow(lean(_sketch), "id long, n long, k1 long, k2 long, regs binary"))
     sets = rewrite(
         sketches.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("set_id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     star = shared.where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     of = lambda side: sets.select(F.col("set_id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
     sized = star.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    screened = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_screen(threshold), "a long, b long, est double")
+    screened = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lean(_screen(threshold)), "a long, b long, est double")
     best = screened.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     links = settle(confirm(best, texts, numerator, denominator))
     first = settle(components(links))
@@ -254,12 +256,12 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     sized = owner.join(sets.select("set_id", "n"), "set_id")
     mixed = sized.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES).alias("size")).where("low < high")
     members = rewrite(sized.join(mixed.select("band", F.ceil("size").cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")))
-    small = rewrite(of_ids(members.select(F.col("set_id").alias("id")).distinct(), texts).mapInArrow(_small_sets, "set_id long, small binary").dropDuplicates(["set_id"]))
+    small = rewrite(of_ids(members.select(F.col("set_id").alias("id")).distinct(), texts).mapInArrow(lean(_small_sets), "set_id long, small binary").dropDuplicates(["set_id"]))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(small, "set_id")
     blocks = spread.groupBy("band", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).agg(
         F.collect_list(F.struct("set_id", "component", "n", "block", "small")).alias("members")
     )
-    across = blocks.select("left", "right", "members").mapInArrow(_linked(numerator, denominator), "a long, b long").distinct()
+    across = blocks.select("left", "right", "members").mapInArrow(lean(_linked(numerator, denominator)), "a long, b long").distinct()
     more = settle(confirm(across.join(best, ["a", "b"], "left_anti"), texts, numerator, denominator))
     last = components(links.union(more)) if more.take(1) else first
     owned = sets.select("k1", "k2", "set_id").join(last.withColumnRenamed("node", "set_id"), "set_id", "left")

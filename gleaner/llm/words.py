@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES)
+        size = 1 << max(16, (n - 1).bit_length())
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 

@@ -250,3 +250,15 @@ def test_kept_rows_of_a_slot_are_the_first():
         best.settle()
     want = [r for s in range(3) for r in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[1], r[2]))[:4]]
     assert list(zip(best.slot.tolist(), best.score.tolist(), best.id.tolist(), strict=True)) == want
+
+
+def test_passages_are_cut_beside_columns_of_any_name(spark):
+    from gleaner.llm import passages
+
+    rnd = random.Random(1)
+    text = " ".join(f"w{rnd.randrange(900)}" for _ in range(60))
+    names = ("coarse", "cuts", "cuts_", "cuts_key", "cuts_few", "id", "crc", "cut", "d", "c")
+    docs = spark.createDataFrame([(1, text, *"abcdefghij"), (2, f"first {text} last", *"abcdefghij"), (None, text, *"abcdefghij")], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    left = passages.remove_repeats(docs, passages.repeated_passages(docs))
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["coarse"]) for r in left.collect()) == [(0, text, "a"), (1, text, "a"), (2, "first last", "a")]
