@@ -24,9 +24,10 @@ def authorised_entries(entries: DataFrame, key: list[str], sides: list[tuple[Dat
 
 def detector_matches(sites: DataFrame, detectors: DataFrame, package: str, callee: str, names: str, constructor: str = "^New.*Client$") -> DataFrame:
     """(site columns, detector): sites of a detector's package whose callee is among its names, or any callee if it
-    names none; sites of external packages without a detector match `constructor` by their callee's name."""
-    named = sites.join(F.broadcast(detectors), package).where(F.col(names).isNull() | F.array_contains(F.col(names), F.col(callee))).select(*sites.columns, "detector")
-    rest = sites.join(F.broadcast(detectors.select(package)), package, "left_anti").where(F.col("external") & F.col(callee).rlike(constructor))
+    names none; sites of external packages without a detector match `constructor` by their callee's name.  Sites that are
+    equal in all columns fall together."""
+    named = sites.join(detectors, package).where(F.col(names).isNull() | F.array_contains(F.col(names), F.col(callee))).select(*sites.columns, "detector")
+    rest = sites.join(detectors.select(package).distinct(), package, "left_anti").where(F.col("external") & F.col(callee).rlike(constructor))
     return named.union(rest.select(*sites.columns, F.lit("constructor").alias("detector"))).distinct()
 
 

@@ -513,11 +513,11 @@ def unit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("repo", "bucket", "chunk").agg(F.count("*").alias("members"), F.min("path").alias("first"))
 
 
-@add("g13_branch_reach", f"""WITH RECURSIVE {EDGES}, roots AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal > 9000), walk(root, node) AS (SELECT node, node FROM roots UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node WHERE e.n > 1 AND e.dst NOT IN (SELECT node FROM roots)) SELECT root, node FROM walk""")
+@add("g13_branch_reach", f"""WITH RECURSIVE {EDGES}, roots AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal > 9000), walk(root, node) AS (SELECT node, node FROM roots UNION SELECT w.root, e.dst FROM walk w JOIN edges e ON e.src = w.node WHERE e.dst NOT IN (SELECT node FROM roots)) SELECT root, node FROM walk""")
 def branch_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each root reaches over repeated relations without crossing another root."""
+    """What each root reaches without crossing another root."""
     roots = _entries(spark, sf_dir)
-    inner = S.settle(edges(spark, sf_dir).where("n > 1").join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    inner = S.settle(edges(spark, sf_dir).join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     return G.branches(inner, roots)
 
 
@@ -588,11 +588,11 @@ def acceptance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("c_custkey long, runs long, failed long, readiness string").json(path)
 
 
-@add("j9_target_scope", f"""WITH RECURSIVE {EDGES}, walk(node) AS (SELECT 1 UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node WHERE e.n > 1), s AS (SELECT 'part' AS fact, count(*) AS n FROM part WHERE p_partkey + 1000000000 IN (SELECT node FROM walk) UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_suppkey IN (SELECT node FROM walk)
+@add("j9_target_scope", f"""WITH RECURSIVE {EDGES}, walk(node) AS (SELECT 1 UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node), s AS (SELECT 'part' AS fact, count(*) AS n FROM part WHERE p_partkey + 1000000000 IN (SELECT node FROM walk) UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_suppkey IN (SELECT node FROM walk)
   UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_suppkey IN (SELECT node FROM walk) AND l_partkey + 1000000000 IN (SELECT node FROM walk)) SELECT fact, n FROM s""")
 def target_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fact tables cut to one target's closure over repeated relations, and counted again."""
-    graph = S.settle(edges(spark, sf_dir).where("n > 1"))
+    """All fact tables cut to one target's closure, and counted again."""
+    graph = S.settle(edges(spark, sf_dir))
     reach = S.settle(G.closure(graph, table(spark, sf_dir, "supplier").where("s_suppkey = 1").select(F.col("s_suppkey").alias("node"))))
     part, supplier = reach.select((F.col("node") - 1_000_000_000).alias("l_partkey")), reach.select(F.col("node").alias("l_suppkey"))
     tables = {
@@ -675,11 +675,11 @@ def anchor_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.anchor_relations(anchors, near("A", 1), near("N", -2), terms, "task", 4)
 
 
-@add("j3_verification_frontier", f"""WITH RECURSIVE {EDGES}, both_ AS (SELECT src, dst FROM edges WHERE n > 1 UNION SELECT dst, src FROM edges WHERE n > 1), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT b.dst, w.distance + 1 FROM walk w JOIN both_ b ON b.src = w.node WHERE w.distance < 2),
+@add("j3_verification_frontier", f"""WITH RECURSIVE {EDGES}, both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT b.dst, w.distance + 1 FROM walk w JOIN both_ b ON b.src = w.node WHERE w.distance < 2),
 d AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1), c AS (SELECT p_type AS kind, p_partkey, distance, p_size FROM part JOIN d ON d.node = p_partkey + 1000000000) SELECT kind, p_partkey, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY distance, p_size DESC, p_partkey) AS rank FROM c) WHERE rank <= 6""")
 def verification_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six parts of each type nearest to the entries over repeated relations either way: what to check first."""
-    linked = S.settle(G.undirected(edges(spark, sf_dir).where("n > 1")))
+    """Six parts of each type nearest to the entries over relations either way: what to check first."""
+    linked = S.settle(G.undirected(edges(spark, sf_dir)))
     reach = G.distances(linked, _entries(spark, sf_dir), 2)
     met = table(spark, sf_dir, "part").withColumn("node", F.col("p_partkey") + 1_000_000_000).join(reach, "node").withColumnRenamed("p_type", "kind")
     return R.top_k(met, ["kind"], [F.col("distance"), F.desc("p_size"), F.col("p_partkey")], 6).select("kind", "p_partkey", "distance", "rank")
@@ -748,12 +748,12 @@ def candidate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(own.join(receivers, "repo").select("repo", "path", score.alias("score")), ["repo"], [F.desc("score"), F.col("path")], 5).select("repo", "path", "score", "rank")
 
 
-@add("g8_critical_edges", f"""WITH RECURSIVE {EDGES}, one AS (SELECT src, dst FROM edges WHERE n > 1), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN one e ON e.src = w.node WHERE w.distance < 4), reach AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1),
+@add("g8_critical_edges", f"""WITH RECURSIVE {EDGES}, one AS (SELECT src, dst FROM edges), walk(node, distance) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_acctbal > 9000 UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN one e ON e.src = w.node WHERE w.distance < 4), reach AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1),
 tree AS (SELECT e.dst, d.distance, min(e.src) AS src FROM one e JOIN reach s ON s.node = e.src JOIN reach d ON d.node = e.dst WHERE d.distance = s.distance + 1 GROUP BY ALL), t AS (SELECT p_partkey + 1000000000 AS node, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part), goal AS (SELECT node, rank FROM t WHERE rank <= 200),
 back(src, dst, distance, rank) AS (SELECT tree.src, tree.dst, tree.distance, rank FROM goal JOIN tree ON tree.dst = node UNION SELECT tree.src, tree.dst, tree.distance, b.rank FROM back b JOIN tree ON tree.dst = b.src), best AS (SELECT src, dst, distance, min(rank) AS rank FROM back GROUP BY ALL)
 SELECT src, dst, distance, rank, position FROM (SELECT *, row_number() OVER (ORDER BY rank, distance, src, dst) AS position FROM best) WHERE position <= 60""")
 def critical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty edges at most on the way from the entries to the two hundred largest parts, over relations of two witnesses."""
-    graph = S.settle(edges(spark, sf_dir).where("n > 1").select("src", "dst"))
+    """Sixty edges at most on the way from the entries to the two hundred largest parts."""
+    graph = S.settle(edges(spark, sf_dir).select("src", "dst"))
     targets = R.top_k(table(spark, sf_dir, "part").withColumn("__all", F.lit(0)), ["__all"], [F.desc("p_size"), F.col("p_partkey")], 200)
     return G.critical_edges(graph, _entries(spark, sf_dir), targets.select((F.col("p_partkey") + 1_000_000_000).alias("node"), "rank"), 4, 60)
