@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import responses as R
 from gleaner.operators import retrieval as T
 from gleaner.operators import sets as S
 from gleaner.operators import tasks as K
-from gleaner.plans.bindings import Registry, table
+from gleaner.plans.bindings import FILES, Registry, files, table
 
 registry = Registry()
 add = registry.add
@@ -95,3 +96,40 @@ def choice_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = best.select("item_id", "doc_id").join(terms, "item_id").join(hits.select("doc_id", "term").distinct(), ["doc_id", "term"])
     chosen = T.coverage_greedy(held.select("item_id", "doc_id", "term", "weight"), "item_id", "doc_id", "term", "weight")
     return T.trace(best, chosen, "item_id", "doc_id", 300)
+
+
+@add("j5_whole_evaluation", f"""WITH {FILES}, i AS (SELECT o_custkey AS task, o_orderkey, o_orderpriority, o_orderstatus, l_linenumber, l_returnflag, path, size FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN files ON part = l_partkey),
+flows AS (SELECT task, o_orderpriority || ' ' || o_orderkey AS name, (o_orderkey % 10) / 10 AS confidence, list(path) FILTER (l_returnflag <> 'R') AS files, list(CASE WHEN size > 40 THEN 'prose about ' || path ELSE path END) FILTER (l_returnflag = 'R') AS evidence, max(path) AS entry FROM i GROUP BY task, o_orderkey, o_orderpriority),
+paths AS (SELECT task, name, list_distinct(list_concat(list_concat(coalesce(files, []), list_filter(coalesce(evidence, []), lambda e: NOT regexp_matches(e, '(^|/)[.][.]?(/|$)|//|/$'))), CASE WHEN ends_with(lower(entry), '.go') THEN [entry] ELSE [] END)) AS p, confidence, evidence, files, entry FROM flows),
+directions AS (SELECT task, lower(split_part(o_orderpriority, '-', 2)) AS direction, ['none such', upper(split_part(o_orderpriority, '-', 2)), split_part(o_orderpriority, '-', 1) || '-'] AS aliases, list_distinct(list(path) FILTER (l_linenumber = 1)) AS paths FROM i WHERE o_orderstatus = 'P' GROUP BY ALL),
+m AS (SELECT d.task, direction, d.paths, name, confidence, list_intersect(coalesce(d.paths, []), p) AS held FROM directions d JOIN paths f ON f.task = d.task AND len(list_filter(aliases, lambda a: contains(lower(name), lower(a)))) > 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY task, direction ORDER BY len(held) DESC, confidence DESC, name) AS k, count(*) OVER (PARTITION BY task, direction) AS n FROM m),
+c AS (SELECT d.task, d.direction, coalesce(n, 0) AS n, name, len(coalesce(d.paths, [])) - len(coalesce(held, [])) AS gone FROM directions d LEFT JOIN b ON b.task = d.task AND b.direction = d.direction AND k = 1),
+cov AS (SELECT task, count(*) AS expected, count(*) FILTER (n = 0) AS missing, count(*) FILTER (n > 1) AS ambiguous, sum(gone)::BIGINT AS missing_paths FROM c GROUP BY 1),
+allowed AS (SELECT DISTINCT task, path FROM i WHERE size <= 46), ev AS (SELECT task, unnest(evidence) AS path FROM flows), sure AS (SELECT task, path FROM ev WHERE (task, path) IN (SELECT (task, path) FROM allowed) OR (NOT regexp_matches(path, '(^|/)[.][.]?(/|$)|//|/$|[\\s*?]|^/') AND regexp_matches(lower(path), '[.](go|md|yaml|yml|json|toml|proto|mod|sum|sh|c|h|rs|py|js|ts)$'))),
+refs AS (SELECT task, unnest(files) AS path FROM flows UNION SELECT task, entry FROM flows WHERE ends_with(lower(entry), '.go') UNION SELECT task, path FROM sure UNION SELECT task, path FROM i WHERE l_linenumber = 1),
+g AS (SELECT task, count(*) AS referenced, count(*) FILTER ((task, path) NOT IN (SELECT (task, path) FROM allowed)) AS invalid FROM refs GROUP BY 1),
+dd AS (SELECT task, min(path) AS path, max(path) AS seen, count(*) % 2 = 0 AS even FROM i GROUP BY 1), linked AS (SELECT DISTINCT c.task FROM c JOIN paths f ON f.task = c.task AND f.name = c.name JOIN dd ON dd.task = c.task WHERE list_contains(f.p, dd.path)),
+w AS (SELECT o_custkey AS task, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 480000) AS triggered FROM orders GROUP BY 1),
+r AS (SELECT c_custkey AS task, coalesce(expected, 0) AS expected, coalesce(missing, 0) AS missing, coalesce(ambiguous, 0) AS ambiguous, coalesce(missing_paths, 0) AS missing_paths, coalesce(referenced, 0) AS referenced, coalesce(invalid, 0) AS invalid, coalesce(triggered, 0) AS triggered, c_custkey IN (SELECT task FROM linked) AS linked, c_custkey IN (SELECT task FROM linked) AND coalesce(even, false) AS drilled
+  FROM customer LEFT JOIN cov ON cov.task = c_custkey LEFT JOIN g ON g.task = c_custkey LEFT JOIN w ON w.task = c_custkey LEFT JOIN dd ON dd.task = c_custkey)
+SELECT *, missing = 0 AND ambiguous = 0 AND missing_paths = 0 AND invalid = 0 AND drilled AND triggered = 0 AS passed FROM r""")
+def whole_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tasks: their orders as flows, named by priority; pending priorities as directions; files of small size allowed."""
+    own = files(spark, sf_dir).select(F.col("part").alias("l_partkey"), "path", "size")
+    orders = table(spark, sf_dir, "orders")
+    i = S.settle(orders.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(own, "l_partkey").select(F.col("o_custkey").alias("task"), "o_orderkey", "o_orderpriority", "o_orderstatus", "l_linenumber", "l_returnflag", "path", "size"))
+    returned, kept = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
+    said = F.when(F.col("size") > 40, F.concat(F.lit("prose about "), "path")).otherwise(F.col("path"))
+    flows = i.groupBy("task", "o_orderkey", "o_orderpriority").agg(F.collect_list(F.when(kept, F.col("path"))).alias("files"), F.collect_list(F.when(returned, said)).alias("evidence"), F.max("path").alias("entry"))
+    flows = flows.select("task", F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), "files", "evidence", "entry")
+    word = F.split_part("o_orderpriority", F.lit("-"), F.lit(2))
+    directions = i.where("o_orderstatus = 'P'").groupBy("task", "o_orderpriority").agg(F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("path"))).alias("paths"))
+    directions = directions.select("task", F.lower(word).alias("direction"), F.array(F.lit("none such"), F.upper(word), F.concat(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)), F.lit("-"))).alias("aliases"), "paths")
+    drill = i.groupBy("task").agg(F.min("path").alias("path"), (F.count("*") % 2 == 0).alias("even"))
+    drill = drill.select("task", F.lit("Put").alias("symbol"), "path", F.lit("Put").alias("seen_symbol"), F.col("path").alias("seen_path"), F.when(F.col("even"), "Put").otherwise("Get").alias("test_target"), F.array(F.lit("p")).alias("predicates"), F.array(F.lit("q"), F.lit("p")).alias("seen_predicates"), F.array().cast("array<string>").alias("tests"), F.array(F.lit("t")).alias("seen_tests"))
+    keyed = orders.select(F.col("o_custkey").alias("task"), F.col("o_orderkey").cast("string").alias("scope"), "o_orderstatus", "o_totalprice")
+    forbidden = keyed.select("task", F.col("scope").alias("id"), "scope", F.array(F.lit("STATUS P"), F.lit("dear")).alias("contains_all"))
+    told = keyed.select("task", "scope", F.concat(F.lit("Status "), "o_orderstatus", F.when(F.col("o_totalprice") > 480000, " is DEAR").otherwise(" is cheap")).alias("text"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task"))
+    return R.evaluate(people, directions, flows, i.where("l_linenumber = 1").select("task", "path"), i.where("size <= 46").select("task", "path"), drill, forbidden, told)
