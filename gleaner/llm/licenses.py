@@ -24,6 +24,8 @@ SENTENCES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
     ],
     "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "json-good": ["The Software shall be used for Good, not Evil"],
+    "x11-name": ["Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium"],
     "mit-as-is": [
         "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
         "The software is provided as is, without warranty of any kind",
@@ -131,6 +133,10 @@ RULES = [
     ("MIT", ["mit-grant", "mit-condition", "mit-as-is", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-condition", "mit-as-is"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("JSON", ["mit-grant", "mit-condition", "json-good", "mit-as-is", "mit-liability"]),
+    ("JSON", ["mit-grant", "mit-condition", "json-good"]),
+    ("X11", ["mit-grant", "mit-condition", "mit-as-is", "mit-liability", "x11-name"]),
+    ("X11", ["mit-grant", "mit-condition", "mit-as-is", "x11-name"]),
     ("Apache-2.0", ["apache-2-title"]),
     ("Apache-2.0", ["apache-2-notice"]),
     ("Apache-2.0", ["apache-2-notice", "apache-2-condition", "apache-2-copy", "apache-2-disclaimer", "apache-2-limits"]),
@@ -197,6 +203,29 @@ STEPS = (
     (r"[ ~]*~[ ~]*", " ~ ~ "),
 )
 
+#: A word that is not `this`, where the software itself is named.
+_NAME = "(?:[a-su-z0-9][a-z0-9]*|t|t[a-gi-z0-9][a-z0-9]*|th|th[a-hj-z0-9][a-z0-9]*|thi|thi[a-rt-z0-9][a-z0-9]*|this[a-z0-9]+) (?:[a-z0-9]+ ){0,5}?"
+
+
+def _phrase(words: str, who: str = "(?:[a-z0-9~]+ ){1,24}?") -> str:
+    """Words in the stream, with or without marks between them; <> stands for whoever is named there."""
+    before, after = words.split("<>")
+    join = lambda w: "(?: ~ ~)? ".join(w.split())
+    return (join(before) + "(?: ~ ~)? " if before.strip() else "~ ") + who + join(after)
+
+
+#: Sentences that name a holder or a program read as if they named the one that is known.
+HOLDERS = tuple(
+    (_phrase(words), words.replace("<>", known))
+    for words, known in (
+        ("neither the name of <> nor the names of its contributors", "the copyright holder"),
+        ("this software is provided by <> as is and any express or implied warranties", "the copyright holders and contributors"),
+        ("in no event shall <> be liable for any direct indirect incidental special exemplary", "the copyright holder or contributors"),
+        ("in no event shall <> be liable for any claim damages or other liability", "the authors or copyright holders"),
+        ("except as contained in this notice the name of <> shall not be used", "the x consortium"),
+    )
+) + ((_phrase("<> is free software you can redistribute it", _NAME), "~ this program is free software you can redistribute it"),)
+
 
 def _normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -231,11 +260,13 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES,
     table_of = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
     stream = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     # only texts that hold some known sentence's first words are gone through
-    heads = sorted({" ".join(s.split()[:3]) for s in known})
+    heads = sorted({" ".join(s.split()[:3]) for s in known} | {"is free software"})
     maybe = F.regexp_replace(stream, "[^a-z0-9]+", " ").rlike("|".join(heads))
     for pattern, by in STEPS:
         stream = F.regexp_replace(stream, pattern, by)
     stream = F.concat(F.lit("~ ~ "), F.trim(stream), F.lit(" ~ ~"))
+    for pattern, by in HOLDERS:
+        stream = F.regexp_replace(stream, pattern, by)
     hits = F.regexp_extract_all(stream, F.lit(_pattern(known)), F.lit(1))
     ids = F.transform(hits, lambda s: F.element_at(table_of(known), F.replace(s, F.lit(" ~ ~"), F.lit(""))))
     found = docs.select(F.col(id_col), F.when(maybe, ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
@@ -260,10 +291,13 @@ def _sql() -> str:
     stream = "lower(coalesce(text, ''))"
     for pattern, by in STEPS:
         stream = f"regexp_replace({stream}, {literal(pattern)}, {literal(by)}, 'g')"
+    stream = f"'~ ~ ' || trim({stream}, ' ') || ' ~ ~'"
+    for pattern, by in HOLDERS:
+        stream = f"regexp_replace({stream}, {literal(pattern)}, {literal(by)}, 'g')"
     return f"""
 WITH RECURSIVE known(s, id) AS (VALUES {known}), rules(name, run, rank, size) AS (VALUES {rules}),
 p AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS s FROM (
-  SELECT doc_id, regexp_extract_all('~ ~ ' || trim({stream}, ' ') || ' ~ ~', {literal(_pattern(sentences))}, 1) AS l FROM documents)),
+  SELECT doc_id, regexp_extract_all({stream}, {literal(_pattern(sentences))}, 1) AS l FROM documents)),
 i AS (SELECT doc_id, list(id ORDER BY k) AS ids FROM p JOIN known ON known.s = replace(p.s, ' ~ ~', '') GROUP BY doc_id),
 m AS (
   SELECT doc_id, ids, 1 AS pos, CAST([] AS VARCHAR[]) AS names FROM i

@@ -262,3 +262,20 @@ def test_passages_are_cut_beside_columns_of_any_name(spark):
     left = passages.remove_repeats(docs, passages.repeated_passages(docs))
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"], r["coarse"]) for r in left.collect()) == [(0, text, "a"), (1, text, "a"), (2, "first last", "a")]
+
+
+def test_licenses_of_other_holders_and_programs(spark):
+    from gleaner.llm import licenses
+    from tests.llm.test_llm import BSD, GPL, MIT
+
+    other = BSD.replace("the copyright holder\n", "Foo Corp. of Bar, Inc.\n").replace("the copyright holder ", "Foo Corp. of Bar, Inc. ").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "FOO CORP. ``AND'' FRIENDS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "FOO CORP.")
+    assert "Foo Corp." in other
+    good = MIT.replace('THE SOFTWARE IS PROVIDED "AS IS"', 'The Software shall be used for Good, not Evil.\n\nTHE SOFTWARE IS PROVIDED "AS IS"')
+    x11 = MIT.replace("THE\nAUTHORS OR COPYRIGHT HOLDERS BE", "THE\nX CONSORTIUM BE") + "\nExcept as contained in this notice, the name of the Foo Group shall not be used\nin advertising or otherwise to promote the sale, use or other dealings in this\nSoftware without prior written authorization from the X Consortium.\n"
+    named = GPL.replace("This program is free software", "Frob Thing is free software", 1)
+    assert named != GPL and "X CONSORTIUM" in x11
+    texts = {"BSD-3-Clause": other, "JSON": good, "X11": x11, "GPL-3.0-or-later": named}
+    rows = [(f"{name} {k}", form) for name, t in texts.items() for k, form in enumerate((t, "\n".join("# " + line for line in t.split("\n"))))]
+    rows += [("lib", "This library is free software; it is not licensed here."), ("other", "Foo is free software you can redistribute it to none.")]
+    found = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {key: [key.split()[0]] for key, _ in rows[:-2]} | {"lib": [], "other": []}
