@@ -147,3 +147,61 @@ def trace_json(rows: DataFrame, key: str) -> DataFrame:
     d = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("id", "reason"))))
     told = rows.where("readable").groupBy(key).agg(F.first("kind").alias("kind"), c.alias("candidates"), s.alias("selected"), d.alias("dropped"))
     return told.select(key, F.to_json(F.struct("kind", "candidates", "selected", "dropped")).alias("text"))
+
+
+def acceptance_matrix(repositories: DataFrame, runs: DataFrame, stages: DataFrame, required: list[str]) -> DataFrame:
+    """(repository, run, status, reasons, states, calls, latency, bytes): the run that speaks for each repository, and how it went.
+
+    repositories (repository, run: a run asked for, or null), runs (run, repository, created), stages (run, stage, state, calls,
+    latency_ms, request_bytes), a row a stage.  Asked for nothing, the newest run counts, of equally new ones the largest id.  status: MISSING without a
+    run, SHARED if two repositories ask for the same one, FAILED if a required stage is absent or failed, DEGRADED if any other
+    stage did not succeed, READY.  reasons and states are by stage, `stage:state` joined by commas; sums of a run without stages are 0.
+    """
+    own = runs.where("run is not null").groupBy("repository").agg(F.max(F.struct("created", "run"))["run"].alias("__newest"))
+    known = runs.select(F.col("run").alias("__known")).distinct()
+    picked = repositories.join(own, "repository", "left").select("repository", F.coalesce("run", "__newest").alias("__asked")).join(known, F.col("__asked") == F.col("__known"), "left").select("repository", F.col("__known").alias("run"))
+    shared = picked.where("run is not null").groupBy("run").agg((F.count("*") > 1).alias("__shared"))
+    needed = F.array(*map(F.lit, required)).cast("array<string>")
+    rows = stages.groupBy("run", "stage").agg(F.max("state").alias("state"), F.sum("calls").alias("calls"), F.sum("latency_ms").alias("latency"), F.sum("request_bytes").alias("bytes"))
+    rows = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("stage", "state"))).alias("__s"), *(F.sum(c).alias(c) for c in ("calls", "latency", "bytes")))
+    bad = lambda s: ~F.coalesce(s["state"] == "ok", F.lit(False))
+    none = F.array().cast(rows.schema["__s"].dataType)
+    out = picked.join(shared, "run", "left").join(rows, "run", "left").withColumn("__s", F.coalesce("__s", none))
+    wrong = F.filter("__s", bad)
+    absent = F.array_except(needed, F.transform("__s", lambda s: s["stage"]))
+    failed = (F.size(absent) > 0) | F.exists(wrong, lambda s: F.array_contains(needed, s["stage"]))
+    status = F.when(F.col("run").isNull(), "MISSING").when(F.col("__shared"), "SHARED").when(failed, "FAILED").when(F.size(wrong) > 0, "DEGRADED").otherwise("READY")
+    tell = lambda many: F.transform(many, lambda s: F.concat_ws(":", s["stage"], F.coalesce(s["state"], F.lit("none"))))
+    reasons = F.when(F.col("run").isNotNull(), F.array_join(F.array_sort(F.concat(tell(wrong), F.transform(absent, lambda s: F.concat(s, F.lit(":absent"))))), ",")).otherwise("")
+    return out.select("repository", "run", status.alias("status"), reasons.alias("reasons"), F.array_join(tell("__s"), ",").alias("states"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls", "latency", "bytes")))
+
+
+def atlas_tables(units: DataFrame, entities: DataFrame, observations: DataFrame) -> DataFrame:
+    """(part, id, parent, kind, name): units, entities, observations and their evidence as one star table with stable ids, and what
+    did not resolve.
+
+    units (unit, kind), entities (unit, kind, name), observations (unit, entity_kind, entity, kind, detail, path, line).  An observation
+    hangs on its entity and each place it was seen is a row of evidence below it, once; an entity of an unknown unit, or an
+    observation of an unknown entity, is a row unresolved_entity or unresolved_observation instead, by its name.
+    """
+    from gleaner.functions.text import digest_of
+
+    key = lambda *parts: digest_of(*(F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p, F.lit("")) for p in parts))
+    u = units.where("unit is not null").groupBy("unit").agg(F.min("kind").alias("kind")).select(key(F.lit("unit"), "unit").alias("id"), "kind", "unit")
+    e = entities.where("unit is not null and name is not null").select("unit", "kind", "name").distinct().join(u.select("unit", F.col("id").alias("parent")), "unit", "left")
+    e = e.select(F.when(F.col("parent").isNotNull(), key(F.lit("entity"), "unit", "kind", "name")).alias("id"), "parent", "kind", "name", "unit")
+    known = e.where("parent is not null").select("unit", F.col("kind").alias("entity_kind"), F.col("name").alias("entity"), F.col("id").alias("parent"))
+    o = observations.select("unit", "entity_kind", "entity", "kind", "detail", "path", "line").distinct().join(known, ["unit", "entity_kind", "entity"], "left").withColumn("oid", key(F.lit("observation"), "parent", "kind", "detail"))
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    seen = o.where("parent is not null")
+    place = F.concat_ws(":", F.coalesce("path", F.lit("")), text("line"))
+    parts = [
+        u.select(F.lit("unit").alias("part"), "id", none.alias("parent"), "kind", text("unit").alias("name")),
+        e.where("parent is not null").select(F.lit("entity"), "id", "parent", "kind", text("name")),
+        seen.select(F.lit("observation"), F.col("oid").alias("id"), "parent", "kind", "detail").distinct(),
+        seen.where("path is not null").select(F.lit("evidence"), key(F.lit("evidence"), "oid", "path", "line"), F.col("oid"), F.lit("location"), place).distinct(),
+        e.where("parent is null").select(F.lit("unresolved_entity"), none, none, "kind", text("name")),
+        o.where("parent is null").select(F.lit("unresolved_observation"), none, none, "kind", text("entity")).distinct(),
+    ]
+    return reduce(DataFrame.union, parts)

@@ -135,3 +135,34 @@ def renamed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     came = F.when((F.col("part") % 5 == 0) & (F.col("size") % 2 == 0), old).when(F.col("part") % 11 == 0, F.concat(F.lit("new/"), "path"))
     b = f.where("size <> 2").select("repo", "path", came.alias("from_path"), F.when(F.col("size") == 20, "-1").otherwise((F.col("size") % 7).cast("string")).alias("sha256"))
     return D.changed_paths(a, b, ["repo"])
+
+
+@add("j7_acceptance_matrix", """WITH r AS (SELECT o_orderkey AS run, o_custkey AS repository, o_orderdate AS created FROM orders), n AS (SELECT repository, max((created, run)) AS t FROM r GROUP BY 1), p AS (SELECT c_custkey AS repository, CASE WHEN c_custkey % 100 = 7 THEN (c_custkey // 100 % 3) * 11 WHEN n.t IS NOT NULL THEN (SELECT max(run) FROM r WHERE r.repository = c_custkey AND r.created = (SELECT max(created) FROM r x WHERE x.repository = c_custkey)) END AS run FROM customer LEFT JOIN n ON n.repository = c_custkey),
+k AS (SELECT repository, CASE WHEN run IN (SELECT run FROM r) THEN run END AS run FROM p), s AS (SELECT l_orderkey AS run, l_linenumber::VARCHAR AS stage, min(CASE l_returnflag WHEN 'A' THEN 'failed' ELSE 'ok' END) AS state, count(*) AS calls, sum(l_quantity)::BIGINT AS latency, sum(l_partkey)::BIGINT AS bytes FROM lineitem GROUP BY ALL),
+a AS (SELECT run, string_agg(stage || ':' || state, ',' ORDER BY stage) AS states, string_agg(CASE state WHEN 'failed' THEN stage || ':failed' END, ',' ORDER BY stage) AS bad, count(*) FILTER (stage = '1') AS one, count(*) FILTER (stage = '1' AND state = 'failed') AS lost, count(*) FILTER (state = 'failed') AS f, sum(calls)::BIGINT AS calls, sum(latency)::BIGINT AS latency, sum(bytes)::BIGINT AS bytes FROM s GROUP BY 1)
+SELECT repository, k.run, CASE WHEN k.run IS NULL THEN 'MISSING' WHEN count(*) OVER (PARTITION BY k.run) > 1 THEN 'SHARED' WHEN coalesce(one, 0) = 0 OR lost > 0 THEN 'FAILED' WHEN f > 0 THEN 'DEGRADED' ELSE 'READY' END AS status,
+  CASE WHEN k.run IS NULL THEN '' ELSE concat_ws(',', CASE WHEN coalesce(one, 0) = 0 THEN '1:absent' END, bad) END AS reasons, coalesce(states, '') AS states, coalesce(calls, 0) AS calls, coalesce(latency, 0) AS latency, coalesce(bytes, 0) AS bytes FROM k LEFT JOIN a ON a.run = k.run""")
+def acceptance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as repositories, their orders as runs, items as stages; every hundredth asks for a run of its own choice."""
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("repository"), F.col("o_orderdate").alias("created"))
+    asked = F.when(F.col("c_custkey") % 100 == 7, F.floor(F.col("c_custkey") / 100) % 3 * 11)
+    repositories = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repository"), asked.alias("run"))
+    stages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("string").alias("stage"), F.when(F.col("l_returnflag") == "A", "failed").otherwise("ok").alias("state"), F.lit(1).alias("calls"), F.col("l_quantity").alias("latency_ms"), F.col("l_partkey").alias("request_bytes"))
+    one = stages.groupBy("run", "stage").agg(F.min("state").alias("state"), F.sum("calls").alias("calls"), F.sum("latency_ms").alias("latency_ms"), F.sum("request_bytes").alias("request_bytes"))
+    return D.acceptance_matrix(repositories, runs, one, ["1"])
+
+
+@add("a12_atlas_tables", f"""WITH {FILES}, k AS (SELECT repo, part, path, size FROM files), u AS (SELECT DISTINCT repo FROM k WHERE repo <> 'Brand#3'), e AS (SELECT repo, CASE WHEN size % 2 = 0 THEN 'package' ELSE 'module' END AS kind, path FROM k), o AS (SELECT DISTINCT repo, CASE WHEN size % 2 = 0 OR part % 10 = 1 THEN 'package' ELSE 'module' END AS ek, path, l_returnflag AS kind, 'd' || l_linenumber AS detail, CASE WHEN l_tax > 0.03 THEN path END AS at_, l_suppkey AS line FROM lineitem JOIN k ON part = l_partkey WHERE l_quantity > 40),
+m AS (SELECT o.*, e.path IS NOT NULL AND o.repo IN (SELECT repo FROM u) AS ok FROM o LEFT JOIN e ON e.repo = o.repo AND e.kind = ek AND e.path = o.path), i AS (SELECT *, sha256('entity' || chr(0) || repo || chr(0) || ek || chr(0) || path) AS parent FROM m WHERE ok), j AS (SELECT *, sha256('observation' || chr(0) || parent || chr(0) || kind || chr(0) || detail) AS oid FROM i)
+SELECT 'unit' AS part, sha256('unit' || chr(0) || repo) AS id, NULL AS parent, 'repository' AS kind, repo AS name FROM u UNION ALL SELECT 'entity', sha256('entity' || chr(0) || repo || chr(0) || kind || chr(0) || path), sha256('unit' || chr(0) || repo), kind, path FROM e WHERE repo IN (SELECT repo FROM u)
+UNION ALL SELECT DISTINCT 'observation', oid, parent, kind, detail FROM j UNION ALL SELECT DISTINCT 'evidence', sha256('evidence' || chr(0) || oid || chr(0) || at_ || chr(0) || line), oid, 'location', at_ || ':' || line FROM j WHERE at_ IS NOT NULL
+UNION ALL SELECT 'unresolved_entity', NULL, NULL, kind, path FROM e WHERE repo NOT IN (SELECT repo FROM u) UNION ALL SELECT DISTINCT 'unresolved_observation', NULL, NULL, kind, path FROM m WHERE NOT ok""")
+def atlas_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands but one as units, files as packages and modules, items as observations, some of the wrong kind."""
+    own = files(spark, sf_dir)
+    even = F.col("size") % 2 == 0
+    units = own.where("repo <> 'Brand#3'").select(F.col("repo").alias("unit"), F.lit("repository").alias("kind"))
+    entities = own.select(F.col("repo").alias("unit"), F.when(even, "package").otherwise("module").alias("kind"), F.col("path").alias("name"))
+    met = table(spark, sf_dir, "lineitem").where("l_quantity > 40").join(own, F.col("l_partkey") == F.col("part"))
+    seen = met.select(F.col("repo").alias("unit"), F.when(even | (F.col("part") % 10 == 1), "package").otherwise("module").alias("entity_kind"), F.col("path").alias("entity"), F.col("l_returnflag").alias("kind"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("detail"), F.when(F.col("l_tax") > 0.03, F.col("path")).alias("path"), F.col("l_suppkey").alias("line"))
+    return D.atlas_tables(units, entities, seen)

@@ -80,3 +80,25 @@ def test_relations_imports_coverage_and_paths(spark):
     a = spark.createDataFrame([(1, "same", None, "1"), (1, "moved", "old", "2"), (1, "gone", "", "3"), (1, "back", None, None)], state)
     b = spark.createDataFrame([(1, "same", None, "1"), (1, "moved", "older", "2"), (1, "new", "gone2", "3"), (1, "back", None, None), (2, "gone", None, "3")], state)
     assert {tuple(r) for r in D.changed_paths(a, b, ["repo"]).collect()} == {(1, "moved"), (1, "old"), (1, "older"), (1, "gone"), (1, "new"), (1, "gone2"), (2, "gone")}
+
+
+def test_acceptance_takes_the_newest_run_or_the_one_asked_for(spark):
+    repos = spark.createDataFrame([("a", None), ("b", 7), ("c", 7), ("d", 99), ("e", None), ("f", 4)], "repository string, run int")
+    runs = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "a", 9), (7, "x", 1), (4, "f", 0), (None, "e", 3)], "run int, repository string, created int")
+    stages = spark.createDataFrame([(3, "facts", "ok", 2, 10, 5), (3, "study", "late", None, 1, None), (7, "facts", "ok", 1, 1, 1), (4, "study", None, 1, 1, 1)], "run int, stage string, state string, calls int, latency_ms int, request_bytes int")
+    found = {r["repository"]: tuple(r)[1:] for r in D.acceptance_matrix(repos, runs, stages, ["facts"]).collect()}
+    assert found == {
+        "a": (3, "DEGRADED", "study:late", "facts:ok,study:late", 2, 11, 5), "b": (7, "SHARED", "", "facts:ok", 1, 1, 1), "c": (7, "SHARED", "", "facts:ok", 1, 1, 1),
+        "d": (None, "MISSING", "", "", 0, 0, 0), "e": (None, "MISSING", "", "", 0, 0, 0), "f": (4, "FAILED", "facts:absent,study:none", "study:none", 1, 1, 1),
+    }
+
+
+def test_atlas_rows_hang_together(spark):
+    units = spark.createDataFrame([("u", "repo"), ("u", "repo"), (None, "repo")], "unit string, kind string")
+    entities = spark.createDataFrame([("u", "package", "p"), ("u", "package", "p"), ("v", "package", "q"), ("u", "module", None)], "unit string, kind string, name string")
+    observations = spark.createDataFrame([("u", "package", "p", "calls", "x", "a.go", 3), ("u", "package", "p", "calls", "x", "a.go", 3), ("u", "package", "p", "calls", "x", "b.go", None), ("u", "module", "p", "calls", "x", None, None)], "unit string, entity_kind string, entity string, kind string, detail string, path string, line int")
+    rows = D.atlas_tables(units, entities, observations).collect()
+    kinds = [r["part"] for r in rows]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"unit": 1, "entity": 1, "observation": 1, "evidence": 2, "unresolved_entity": 1, "unresolved_observation": 1}
+    ids = [r["id"] for r in rows if r["id"]]
+    assert len(set(ids)) == len(ids) and all(r["parent"] in ids for r in rows if r["parent"])
