@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from gleaner.plans import corpus, events, files, graphs, rows, studies
+from gleaner.plans import choices, corpus, details, events, files, graphs, matches, retrievals, rows, studies, trails
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (files, rows, corpus, graphs, events, studies)
+MODULES = (files, rows, corpus, graphs, events, studies, choices, matches, trails, retrievals, details)
 NAMES = [n for m in MODULES for n in m.registry.sql]
 
 
