@@ -118,7 +118,8 @@ def group_quota(rows: DataFrame, scope: list[str], group: str, folder: str, firs
     near = rows.withColumn("__f", F.row_number().over(Window.partitionBy(*scope, group, folder).orderBy(F.desc(first), *keys))).where(F.col("__f") <= total)
     turned = near.withColumn("__late", F.col("__f") > per_folder)
     place = lambda *order: F.row_number().over(Window.partitionBy(*scope, group).orderBy(*order))
-    ranked = turned.withColumn("__g", place(F.desc(first), "__late", *keys)).withColumn("__k", place(*keys)).where((F.col("__g") <= total) | (F.col("__k") <= total))
+    # all of `first` and those before it by order come before a row, whatever their folder
+    ranked = turned.withColumn("__g", place(F.desc(first), "__late", *keys)).withColumn("__k", place(F.desc(first), *keys)).where((F.col("__g") <= F.greatest(quota, F.lit(total))) | (F.col("__k") <= total))
     tier = F.when(F.col(first), 0).when(F.col("__g") <= quota, 1).otherwise(2)
     placed = ranked.withColumn("tier", tier).withColumn("position", F.row_number().over(Window.partitionBy(*scope).orderBy("tier", *keys)))
     return placed.where(F.col("position") <= total).drop("__f", "__late", "__g", "__k")

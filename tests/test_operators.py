@@ -289,3 +289,10 @@ def test_task_retrieval_matches_plain_choice(spark):
     assert found == want
     asked = spark.createDataFrame([("word1",), ("do_it",)], "token string")
     assert rows(T.inverted_index(docs, "file", "text", asked)) == rows(index.where("token in ('word1', 'do_it')"))
+
+
+def test_group_quota_places_pins_of_crowded_folders_by_order(spark):
+    rows = [("s", "source", "full", True, k, f"full{k}") for k in range(8)] + [("s", "source", f"d{k}", True, 100 + k, f"d{k}") for k in range(8)]
+    df = spark.createDataFrame(rows, "s string, grp string, dir string, pin boolean, order long, path string")
+    found = selection.group_quota(df, ["s"], "grp", "dir", "pin", ["order", "path"], {"source": 3}, 2, 6)
+    assert [r.path for r in found.orderBy("position").collect()] == [f"full{k}" for k in range(6)]
