@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import responses as R
@@ -16,11 +16,18 @@ add = registry.add
 _SAID = [" See add support.", " Its compatibility fails.", " The documentation lies.", ""]
 
 
+def capitalised(word: Column) -> Column:
+    """A word with a capital first letter, of one character for one: no ß turns into two letters."""
+    first = F.substring(word, 1, 1)
+    capital = F.when(first == "ß", "ẞ").when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(first)
+    return F.concat(capital, F.lower(F.substring(word, 2, 1 << 30)))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as tasks: their text, and names made of its words in the spellings of code."""
     w = F.split("text", " ")
     at = lambda k: F.coalesce(F.get(w, F.lit(k)), F.lit("x"))
-    code = F.concat(F.lit(" In `"), at(0), F.lit("."), F.initcap(at(1)), F.lit("` and "), at(2), F.lit("/"), at(3), F.lit(".go, "), at(4), F.initcap(at(5)), F.lit(" (*"), F.initcap(at(6)), F.lit(").Run_"), at(7), F.lit(";"))
+    code = F.concat(F.lit(" In `"), at(0), F.lit("."), capitalised(at(1)), F.lit("` and "), at(2), F.lit("/"), at(3), F.lit(".go, "), at(4), capitalised(at(5)), F.lit(" (*"), capitalised(at(6)), F.lit(").Run_"), at(7), F.lit(";"))
     said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("item_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", code, said).alias("text"))
 

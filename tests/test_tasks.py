@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import regex
+from pyspark.sql import functions as F
 
 from gleaner.operators import tasks as K
 
@@ -118,3 +119,10 @@ def test_candidates_and_anchors_equal_plain_loops(spark):
         assert [r["score"] for r in sorted(rows, key=lambda r: r["position"])] == sorted((r["score"] for r in rows), reverse=True)
     assert set(by) == {task for task, file, _, _, _ in want if any(terms_of[task].keys() & words for words in lines_of[file])}
     assert K.candidate_files(t, terms, f.where("false"), hits.where("false"), "task", "text", "file", "path").count() == 0
+
+
+def test_capitals_are_one_letter_for_one(spark):
+    from gleaner.plans.retrievals import capitalised
+
+    words = spark.createDataFrame([("ßung",), ("öRE",), ("x",), ("",), ("ŉab",)], "w string")
+    assert [r[0] for r in words.select(capitalised(F.col("w"))).collect()] == ["ẞung", "Öre", "X", "", "ŉab"]
