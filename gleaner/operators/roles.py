@@ -79,24 +79,27 @@ def role_scores(candidates: DataFrame, terms: DataFrame, scope: list[str], roles
     candidate's terms, plus the words of its symbol that are like terms (MOST_ALIKE at most), plus what it being
     complete, its words and its path add for the role; `profile` names a column of tasks' profiles.
 
-    Candidates and terms meet once, on scope and key, so that no candidate is held against all terms; nulls count
-    as nothing, candidates without a role asked for have no row.
+    A scope's terms meet its candidates as one map of their weights by key, so that no candidate is held against all
+    terms, and only whole candidates are shuffled, once; nulls count as nothing, candidates without a role asked for
+    have no row.
     """
     words, pairs = ROLE_WORDS if words is None else words, ROLE_PAIRS if pairs is None else pairs
     places = path_bonus(F.col("path")) if places is None else places
     own = F.array_distinct(identifier_words(F.coalesce("symbol", F.lit(""))))
     wanted = F.filter(F.array_distinct("roles"), lambda r: r.isin(roles))
     rows = candidates.withColumn("__words", own).withColumn("__wanted", wanted).where(F.size("__wanted") > 0)
-    keyed = F.concat(F.transform(F.array_distinct(F.coalesce("terms", F.array().cast("array<string>"))), lambda t: F.struct(F.lit("t").alias("how"), t.alias("key"))), F.transform("__words", lambda w: F.struct(F.lit("s").alias("how"), stem_key(w).alias("key"))))
-    asked = terms.where("term is not null").select(*scope, "weight", F.explode(F.array(F.struct(F.lit("t").alias("how"), F.col("term").alias("key")), F.struct(F.lit("s").alias("how"), stem_key(F.lower(F.trim("term"))).alias("key")))).alias("at")).select(*scope, "weight", "at.how", "at.key")
-    held = rows.select(*scope, "anchor", F.explode(keyed).alias("at")).select(*scope, "anchor", "at.how", "at.key").where("key is not null")
-    met = held.join(asked, [*scope, "how", "key"]).groupBy(*scope, "anchor").agg(F.sum(F.when(F.col("how") == "t", F.col("weight") * TERM)).alias("__terms"), F.sum(F.when(F.col("how") == "s", F.col("weight") * ALIKE)).alias("__alike"))
-    met = met.select(*scope, "anchor", (F.coalesce("__terms", F.lit(0)) + F.least(F.coalesce("__alike", F.lit(0)), F.lit(MOST_ALIKE))).alias("__met"))
+    none = F.array().cast("array<string>")
+    asked = terms.where("term is not null").select(*scope, "weight", F.explode(F.array(F.struct(F.lit("t").alias("how"), F.col("term").alias("key")), F.struct(F.lit("s").alias("how"), stem_key(F.lower(F.trim("term"))).alias("key")))).alias("at"))
+    asked = asked.where("at.key is not null").groupBy(*scope, "at").agg(F.sum("weight").alias("weight")).groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("at.how", "at.key"), "weight"))).alias("__asked"))
+    said = lambda how, keys: F.aggregate(F.filter(F.transform(keys, lambda k: F.element_at("__asked", F.concat(F.lit(how), k)).cast("long")), lambda w: w.isNotNull()), F.lit(0).cast("long"), lambda n, w: n + w)
+    met = F.when(F.col("__asked").isNull(), F.lit(0)).otherwise(
+        said("t", F.array_distinct(F.coalesce("terms", none))) * TERM + F.least(said("s", F.transform("__words", lambda w: stem_key(w))) * ALIKE, F.lit(MOST_ALIKE))
+    )
     depth = F.length("path") - F.length(F.replace("path", F.lit("/")))
     of_role = F.coalesce(*(F.when(F.col("role") == r, _word_points(F.col("__words"), words.get(r, []), pairs.get(r, [])) + places.get(r, F.lit(0))) for r in roles), F.lit(0))
     of_profile = F.lit(0)
     for (role, name), (points, of) in PROFILE_WORDS.items() if profile else ():
         of_profile = of_profile + F.when((F.col("role") == role) & (F.col(profile) == name) & F.arrays_overlap("__words", F.array(*map(F.lit, of))), points).otherwise(0)
-    score = F.coalesce("base", F.lit(0)) - F.coalesce(depth, F.lit(0)) * DEPTH + F.coalesce("__met", F.lit(0)) + F.when(F.col("complete"), COMPLETE).otherwise(0) + of_role + of_profile
-    out = rows.join(met, [*scope, "anchor"], "left").withColumn("role", F.explode("__wanted")).withColumn("score", score.cast("long"))
-    return out.drop("__words", "__wanted", "__met")
+    score = F.coalesce("base", F.lit(0)) - F.coalesce(depth, F.lit(0)) * DEPTH + met + F.when(F.col("complete"), COMPLETE).otherwise(0) + of_role + of_profile
+    out = rows.join(asked, scope, "left").withColumn("role", F.explode("__wanted")).withColumn("score", score.cast("long"))
+    return out.drop("__words", "__wanted", "__asked")

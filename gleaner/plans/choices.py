@@ -26,7 +26,8 @@ def role_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     An item's file is its part's, its symbol the part's name and type, its roles its own flag and N.
     """
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_discount").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     own = files(spark, sf_dir).select(F.col("part").alias("l_partkey"), "path")
     named = F.split("p_name", " ")
     rows = items.join(own, "l_partkey").select(
@@ -65,7 +66,8 @@ def e21(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("j2_role_selection", f"WITH RECURSIVE {_ITEMS}, ranked AS (SELECT task AS scope, role, anchor, path AS file, score, base AS fill FROM scored), {choice_sql('ranked', 'scope AS task, q.role, q.anchor, reason', {'R': 3, 'A': 2}, 2, 12)}")
 def role_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each customer's items, three for R and two for A by their scores for the role, then the largest; two of a file, twelve in all."""
-    chosen = X.role_contract(role_scores(spark, sf_dir), ["task"], "role", "anchor", "path", "score", {"R": 3, "A": 2}, 2, 12, "base")
+    scored = role_scores(spark, sf_dir).select("task", "role", "anchor", "path", "score", "base")
+    chosen = X.role_contract(scored, ["task"], "role", "anchor", "path", "score", {"R": 3, "A": 2}, 2, 12, "base")
     return chosen.select("task", "role", "anchor", "reason")
 
 

@@ -296,3 +296,35 @@ def test_group_quota_places_pins_of_crowded_folders_by_order(spark):
     df = spark.createDataFrame(rows, "s string, grp string, dir string, pin boolean, order long, path string")
     found = selection.group_quota(df, ["s"], "grp", "dir", "pin", ["order", "path"], {"source": 3}, 2, 6)
     assert [r.path for r in found.orderBy("position").collect()] == [f"full{k}" for k in range(6)]
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("WindowGroupLimit")
+
+
+def test_top_k_cuts_groups_before_its_only_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators.ranking import top_k
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.hash("id").alias("v"), "id")
+    best = top_k(rows, ["g"], [F.desc("v"), F.col("id")], 5)
+    assert _shuffles(best) == (1, 2)
+    want = {(r.g, r.id, r.rank) for r in top_k(rows, ["g"], [F.desc("v"), F.col("id")], 2000).where("rank <= 5").collect()}
+    assert {(r.g, r.id, r.rank) for r in best.collect()} == want
+
+
+def test_role_scores_shuffle_whole_candidates_once(spark):
+    from gleaner.operators import roles
+
+    one = spark.createDataFrame([("s", 1, "a/b", "ring bolt", 5, ["ring"], ["R"], True)], "s string, anchor long, path string, symbol string, base long, terms array<string>, roles array<string>, complete boolean")
+    terms = spark.createDataFrame([("s", "ring", 3), ("s", "rings", None), ("t", "ring", 9)], "s string, term string, weight int")
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = roles.role_scores(one, terms, ["s"], ["R"], {}, {}, {})
+        assert "anchor" not in " ".join(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+        assert [r.score for r in out.collect()] == [5 - 12 + 2 * 3 + 12 * 3 + 24]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
