@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import top_k
@@ -34,31 +35,34 @@ def seed_matches(sites: DataFrame, seeds: DataFrame, site: str = "site", seed: s
     receiver, a field of it, or a constant, or else the default.  Several: ambiguous, no seed, and the first
     `samples` of them in `candidates`.  Sites that nothing fits, and those with null keys where a seed names one, have no row.
 
-    One equi-join: a site carries one key for each set of named keys that any seed uses, at most seven.
+    Seeds with the same named keys, min_args and variadic rank alike, so the first `samples` of them stand for all.  One
+    equi-join: a site carries one key for each set of named keys that any seed uses, at most seven, and meets a
+    row for each min_args and variadic there, however many seeds there are.
     """
     mask = sum((F.when(F.col(k).isNotNull(), 1 << n).otherwise(0) for n, k in enumerate(KEYS)), F.lit(0))
     named = seeds.withColumn("__mask", mask.cast("int")).where("__mask > 0")
-    used = sorted(r[0] for r in named.select("__mask").distinct().collect())  # at most seven
     rule = named.select(F.col(seed).alias("__seed"), "__mask", _lattice_key([F.col(k) for k in KEYS], F.col("__mask")).alias("__key"), F.coalesce("min_args", F.lit(0)).alias("__least"), F.col("variadic").alias("__variadic"), "projections")
+    alike = ["__mask", "__key", "__least", "__variadic"]
+    near = top_k(rule.dropDuplicates([*alike, "__seed"]), alike, [F.col("__seed")], max(samples, 2))
+    sorts = settle(near.groupBy(*alike).agg(F.array_sort(F.collect_list("__seed")).alias("__seeds"), F.min_by("projections", "__seed").alias("projections")))
+    used = sorted(r[0] for r in sorts.select("__mask").distinct().collect())  # at most seven
     wide = sites.select(F.col(site), *KEYS, "args", "variadic", F.explode(F.array(*(F.lit(m) for m in used)) if used else F.array().cast("array<int>")).alias("__mask"))
-    met = wide.withColumn("__key", _lattice_key([F.col(k) for k in KEYS], F.col("__mask"))).where("__key is not null").join(rule, ["__mask", "__key"])
+    met = wide.withColumn("__key", _lattice_key([F.col(k) for k in KEYS], F.col("__mask"))).where("__key is not null").join(sorts, ["__mask", "__key"])
     fits = (F.coalesce(F.size("args"), F.lit(0)) >= F.col("__least")) & (F.col("__variadic").isNull() | F.equal_null("__variadic", "variadic"))
     count = F.bit_count("__mask")
     rank = F.struct((-count).alias("a"), (-F.col("__mask").bitwiseAND(F.lit(1))).alias("b"), (-F.col("__mask").bitwiseAND(F.lit(2))).alias("c"), (-F.col("__mask").bitwiseAND(F.lit(4))).alias("d"), (-F.col("__least")).alias("e"), F.col("__variadic").isNull().alias("f"))
-    fitting = met.where(fits).withColumn("__rank", rank)
-    best = F.rank().over(Window.partitionBy(site).orderBy("__rank"))
-    first = fitting.withColumn("__best", best).where("__best = 1").withColumn("__turn", F.row_number().over(Window.partitionBy(site).orderBy("__seed"))).where(F.col("__turn") <= samples)
-    one = first.groupBy(site).agg(F.array_sort(F.collect_set("__seed")).alias("candidates"), F.min_by(F.struct("receiver", "args", "projections"), "__seed").alias("__s"))
+    one = met.where(fits).groupBy(site).agg(F.min_by(F.struct("receiver", "args", "projections", "__seeds"), rank).alias("__s"))
     at = F.col("__s")
+    found = at["__seeds"]
 
     def filled(p: Column) -> Column:
         inside = (p["index"] >= 0) & (p["index"] < F.coalesce(F.size(at["args"]), F.lit(0)))
         value = F.when(p["source"] == "argument", F.when(inside, F.get(at["args"], p["index"]))).when(p["source"] == "receiver", at["receiver"]).when(p["source"] == "receiver_field", F.concat(at["receiver"], F.lit("."), p["field"])).when(p["source"] == "constant", p["value"])
         return F.coalesce(value, p["default"])
 
-    sole = F.size("candidates") == 1
+    sole = F.size(found) == 1
     fields = F.when(sole, F.transform_values(F.coalesce(at["projections"], F.create_map().cast(seeds.schema["projections"].dataType)), lambda _, p: filled(p)))
-    return one.select(site, F.when(sole, "matched").otherwise("ambiguous").alias("status"), F.when(sole, F.col("candidates")[0]).alias("seed"), F.when(~sole, F.col("candidates")).alias("candidates"), fields.alias("fields"))
+    return one.select(site, F.when(sole, "matched").otherwise("ambiguous").alias("status"), F.when(sole, found[0]).alias("seed"), F.when(~sole, F.slice(found, 1, samples)).alias("candidates"), fields.alias("fields"))
 
 
 def attached_chains(descriptors: DataFrame, bindings: DataFrame, activations: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -97,31 +101,48 @@ def attached_chains(descriptors: DataFrame, bindings: DataFrame, activations: Da
 #: Fixed class: characters that may be part of a path; a reference has none of them right before or behind it.
 PATH_CHARS = "A-Za-z0-9_./-"
 _RUN = re.compile(f"[{PATH_CHARS}]+")
+#: Bits of the filter that holds stretches which are no path back from the shuffle, at most.
+MOST_BITS = 1 << 27
 
 
-def _runs(runs: int, longest: int, beside: int):
-    """mapInArrow function: (id, text) to every stretch of up to `runs` runs of path characters, with where it starts and
-    what stands beside it."""
+def _runs(runs: int, longest: int, beside: int, bits: bytes):
+    """mapInArrow function: (id, text) to every stretch of up to `runs` runs of path characters whose crc32 has its bit
+    in `bits`, with where it starts and what stands beside it."""
+    last = len(bits) * 8 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or ""
+            row, start, core, before, behind = [], [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 spans = [m.span() for m in _RUN.finditer(text)]
-                start, core, before, behind = [], [], [], []
                 for i, (a, _) in enumerate(spans):
                     for _, b in spans[i : i + runs]:
-                        if b - a <= longest:
+                        if b - a > longest:
+                            break
+                        bit = zlib.crc32(text[a:b].encode()) & last
+                        if bits[bit >> 3] >> (bit & 7) & 1:
+                            row.append(k)
                             start.append(a)
                             core.append(text[a:b])
                             before.append(text[max(0, a - beside) : a])
                             behind.append(text[b : b + beside + 20])
-                ids = batch.column(0).slice(k, 1).take(pa.array([0] * len(start), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int32()), pa.array(core, pa.string()), pa.array(before, pa.string()), pa.array(behind, pa.string())], ["id", "start", "core", "before", "behind"])
+            ids = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int32()), pa.array(core, pa.string()), pa.array(before, pa.string()), pa.array(behind, pa.string())], ["id", "start", "core", "before", "behind"])
 
     return run
 
 
+def _bits(cores: DataFrame, n: int) -> bytes:
+    """A bit for the crc32 of each core, about 16 times as many bits as cores and MOST_BITS at most: 16 MB, whatever the input."""
+    size = min(MOST_BITS, max(1 << 15, 1 << (16 * n - 1).bit_length()))
+    at = F.crc32("core").bitwiseAND(F.lit(size - 1)) + 1  # Spark numbers bits from 1
+    rows = cores.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect()
+    out = bytearray(size // 8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(out)
+
+
 def references(texts: DataFrame, paths: DataFrame, id_col: str, text_col: str, path_col: str = "path") -> DataFrame:
     """(id, path, line, position): known paths that a text refers to, each with and without a line once, in order.
 
@@ -131,8 +152,8 @@ def references(texts: DataFrame, paths: DataFrame, id_col: str, text_col: str, p
     Paths without any character of PATH_CHARS are not looked for; null or empty texts have no references.
 
     Texts and paths meet on the stretch from a path's first to its last run of path characters, in one equi-join.  Texts
-    give stretches of as many runs as any path has, so paths without blanks cost one row a word, and no text is
-    ever held against all paths.
+    give stretches of as many runs as any path has, and a filter of bounded size keeps those back that no path begins
+    and ends with, so few words are shuffled, and no text is ever held against all paths.
     """
     known = paths.select(F.col(path_col).alias("path")).where(F.col("path").rlike(f"[{PATH_CHARS}]")).distinct()
     parts = known.select(
@@ -140,10 +161,10 @@ def references(texts: DataFrame, paths: DataFrame, id_col: str, text_col: str, p
         F.size(F.regexp_extract_all("path", F.lit(f"[{PATH_CHARS}]+"), F.lit(0))).alias("runs"),
     )
     cores = settle(parts.withColumn("core", F.substring("path", F.length("lead") + 1, F.length("path") - F.length("lead") - F.length("trail"))))
-    runs, longest, beside = cores.agg(F.max("runs"), F.max(F.length("core")), F.max(F.greatest(F.length("lead"), F.length("trail")))).first()
+    runs, longest, beside, n = cores.agg(F.max("runs"), F.max(F.length("core")), F.max(F.greatest(F.length("lead"), F.length("trail"))), F.count("*")).first()
     said = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kind = said.schema["id"].dataType.simpleString()
-    found = said.mapInArrow(_runs(runs or 0, longest or 0, (beside or 0) + 1), f"id {kind}, start int, core string, before string, behind string").join(cores, "core")
+    found = said.mapInArrow(_runs(runs or 0, longest or 0, (beside or 0) + 1, _bits(cores, n)), f"id {kind}, start int, core string, before string, behind string").join(cores, "core")
     rest = F.substring("behind", F.length("trail") + 1, F.length("behind"))
     fits = F.endswith("before", F.col("lead")) & F.startswith("behind", F.col("trail"))
     ahead = F.substring("before", 1, F.length("before") - F.length("lead"))
@@ -153,26 +174,42 @@ def references(texts: DataFrame, paths: DataFrame, id_col: str, text_col: str, p
     return out.groupBy("id", "path", "line").agg(F.min("position").alias("position")).withColumnRenamed("id", id_col)
 
 
+_OF_PATH = re.compile(f"[{PATH_CHARS}]")
+#: What follows a path in each form of a claim.
+_CLAIMS = [re.compile(form) for form in (r"\s+lines?\s+(?P<line>[0-9]+)(?:\s*-\s*[0-9]+)?", r"(?P<between>[^.;\n]{0,160}?)\s+at\s+line\s+(?P<line>[0-9]+)", "[:#](?P<line>[0-9]+)")]
+
+
+def _rewritten(text: str, path: str, lines: set[int]) -> tuple[str, bool]:
+    """text with its claims about one path rewritten, and whether all their lines are known."""
+    grounded = True
+    for form in _CLAIMS:
+        out, done, i = [], 0, text.find(path)
+        while i >= 0:
+            # the character before a path belongs to its claim, so claims have one between them
+            open_ = i == 0 or (i > done and not _OF_PATH.match(text, i - 1))
+            claim = form.match(text, i + len(path)) if open_ else None
+            if claim is None:
+                i = text.find(path, i + 1)
+                continue
+            sure = int(claim["line"]) in lines
+            grounded &= sure
+            between = (claim["between"] if "between" in form.groupindex else "").rstrip(" \t")
+            out += [text[done : i + len(path)], f":{int(claim['line'])}" if sure else "", between]
+            done = claim.end()
+            i = text.find(path, done + 1)
+        text = "".join([*out, text[done:]]) if out else text
+    return text, grounded
+
+
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, held: the paths in it with their known lines) to the rewritten text and whether all lines are known."""
-    open_ = f"(^|[^{PATH_CHARS}])"
     for batch in batches:
         texts, sound = [], []
         for text, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             grounded = True
             for path, lines in sorted(((h["path"], set(h["lines"])) for h in held or ()), key=lambda h: (-len(h[0]), h[0])):
-
-                def put(m: re.Match, path=path, lines=lines) -> str:
-                    nonlocal grounded
-                    between = (m["between"] if "between" in m.re.groupindex else "").rstrip(" \t")
-                    if int(m["line"]) in lines:
-                        return f"{m[1]}{path}:{int(m['line'])}{between}"
-                    grounded = False
-                    return f"{m[1]}{path}{between}"
-
-                at = open_ + re.escape(path)
-                for form in (at + r"\s+lines?\s+(?P<line>[0-9]+)(?:\s*-\s*[0-9]+)?", at + r"(?P<between>[^.;\n]{0,160}?)\s+at\s+line\s+(?P<line>[0-9]+)", at + "[:#](?P<line>[0-9]+)"):
-                    text = re.sub(form, put, text)
+                text, sure = _rewritten(text, path, lines)
+                grounded &= sure
             texts.append(text)
             sound.append(grounded)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sound)], ["id", "text", "grounded"])

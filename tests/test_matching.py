@@ -98,3 +98,26 @@ def test_chains_attach_only_one_of_each(spark):
         (2, "binding_ambiguous", "11"), (2, "binding_ambiguous", "12"), *((3, "activation_ambiguous", str(30 + k)) for k in range(3)), (3, "evidence_limit", "2"),
         (1, "binding_candidate", "13"), (3, "binding_candidate", "13"), (3, "binding_candidate", "15"),
     ])
+
+
+def test_words_that_are_no_path_stay_out_of_the_shuffle(spark):
+    from gleaner.operators import matching
+
+    cores = spark.createDataFrame([(f"d/f{k}.go",) for k in range(3000)], "core string")
+    bits = matching._bits(cores, 3000)
+    text = " ".join(f"word{k} d/f{k}.go" for k in range(1000))
+    said = spark.createDataFrame([(1, text)], "id long, text string")
+    out = said.mapInArrow(matching._runs(2, 40, 1, bits), "id long, start int, core string, before string, behind string").select("core").collect()
+    held = [r.core for r in out if r.core.startswith("d/f") and " " not in r.core]
+    assert held == [f"d/f{k}.go" for k in range(1000)] and len(out) < 1400
+
+
+def test_seeds_of_one_open_key_meet_a_site_as_one_row(spark):
+    from gleaner.operators import matching
+
+    seeds = spark.range(5000).selectExpr("id as seed", "'p' as package", "cast(null as string) receiver", "cast(null as string) name", "1 as min_args", "cast(null as boolean) variadic", "cast(null as map<string, struct<source: string, index: int, value: string, default: string, field: string>>) projections")
+    sites = spark.range(50).selectExpr("id as site", "'p' as package", "'r' as receiver", "'n' as name", "array('x') as args", "false as variadic")
+    found = matching.seed_matches(sites, seeds)
+    assert {(r.status, tuple(r.candidates)) for r in found.collect()} == {("ambiguous", tuple(range(8)))} and found.count() == 50
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "__seeds" in plan and "rank(" not in plan  # what meets a site are groups of seeds, not 250,000 pairs
