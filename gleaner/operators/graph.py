@@ -32,15 +32,22 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def branches(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): what each root reaches, itself included; edges must not lead into other roots where walks end there."""
-    frontier = settle(roots.select(F.col("node").alias("root"), "node").distinct())
-    seen, k = frontier, 0
-    while frontier.take(1):
-        k += 1
-        ahead = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("root", F.col("dst").alias("node")).distinct()
-        frontier = settle(ahead.join(seen, ["root", "node"], "left_anti"))
-        seen = settle(seen.union(frontier)) if k % 8 == 0 else seen.union(frontier)
-    return seen
+    """(root, node): what each root reaches, itself included; edges must not lead into other roots where walks end there.
+
+    Roots that stand next to each other in order go together, 64 as the bits of one number: an edge carries a chunk of
+    roots at a step, and only the nodes that some of them reach anew go on.
+    """
+    links = settle(edges.select("src", "dst").distinct())
+    numbered = settle(roots.select(F.col("node").alias("root")).distinct().repartitionByRange("root").sortWithinPartitions("root").withColumn("__n", F.monotonically_increasing_id()))
+    roots_ = numbered.select("root", F.shiftright("__n", 6).alias("chunk"), F.expr("shiftleft(1L, cast(__n & 63 as int))").alias("bit"))
+    fresh = seen = settle(roots_.select(F.col("root").alias("node"), "chunk", F.col("bit").alias("bits")))
+    while fresh.take(1):
+        ahead = fresh.join(links.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node"), "chunk").agg(F.bit_or("bits").alias("ahead"))
+        met = seen.join(ahead, ["node", "chunk"], "full")
+        had, came = F.coalesce("bits", F.lit(0).cast("long")), F.coalesce("ahead", F.lit(0).cast("long"))
+        state = settle(met.select("node", "chunk", had.bitwiseOR(came).alias("bits"), came.bitwiseAND(F.bitwise_not(had)).alias("new")))
+        seen, fresh = state.select("node", "chunk", "bits"), state.where("new <> 0").select("node", "chunk", F.col("new").alias("bits"))
+    return seen.join(roots_, "chunk").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("root", "node")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -328,3 +328,15 @@ def test_role_scores_shuffle_whole_candidates_once(spark):
         assert [r.score for r in out.collect()] == [5 - 12 + 2 * 3 + 12 * 3 + 24]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+
+
+def test_branches_of_many_roots_go_together(spark):
+    from gleaner.operators import graph
+
+    links = [(k, 1000) for k in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1001), (7, 1003), (None, 5)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    roots = spark.createDataFrame([(k,) for k in range(200)], "node long")
+    found = graph.branches(edges, roots)
+    want = {(k, n) for k in range(200) for n in (k, 1000, 1001, 1002)} | {(7, 1003)}
+    assert sorted((r.root, r.node) for r in found.collect()) == sorted(want)
+    assert "bits" in found._jdf.queryExecution().analyzed().toString()  # chunks of 64 roots travel, not each by itself
