@@ -115,13 +115,22 @@ def path_match_score(path: Column, term: Column, test: Column) -> Column:
     return 40 - slashes * 4 + F.when(F.contains(F.lower(path), term), 40).otherwise(0) + F.when(test, 2).otherwise(0)
 
 
+def line_match_facts(line: Column) -> tuple[Column, Column]:
+    """(words, comment): the words that a line declares something by (none, if it declares nothing), and whether it is a comment."""
+    text = F.trim(line)
+    words = F.when(text.rlike("^(func|type|var|const) "), F.split(F.lower(text), "[^a-z0-9_]+")).otherwise(F.array().cast("array<string>"))
+    return words, F.startswith(text, F.lit("//")) | F.startswith(text, F.lit("#"))
+
+
+def line_match_points(path: Column, term: Column, hits: Column, test: Column, named: Column, comment: Column) -> Column:
+    """line_match_score() of a line by its facts: whether the term is one of its words, and whether it is a comment."""
+    return path_match_score(path, term, test) + F.least(hits, F.lit(8)) * 3 + F.when(named, 24).otherwise(0) - F.when(comment, 4).otherwise(0)
+
+
 def line_match_score(path: Column, line: Column, term: Column, hits: Column, test: Column) -> Column:
     """Score of a line that holds the term: that of its path, of the path's hits, of declarations, less for comments."""
-    text = F.trim(line)
-    declares = text.rlike("^(func|type|var|const) ")
-    words = F.split(F.lower(text), "[^a-z0-9_]+")
-    comment = F.startswith(text, F.lit("//")) | F.startswith(text, F.lit("#"))
-    return path_match_score(path, term, test) + F.least(hits, F.lit(8)) * 3 + F.when(declares & F.array_contains(words, term), 24).otherwise(0) - F.when(comment, 4).otherwise(0)
+    words, comment = line_match_facts(line)
+    return line_match_points(path, term, hits, test, F.array_contains(words, term), comment)
 
 
 def operational_kind(path: Column) -> Column:

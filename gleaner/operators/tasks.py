@@ -85,15 +85,21 @@ def declares(line: Column) -> Column:
 
 
 def term_lines(files: DataFrame, terms: DataFrame, file: str, text: str) -> DataFrame:
-    """(file, term, line, said, declared): lines (from 1) that have a term of any task as a word or a part of one, their
-    text, and whether they declare it.
+    """(file, term, line, declared, named, comment): lines (from 1) that have a term of any task as a word or a part of
+    one, whether they declare it (as a word of an identifier, or by its very name), and whether they are comments.
 
-    Lines keep only words that some task asks for before anything is shuffled.
+    Lines keep only words that some task asks for before anything is shuffled; their text goes with none of them, as
+    a long line has many words.
     """
     asked = settle(terms.select("term").distinct())
     lines = files.select(file, F.posexplode(F.split(text, "\n")).alias("at", "said"))
-    words = lines.select(file, (F.col("at") + 1).alias("line"), "said", F.explode(line_words(F.col("said"))).alias("term")).join(asked, "term", "left_semi")
-    return words.withColumn("declared", declares(F.col("said")) & F.array_contains(identifier_words(F.col("said")), F.col("term")))
+    names, comment = L.line_match_facts(F.col("said"))
+    owns = F.when(declares(F.col("said")), identifier_words(F.col("said"))).otherwise(F.array().cast("array<string>"))
+    facts = lines.select(file, (F.col("at") + 1).alias("line"), comment.alias("comment"), line_words(F.col("said")).alias("__w"), owns.alias("__o"), names.alias("__n"))
+    own, other = F.array_intersect("__w", "__o"), F.array_except("__w", "__o")
+    of = lambda words, declared, named: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(declared).alias("declared"), F.lit(named).alias("named")))
+    each = F.concat(of(F.array_intersect(own, "__n"), True, True), of(F.array_except(own, "__n"), True, False), of(F.array_intersect(other, "__n"), False, True), of(F.array_except(other, "__n"), False, False))
+    return facts.select(file, "line", "comment", F.explode(each).alias("__t")).select(file, "__t.term", "line", "__t.declared", "__t.named", "comment").join(asked, "term", "left_semi").select(file, "term", "line", "declared", "named", "comment")
 
 
 def _path_hits(files: DataFrame, terms: DataFrame, file: str, path: str) -> DataFrame:
@@ -146,13 +152,16 @@ def candidate_files(tasks: DataFrame, terms: DataFrame, files: DataFrame, hits:
 def line_anchors(candidates: DataFrame, terms: DataFrame, hits: DataFrame, files: DataFrame, task: str, file: str, path: str, per_file: int = 8, total: int = 16) -> DataFrame:
     """(task, file, line, term, score, position): the lines of a task's candidates to start from, `total` of them.
 
-    A line scores by the best of its terms: its path's score, its declaration, its being a comment (labels.line_match_score) and three for
+    A line scores by the best of its terms: its path's score, its declaration, its being a comment (labels.line_match_points) and three for
     each line of the file with the term, up to eight; at most per_file of a file, files and lines by score, then path and line.
     """
-    often = hits.groupBy(file, "term").agg(F.count_distinct("line").alias("__n"))
-    near = candidates.select(task, file).join(terms.select(task, "term"), task).join(hits, [file, "term"]).join(often, [file, "term"]).join(files.select(file, F.col(path).alias("__path")), file)
+    pairs = settle(candidates.select(task, file).join(terms.select(task, "term"), task))
+    own = settle(hits.join(pairs.select(file, "term").distinct(), [file, "term"], "left_semi"))
+    often = own.groupBy(file, "term").agg(F.count_distinct("line").alias("__n"))
+    near = pairs.join(own, [file, "term"]).join(often, [file, "term"]).join(files.select(file, F.col(path).alias("__path")), file)
     test = P.artifact_role(F.col("__path")).isin("test", "fixture")
-    scored = near.withColumn("score", L.line_match_score(F.col("__path"), F.col("said"), F.col("term"), F.col("__n"), test).cast("long"))
+    scored = near.withColumn("score", L.line_match_points(F.col("__path"), F.col("term"), F.col("__n"), test, F.col("named"), F.col("comment")).cast("long"))
+    scored = scored.select(task, file, "__path", "line", "term", "score")
     best = top_k(scored, [task, file, "line"], [F.desc("score"), F.col("term")], 1, "__k").drop("__k")
     own = top_k(best, [task, file], [F.desc("score"), F.col("line")], per_file, "__k").drop("__k")
     return top_k(own, [task], [F.desc("score"), F.col("__path"), F.col("line")], total, "position").select(task, file, "line", "term", "score", "position")

@@ -126,3 +126,13 @@ def test_capitals_are_one_letter_for_one(spark):
 
     words = spark.createDataFrame([("ßung",), ("öRE",), ("x",), ("",), ("ŉab",)], "w string")
     assert [r[0] for r in words.select(capitalised(F.col("w"))).collect()] == ["ẞung", "Öre", "X", "", "ŉab"]
+
+
+def test_hits_go_without_the_text_of_their_lines(spark):
+    line = "func SendMap(send_all) " + " ".join(f"w{k}" for k in range(50))
+    f = spark.createDataFrame([(1, "a.go", line + "\n// send")], "file int, path string, text string")
+    terms = spark.createDataFrame([(1, w) for w in ("send", "map", "send_all", "sendmap", "w7")], "task int, term string")
+    hits = K.term_lines(f, terms, "file", "text")
+    assert all(kind != "string" or name == "term" for name, kind in hits.dtypes)
+    got = {(r["term"], r["line"], r["declared"], r["named"], r["comment"]) for r in hits.collect()}
+    assert got == {("send", 1, True, False, False), ("send_all", 1, False, True, False), ("sendmap", 1, False, True, False), ("w7", 1, True, True, False), ("send", 2, False, False, True)}
