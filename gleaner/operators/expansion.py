@@ -3,9 +3,12 @@ what the limits left out.  Every round takes one step for all questions or roots
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ from gleaner.operators.sets import settle
 #: a term, one that begins a term or begins with it, and a name that is a term; the last two pairs again for the order of a walk.
 BASE, HIT, LIVE, SAME, BEGINS, WHOLE = 40, 5, 10, 30, 10, 15
 OVERLAP_SAME, OVERLAP_BEGINS = 3, 1
+#: Distinct names and questions of a block, bytes of either, and terms whose row of points a task keeps.
+BLOCK_NAMES, BLOCK_QUESTIONS, BLOCK_BYTES, MOST_ROWS = 8192, 4096, 8 << 20, 1024
 #: Folders of tests.
 TEST_FOLDERS = ["test", "tests", "testdata", "benchmark", "benchmarks"]
 
@@ -28,30 +33,91 @@ def is_test(path: Column) -> Column:
     return F.endswith(low, F.lit("_test.go")) | F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, TEST_FOLDERS)))
 
 
-def alike_words(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term, same): every distinct word and term of which one begins with the other, by equi-joins on beginnings."""
-    w, t = words.select("word").distinct().where("word <> ''"), terms.select("term").distinct().where("term <> ''")
-    starts = lambda c, upto: F.explode(F.transform(F.sequence(F.lit(1), upto), lambda n: F.substring(F.col(c), F.lit(1), n)))
-    longer = w.select("word", starts("word", F.length("word")).alias("term")).join(t, "term").select("word", "term")
-    shorter = t.where("length(term) > 1").select("term", starts("term", F.length("term") - 1).alias("word")).join(w, "word").select("word", "term")
-    return longer.union(shorter).withColumn("same", F.col("word") == F.col("term"))
-
-
-def matched_names(callables: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query, node, score, hits, test): callables (node, name, path) by the terms (query, term) that their names' words share.
-
-    Words and terms meet as distinct words first, then as nodes and queries; pairs that share nothing never arise.
+def _likeness(words: Column, terms: Column, same: int, begins: int) -> Column:
+    """Points of all pairs of a word and a term of which one begins with the other."""
+    points = lambda w, t: F.when(w == t, same).when(F.startswith(w, t) | F.startswith(t, w), begins).otherwise(0)
+    of_word = lambda w: F.aggregate(terms, F.lit(0).cast("long"), lambda n, t: n + points(w, t))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + of_word(w))
+
+
+def _best_names(block: pa.Table) -> pa.Table:
+    """The best name of a block for each question of the block that shares anything with one: a row of numbers for each
+    term, points and hits of every name at once, and their sum for each question."""
+    own = block["own"]
+    names = block.filter(pc.equal(own, 1)).sort_by([("test", "ascending"), ("node", "ascending")])
+    asked = block.filter(pc.equal(own, 0))
+    size, held = len(names), names["words"].combine_chunks()
+    code = held.flatten().dictionary_encode()
+    every = code.dictionary.to_pylist()
+    order = sorted(range(len(every)), key=every.__getitem__)
+    words, place = [every[k] for k in order], np.empty(len(every), np.int64)
+    place[order] = np.arange(len(every))
+    rank = place[code.indices.to_numpy(zero_copy_only=False)]
+    by_word = np.argsort(rank, kind="stable")
+    at = np.searchsorted(rank[by_word], np.arange(len(words) + 1))
+    name_of = np.repeat(np.arange(size), held.value_lengths().to_numpy(zero_copy_only=False))[by_word]
+    known, longest = {w: k for k, w in enumerate(words)}, max(map(len, words), default=0)
+    whole = {n: k for k, n in enumerate(names["name"].to_pylist())}
+    terms_of = asked["terms"].to_pylist()
+    shift = max(map(len, terms_of), default=0).bit_length()
+    base = (BASE + np.where(names["test"].to_numpy(), 0, LIVE)).astype(np.int64) << shift
+
+    def row(term: str) -> np.ndarray | None:
+        """Points and hit of every name for a term, or None."""
+        low, high = bisect_left(words, term), bisect_left(words, term + "\U0010ffff")
+        points = np.bincount(name_of[at[low] : at[high]], minlength=size) * BEGINS
+        for k in [known[term[:n]] for n in range(1, min(len(term) - 1, longest) + 1) if term[:n] in known]:
+            points += np.bincount(name_of[at[k] : at[k + 1]], minlength=size) * BEGINS
+        if term in known:
+            points += np.bincount(name_of[at[low] : at[low + 1]], minlength=size) * (SAME - BEGINS)
+        hit = points > 0
+        if not hit.any():
+            return None
+        if term in whole and hit[whole[term]]:
+            points[whole[term]] += WHOLE
+        return np.where(hit, (points + HIT << shift) + 1, 0)
+
+    rows: dict[str, np.ndarray | None] = {}
+    query, node, key = [], [], []
+    for q, terms in enumerate(terms_of):
+        total = np.zeros(size, np.int64)
+        for t in terms:
+            if t not in rows:
+                if len(rows) >= MOST_ROWS:
+                    rows.clear()
+                rows[t] = row(t)
+            if rows[t] is not None:
+                total += rows[t]
+        total = np.where(total > 0, total + base, 0)
+        best = int(total.argmax()) if size else 0  # names stand in order: the first of the best
+        if size and total[best]:
+            query.append(q)
+            node.append(best)
+            key.append(int(total[best]))
+    keys, chosen = np.array(key, np.int64), names.take(pa.array(node, pa.int64()))
+    return pa.table({"query": asked["query"].take(pa.array(query, pa.int64())), "node": chosen["node"], "score": keys >> shift, "hits": keys & ((1 << shift) - 1), "test": chosen["test"]})
+
+
+def best_matches(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, node, score): the callable (node, name, test, words) whose name shares most with a question (query, terms).
+
+    Equal names score alike but for tests, so the first node of each name stands for all.  Blocks of names meet blocks of
+    questions, both bounded in rows and bytes, and leave one row a question: every name is held against every question,
+    but no pair of them becomes a row.
     """
-    named = callables.select("node", F.explode(identifier_words(F.col("name"))).alias("word")).groupBy("node", "word").agg(F.count("*").alias("times"))
-    asked = questions.where("term is not null").select("query", "term").distinct()
-    met = named.join(alike_words(named, asked), "word").join(asked, "term")
-    points = F.sum(F.when(F.col("same"), SAME).otherwise(BEGINS) * F.col("times"))
-    scored = met.groupBy("query", "node").agg(points.alias("points"), F.countDistinct("term").alias("hits"))
-    whole = callables.select("node", F.col("name").alias("term")).join(asked, "term").groupBy("query", "node").agg((F.count("*") * WHOLE).alias("whole"))
-    facts = callables.select("node", is_test(F.col("path")).alias("test"))
-    out = scored.join(whole, ["query", "node"], "left").join(facts, "node")
-    score = BASE + F.col("hits") * HIT + F.when(F.col("test"), 0).otherwise(LIVE) + F.col("points") + F.coalesce("whole", F.lit(0))
-    return out.select("query", "node", score.cast("long").alias("score"), "hits", "test")
+    names = settle(known.where("size(words) > 0").groupBy("name").agg(F.min(F.struct("test", "node", "words")).alias("r")).select("name", "r.*"))
+    n, n_bytes = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()
+    q, q_bytes = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("terms", " "))), F.lit(0))).first()
+    parts = max(1, -(-n // BLOCK_NAMES), -(-n_bytes // BLOCK_BYTES))
+    groups = max(1, -(-q // BLOCK_QUESTIONS), -(-q_bytes // BLOCK_BYTES))
+    lot = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    asking = asked.select(lot("query", groups).alias("g"), every(parts).alias("b"), F.lit(0).alias("own"), "query", "terms")
+    named = names.select(every(groups).alias("g"), lot("name", parts).alias("b"), F.lit(1).alias("own"), "node", "name", "test", "words")
+    met = asking.unionByName(named, allowMissingColumns=True).repartition(groups * parts, "g", "b")
+    kind = {c: met.schema[c].dataType.simpleString() for c in ("query", "node")}
+    found = met.groupBy("g", "b").applyInArrow(_best_names, f"query {kind['query']}, node {kind['node']}, score long, hits long, test boolean")
+    return top_k(found, ["query"], [F.desc("score"), F.desc("hits"), F.col("test"), F.col("node")], 1).select("query", "node", "score")
 
 
 def question_expansion(callables: DataFrame, edges: DataFrame, questions: DataFrame, hops: int = 2, expansions: int = 3, most: int = 64) -> DataFrame:
@@ -66,25 +132,24 @@ def question_expansion(callables: DataFrame, edges: DataFrame, questions: DataFr
     `callables` (node, name, path) has a row a node, `edges` (src, dst), `questions` (query, term).  Nodes that no
     callable describes are none; a question that matches nothing has no row.
 
-    A round joins one node a question with its neighbours.  No more than twice `most` of a node can matter (as many may be
+    The first callables are found by best_matches.  A round joins one node a question with its neighbours; a node that
+    comes in is held against its question's terms alone.  No more than twice `most` of a node can matter (as many may be
     known already), so a hub never brings all its edges; a question's state is `most` rows.
     """
-    known = settle(callables.select("node", "name", "path").where("node is not null"))
-    questions = settle(questions.where("term is not null").select("query", "term").distinct())
+    named = callables.select("node", "name", "path").where("node is not null")
+    known = settle(named.select("*", is_test(F.col("path")).alias("test"), identifier_words(F.col("name")).alias("words")))
+    asked = settle(questions.where("query is not null and term <> ''").groupBy("query").agg(F.collect_set("term").alias("terms")))
     ends = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     both = ends.union(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     near = settle(top_k(both, ["src"], [F.col("dst")], 2 * most, "turn"))
-    words = settle(known.select("node", F.explode(identifier_words(F.col("name"))).alias("word")).groupBy("node", "word").agg(F.count("*").alias("times")))
-    alike = settle(alike_words(words, questions))
 
     def judged(nodes: DataFrame) -> DataFrame:
         """Nodes (query, node, ...) with overlap, path and test."""
-        hit = nodes.select("query", "node").join(words, "node").join(alike, "word").join(questions, ["query", "term"])
-        overlap = hit.groupBy("query", "node").agg(F.sum(F.when(F.col("same"), OVERLAP_SAME).otherwise(OVERLAP_BEGINS) * F.col("times")).alias("overlap"))
-        facts = known.select("node", "path", is_test(F.col("path")).alias("test"))
-        return nodes.join(overlap, ["query", "node"], "left").fillna(0, ["overlap"]).join(facts, "node")
+        met = nodes.join(known.select("node", "path", "test", "words"), "node").join(asked, "query")
+        overlap = F.coalesce(_likeness(F.col("words"), F.col("terms"), OVERLAP_SAME, OVERLAP_BEGINS), F.lit(0).cast("long"))
+        return met.withColumn("overlap", overlap).drop("words", "terms")
 
-    best = top_k(matched_names(known, questions), ["query"], [F.desc("score"), F.desc("hits"), F.col("test"), F.col("node")], 1).select("query", "node", "score")
+    best = best_matches(known, asked)
     no = F.lit(None)
     roots = settle(judged(best).select("query", "node", F.lit(0).alias("distance"), no.cast(callables.schema["node"].dataType).alias("parent"), F.lit(0).alias("position"), "score", "overlap", "path", "test", no.cast("int").alias("expanded")))
     home, nodes = roots.select("query", F.col("path").alias("home")), roots

@@ -188,6 +188,24 @@ def test_question_expansion_equals_best_first(spark):
         assert found == {q: set(rows) for q, ts in asked.items() if (rows := plain_expansion(callables, edges, ts, hops, expansions, most))}
 
 
+def test_question_expansion_holds_blocks_of_names_against_blocks_of_questions(spark, monkeypatch):
+    """Names and questions that all share their words are more pairs than rows could be; small blocks give the same roots."""
+    rnd = random.Random(5)
+    words = ["the", "then", "of", "office", "and", "an", "on", "onward"]
+    callables = [(k, "_".join(rnd.choices(words, k=8)) + (f"_w{k}" if k % 7 == 0 else ""), rnd.choice(["a.go", "a_test.go"])) for k in range(1500)]
+    asked = {q: {*rnd.sample(words, 6), f"w{rnd.randrange(1500)}"} for q in range(1500)}
+    frames = spark.createDataFrame(callables, "node int, name string, path string"), spark.createDataFrame([(1, 2)], "src int, dst int"), spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query int, term string")
+    roots = lambda: {r["query"]: tuple(r)[1:] for r in expansion.question_expansion(*frames).where("position = 0").collect()}
+    found = roots()
+    assert len(found) == len(asked)
+    for q in range(0, 1500, 300):
+        assert found[q] == plain_expansion(callables, [(1, 2)], asked[q], 2, 3, 64)[0]
+    monkeypatch.setattr(expansion, "BLOCK_NAMES", 400)
+    monkeypatch.setattr(expansion, "BLOCK_QUESTIONS", 500)
+    monkeypatch.setattr(expansion, "MOST_ROWS", 4)
+    assert roots() == found
+
+
 def plain_calls(edges, root, depth, fan_out, most_nodes, most_families):
     out = defaultdict(list)
     for a, b, n in edges:
