@@ -5,7 +5,7 @@ minimum: the node of shingle c, with l and r the places of the nearest smaller h
 for every stretch that lies between l and r and holds c.  Only nodes that span `least` shingles matter,
 about two in least + 1 of all; their minima are the signatures that near-duplicate passages share.
 
-Signatures meet in a grouped minimum and a join: each text that holds one is paired with the first text
+Signatures meet in a window: each text that holds one is paired with the first text
 (by id) that does, with every earlier one where at most SMALL texts do, and beyond with the first that also
 has the same words near it.  Beside each signature stands a code of what surrounds it: a byte for the least
 hash of each of the four stretches of shingles after and before it.  A pair that shares a single signature
@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import COARSE, lean, meet, release, rewrite, table
@@ -41,6 +41,8 @@ LONG = 16
 SIDES, COMMON = 4, 2
 #: Shingles on both sides of a place by which two places of one text are told apart.
 AROUND = 64
+#: Bytes of texts whose shingles a task holds at once.
+TEXT_BYTES = 1 << 19
 #: Pairs of equal shingles held at once; runs that are all chained, and width about long ones beyond.
 PAIRS, MANY, CELL = 1 << 20, 64, 64
 _SEEDS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64))
@@ -107,7 +109,7 @@ def _signatures(least: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, at = flat(batch.column(1))
-            for i, j in slices(np.diff(at)):
+            for i, j in slices(np.diff(at), TEXT_BYTES):
                 own, own_at = shingles(words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 if len(own) < least:
                     continue
@@ -129,11 +131,11 @@ def _signatures(least: int):
     return run
 
 
-def _distinct(y: np.ndarray) -> np.ndarray:
-    """The places of y but those whose AROUND shingles on both sides stand around an earlier place as well: what
+def _distinct(y: np.ndarray, repeated: int) -> np.ndarray:
+    """The places of y, of which `repeated` hold the shingle of an earlier one, but those whose AROUND shingles on both sides stand around an earlier place as well: what
     matches there matches here, and texts that repeat themselves don't meet all their places with all."""
     width = 2 * AROUND + 1
-    if len(y) <= width:
+    if repeated < width:
         return np.arange(len(y))
     power, inverse = powers(len(y))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(y) * power)])
@@ -151,9 +153,13 @@ class Target(NamedTuple):
 
 
 def target(y: np.ndarray) -> Target:
-    places = _distinct(y)
-    order = places[np.argsort(y[places], kind="stable")]
-    return Target(y, order, y[order])
+    order = np.argsort(y, kind="stable")
+    held = y[order]
+    places = _distinct(y, int((held[1:] == held[:-1]).sum()))
+    if len(places) < len(y):
+        order = places[np.argsort(y[places], kind="stable")]
+        held = y[order]
+    return Target(y, order, held)
 
 
 def _runs(x: np.ndarray, y: Target, apart: int) -> np.ndarray:
@@ -283,18 +289,29 @@ def _chains(runs: np.ndarray, same: bool, threshold: float) -> list[list[tuple[i
     return chains
 
 
+def _sorted_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _verified(x: np.ndarray, y: np.ndarray, runs: list[tuple[int, int, int]], least: int, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
     """Passages of a chain of runs (place in x, place in y, length); an unlike chain is split at its widest gap."""
     a, b = runs[0][0], runs[-1][0] + runs[-1][2]
     c, d = runs[0][1], runs[-1][1] + runs[-1][2]
     if b - a < least:
         return
-    mine, other = np.unique(x[a:b]), np.unique(y[c:d])
-    both = len(np.intersect1d(mine, other, assume_unique=True))
+    if len(runs) == 1:  # a run is the same shingles on both sides
+        yield a, b, c, d, 1.0
+        return
+    mine, other = _sorted_set(x[a:b]), _sorted_set(y[c:d])
+    every = np.sort(np.concatenate([mine, other]))
+    both = int((every[1:] == every[:-1]).sum())
     alike = both / (len(mine) + len(other) - both)
     if alike >= threshold:
         yield a, b, c, d, alike
-    elif len(runs) > 1:
+    else:
         k = max(range(1, len(runs)), key=lambda k: max(runs[k][0] - runs[k - 1][0] - runs[k - 1][2], runs[k][1] - runs[k - 1][1] - runs[k - 1][2]))
         yield from _verified(x, y, runs[:k], least, threshold)
         yield from _verified(x, y, runs[k:], least, threshold)
@@ -347,7 +364,7 @@ def _matched(words_: int, threshold: float):
         for batch in batches:
             out = []
             data, at = flat(batch.column(4))
-            for i, j in slices(np.diff(at)):
+            for i, j in slices(np.diff(at), TEXT_BYTES):
                 own, own_at = shingles(words(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 part = batch.slice(i, j - i)
                 for k, (b, p, role, a) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)), strict=True)):
@@ -380,8 +397,9 @@ def repeated_passages(docs: DataFrame, words_: int = WORDS, threshold: float = 0
     common = COMMON if least > SIDES else 0
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(lean(_signatures(least)), "v long, doc long, near long, again boolean")
-    first = rows.groupBy("v").agg(F.min("doc").alias("b"), F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("holders")).where("holders > 1")
-    shared = rewrite(rows.join(first, "v"))
+    group = Window.partitionBy("v")  # one pass over the texts: their signatures are worked out and moved once
+    sized = rows.withColumn("b", F.min("doc").over(group)).withColumn("holders", F.sum(F.when(F.col("again"), 2).otherwise(1)).over(group))
+    shared = rewrite(sized.where("holders > 1"))
     release(docs.sparkSession)
     own = shared.where("doc <> b").select("v", F.col("doc").alias("a"), "near", "b", "holders")
     held = shared.where("doc = b").select("v", "b", F.col("near").alias("other"))

@@ -823,5 +823,16 @@ def test_scores_after_training_match_a_plain_model(monkeypatch, spark):
         assert math.isclose(found[i]["score"], math.log10(alpha.sum()), rel_tol=1e-3), i
 
 
+def test_signatures_are_worked_out_once(spark, monkeypatch):
+    """The texts pass the signatures' function once, and the first holder and the number of holders come from the same rows."""
+    plans = []
+    real = passages.rewrite
+    monkeypatch.setattr(passages, "rewrite", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or real(df))
+    text = " ".join(f"w{k}" for k in range(60))
+    found = passages.repeated_passages(spark.createDataFrame([(1, text), (2, f"{text} more"), (3, "short")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["match_id"], r["similarity"]) for r in found] == [(2, 0, 60, 1, 1.0)]
+    assert plans[0].count("MapInArrow") == 1
+
+
 def test_registry_names_every_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
