@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import top_k
@@ -76,26 +76,36 @@ def attached_chains(descriptors: DataFrame, bindings: DataFrame, activations: Da
     ids of the rows, `most` of a descriptor's in all, activations first, each by id; what goes beyond is one
     row evidence_limit with their number.  A row that is not exact adds binding_candidate or activation_candidate to
     every descriptor it may mean.  Rows that lead to no known descriptor have no part.
+
+    Descriptors and the exact rows of both sides meet as one table, sorted once by descriptor.
     """
     own = descriptors.where("id is not null").select("id").distinct()
 
-    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         once = rows.where("id is not null").groupBy(F.col("id").alias("row")).agg(F.min(F.struct("exact", "to_id", "candidate_ids")).alias("r")).select("row", "r.*")
-        exact = once.where("exact and to_id is not null").select(F.col("to_id").alias("id"), "row").join(own, "id", "left_semi")
-        sums = exact.groupBy("id").agg(F.count("*").alias(f"{name}s"), F.min("row").alias(name))
-        crowd = exact.join(sums.where(F.col(f"{name}s") > 1).select("id"), "id").select("id", F.lit(f"{name}_ambiguous").alias("kind"), F.col("row").cast("string").alias("detail"), "row")
+        exact = once.where("exact and to_id is not null").select(F.col("to_id").alias("id"), F.col("row").alias(name))
         vague = once.where("not coalesce(exact, false)").select("row", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("to_id"), F.coalesce("candidate_ids", F.array().cast(rows.schema["candidate_ids"].dataType)))))).alias("id"))
-        return sums, crowd, vague.join(own, "id", "left_semi").select("id", F.lit(f"{name}_candidate").alias("kind"), F.col("row").cast("string").alias("detail"))
-
-    (b, b_crowd, b_vague), (a, a_crowd, a_vague) = side(bindings, "binding"), side(activations, "activation")
-    met = own.join(b, "id", "left").join(a, "id", "left")
-    word = lambda n: F.when(F.col(n).isNull(), f"no_{n[:-1]}").when(F.col(n) > 1, f"{n[:-1]}_ambiguous")
+        return exact, vague.select("id", F.lit(f"{name}_candidate").alias("kind"), F.col("row").cast("string").alias("detail"))
+
+    (b, b_vague), (a, a_vague) = side(bindings, "binding"), side(activations, "activation")
+    rows = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)), allowMissingColumns=True).unionByName(own.withColumn("side", F.lit(2)), allowMissingColumns=True)
+    of, place = Window.partitionBy("id"), Window.partitionBy("id").orderBy("side", "activation", "binding")
+    placed = rows.withColumn("place", F.row_number().over(place))
+    for name in ("activation", "binding"):
+        placed = placed.withColumn(f"{name}s", F.count(name).over(of)).withColumn(f"first_{name}", F.min(name).over(of))
+    placed = settle(placed.withColumn("known", F.max("side").over(of) == 2).where("known").drop("known"))
+    met = placed.where("side = 2")
+    word = lambda n: F.when(F.col(n) == 0, f"no_{n[:-1]}").when(F.col(n) > 1, f"{n[:-1]}_ambiguous")
     status = F.concat_ws(",", word("bindings"), word("activations"))
-    chains = met.select("id", F.when(F.col("bindings") == 1, F.col("binding")).alias("binding"), F.when(F.col("activations") == 1, F.col("activation")).alias("activation"), F.when(status == "", "complete").otherwise(status).alias("status"))
-    crowd = a_crowd.withColumn("__side", F.lit(0)).union(b_crowd.withColumn("__side", F.lit(1)))
-    shown = top_k(crowd, ["id"], [F.col("__side"), F.col("row")], most).select("id", "kind", "detail")
-    beyond = crowd.groupBy("id").agg((F.count("*") - most).alias("n")).where("n > 0").select("id", F.lit("evidence_limit").alias("kind"), F.col("n").cast("string").alias("detail"))
-    return chains, shown.union(beyond).union(b_vague).union(a_vague)
+    chains = met.select("id", F.when(F.col("bindings") == 1, F.col("first_binding")).alias("binding"), F.when(F.col("activations") == 1, F.col("first_activation")).alias("activation"), F.when(status == "", "complete").otherwise(status).alias("status"))
+    turn = F.col("place") - F.when((F.col("side") == 1) & (F.col("activations") == 1), 1).otherwise(0)  # an only activation is no crowd
+    crowd = placed.where(((F.col("side") == 0) & (F.col("activations") > 1)) | ((F.col("side") == 1) & (F.col("bindings") > 1)))
+    first = F.col("side") == 0
+    shown = crowd.where(turn <= most).select("id", F.when(first, "activation_ambiguous").otherwise("binding_ambiguous").alias("kind"), F.when(first, F.col("activation").cast("string")).otherwise(F.col("binding").cast("string")).alias("detail"))
+    several = sum((F.when(F.col(n) > 1, F.col(n)).otherwise(0) for n in ("activations", "bindings")), F.lit(-most))
+    beyond = met.where(several > 0).select("id", F.lit("evidence_limit").alias("kind"), several.cast("string").alias("detail"))
+    vague = b_vague.union(a_vague).join(own, "id", "left_semi")
+    return chains, shown.union(beyond).union(vague)
 
 
 #: Fixed class: characters that may be part of a path; a reference has none of them right before or behind it.

@@ -100,6 +100,19 @@ def test_chains_attach_only_one_of_each(spark):
     ])
 
 
+def test_chains_meet_both_sides_in_one_sort(spark):
+    """Descriptors and exact rows meet in one window, not in a join for each side; an only activation is no part of a crowd."""
+    from gleaner.operators import matching
+
+    shape = "id int, exact boolean, to_id int, candidate_ids array<int>"
+    bindings = spark.createDataFrame([(k, True, 1, None) for k in range(10, 15)], shape)
+    activations = spark.createDataFrame([(20, True, 1, None), (21, True, 9, None), (22, True, 9, None)], shape)
+    chains, frontiers = matching.attached_chains(spark.createDataFrame([(1,), (1,), (None,), (2,)], "id int"), bindings, activations, 4)
+    assert {tuple(r) for r in chains.collect()} == {(1, None, 20, "binding_ambiguous"), (2, None, None, "no_binding,no_activation")}
+    assert sorted(map(tuple, frontiers.collect())) == [(1, "binding_ambiguous", str(k)) for k in range(10, 14)] + [(1, "evidence_limit", "1")]
+    assert "Join" not in chains._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_words_that_are_no_path_stay_out_of_the_shuffle(spark):
     from gleaner.operators import matching
 
