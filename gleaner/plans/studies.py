@@ -300,8 +300,11 @@ def story_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ids on four axes of each story, and those that accepted items refer to."""
     axes = {"part": "l_partkey", "supplier": "l_suppkey", "line": "l_linenumber", "quantity": "l_quantity"}
     ids = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(c).cast("long").alias("id")) for a, c in axes.items()))).alias("x")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", ids, (F.col("l_returnflag") == "A").alias("used"))
-    return rows.groupBy("l_orderkey", "x.axis").agg(F.countDistinct("x.id").alias("available"), F.countDistinct(F.when(F.col("used"), F.col("x.id"))).alias("referenced"))
+    # items move once, before they are four rows each; an order's ids are made distinct and counted where they lie
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *axes.values(), (F.col("l_returnflag") == "A").alias("used")).repartition("l_orderkey")
+    rows = items.select("l_orderkey", ids, "used").select("l_orderkey", "x.axis", "x.id", "used")
+    once = rows.groupBy("l_orderkey", "axis", "id").agg(F.max("used").alias("used"))
+    return once.groupBy("l_orderkey", "axis").agg(F.count("id").alias("available"), F.count(F.when(F.col("used"), F.col("id"))).alias("referenced"))
 
 
 @add("d11_aspect_coverage", """WITH c AS (SELECT l_suppkey AS aspect, l_partkey AS fact, (['direct', 'derived', 'assumed'])[l_linenumber % 3 + 1] AS status FROM lineitem WHERE l_returnflag <> 'R'), f AS (SELECT DISTINCT l_suppkey AS aspect, l_partkey AS fact FROM lineitem),

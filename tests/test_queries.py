@@ -42,3 +42,14 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).columns == ["source", "category", "n", "files", "priority"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_story_coverage_moves_each_item_once(spark, tmp_path):
+    """Distinct counts of two kinds over four axes do not multiply the items before the shuffle; null ids and flags count for nothing."""
+    from gleaner.plans import studies
+
+    rows = [(1, 5, 7, 1, 3.0, "A"), (1, 5, 8, 2, 3.0, "R"), (1, None, 8, 3, 4.0, None), (2, None, 1, 1, 1.0, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = studies.story_coverage(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, "part", 1, 1), (1, "supplier", 2, 1), (1, "line", 3, 1), (1, "quantity", 2, 1), (2, "part", 0, 0), (2, "supplier", 1, 0), (2, "line", 1, 0), (2, "quantity", 1, 0)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
