@@ -60,7 +60,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The encoder's memo is small here: its workers hold what other stages left.
     """
-    return bpe.token_digests(docs, memo=80 << 20)
+    return bpe.token_digests(docs, memo=24 << 20, states=bpe.STATES // 2)
 
 
 STAGES = [

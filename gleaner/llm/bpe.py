@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import lean, table
 from gleaner.llm.words import slices
 
 #: Bytes, about, that a worker keeps of pieces already encoded in each of two generations, and what a piece takes beside
@@ -187,14 +187,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Pieces of text by the split pattern, each mapped to its packed ids; bounded by bytes."""
 
-    def __init__(self, path: str, pattern: str, memo: int = MEMO) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = MEMO, states: int = STATES) -> None:
         import regex
 
         super().__init__()
         self.memo, self.taken = memo, 0
         self.find = regex.compile(pattern)
         self.older: dict[str, bytes] = {}
-        self.transducer = Transducer(read_ranks(path), max(1000, STATES * memo // MEMO))
+        self.transducer = Transducer(read_ranks(path), states)
         self.packed = "H" if max(self.transducer.tokens, default=0) < 1 << 16 else "I"
 
     def __missing__(self, piece: str) -> bytes:
@@ -232,21 +232,21 @@ class Encoder(dict):
 
 
 @cache
-def encoder(path: str, pattern: str, memo: int = MEMO) -> Encoder:
+def encoder(path: str, pattern: str, memo: int = MEMO, states: int = STATES) -> Encoder:
     """This worker's encoder.  Its tables are large and live as long as the worker, so the garbage
     collector is kept from walking them over and over."""
     pa.default_memory_pool().release_unused()
-    made = Encoder(path, pattern, memo)
+    made = Encoder(path, pattern, memo, states)
     gc.freeze()
     gc.set_threshold(100_000, 20, 100)
     return made
 
 
-def digests(path: str, pattern: str, memo: int = MEMO):
+def digests(path: str, pattern: str, memo: int = MEMO, states: int = STATES):
     """mapInArrow function: (id, text) to the token count, the ids' digest and the decoded text's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, pattern, memo)
+        code = encoder(path, pattern, memo, states)
         of = code.transducer.tokens.__getitem__
         name = [str(i) for i in range(max(code.transducer.tokens, default=-1) + 1)].__getitem__
         for batch in batches:
@@ -293,18 +293,18 @@ def decode_tokens(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, states: int = STATES) -> DataFrame:
     """Encodes every text and decodes its ids again: id_col, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty (no tokens).  One pass over the rows without a shuffle; a task holds
-    one Arrow batch, the ids of at most RUN pieces, and a memo of twice about `memo` bytes, which
-    changes the speed alone.  Repeated ids and rows give a row each.
+    one Arrow batch, the ids of at most RUN pieces, and a memo of twice about `memo` bytes and `states` states of the transducer, which
+    change the speed alone.  Repeated ids and rows give a row each.
     """
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digests(path, pattern, memo), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(digests(path, pattern, memo, states)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,3 +279,19 @@ def test_licenses_of_other_holders_and_programs(spark):
     rows += [("lib", "This library is free software; it is not licensed here."), ("other", "Foo is free software you can redistribute it to none.")]
     found = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert found == {key: [key.split()[0]] for key, _ in rows[:-2]} | {"lib": [], "other": []}
+
+
+def test_bpe_memo_and_states_keep_to_their_bounds():
+    import random
+
+    import public_tokenizers
+
+    from gleaner.llm import bpe
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(7)
+    small, plain = (bpe.Encoder(path, public_tokenizers.PATTERN, *bounds) for bounds in ((1 << 16, 500), ()))
+    for _ in range(40):
+        text = " ".join("".join(rnd.choices("abcdeghilnorstuü", k=rnd.randint(3, 14))) for _ in range(100))
+        assert small.encode(text) == plain.encode(text)
+        assert small.taken <= small.memo + 1000 and len(small.transducer.states) <= 600
+    assert small.older and len(small) + len(small.older) < len(plain)
