@@ -58,15 +58,16 @@ def overlaps(sets: DataFrame, scope: list[str], id_col: str, member: str, thresh
     Exact, by an inverted index over the rarest members: of two sets with that Jaccard similarity each holds a
     common member among its n - ceil(threshold * n) + 1 rarest, so common members make no pairs.
     """
-    own = sets.select(*scope, id_col, member).distinct()
-    sized = own.join(own.groupBy(*scope, id_col).agg(F.count("*").alias("n")), [*scope, id_col])
-    rare = sized.join(own.groupBy(*scope, member).agg(F.count("*").alias("df")), [*scope, member])
-    k = F.row_number().over(Window.partitionBy(*scope, id_col).orderBy("df", member))
-    index = rare.withColumn("k", k).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    own = settle(sets.select(*scope, id_col, member).repartition(*scope, id_col).distinct())
+    rare = own.join(own.groupBy(*scope, member).agg(F.count("*").alias("df")), [*scope, member], "left")
+    one = Window.partitionBy(*scope, id_col)  # sets move once to be counted and ordered
+    sized = rare.withColumn("n", F.count("*").over(one)).withColumn("k", F.row_number().over(one.orderBy(F.asc_nulls_last("df"), member)))
+    index = sized.where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    index = settle(index.where("df > 1").select(*scope, member, id_col, "n"))  # a member of one set makes no pair
     left = index.select(*scope, member, F.col(id_col).alias("a"), F.col("n").alias("na"))
     right = index.select(*scope, member, F.col(id_col).alias("b"), F.col("n").alias("nb"))
     near = left.join(right, [*scope, member]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-    pairs = near.select(*scope, "a", "b", "na", "nb").distinct()
+    pairs = settle(near.select(*scope, "a", "b", "na", "nb").distinct())  # of known size: few pairs go to the sets, not these to them
     met = pairs.join(own.withColumnRenamed(id_col, "a"), [*scope, "a"]).join(own.withColumnRenamed(id_col, "b"), [*scope, "b", member])
     counted = met.groupBy(*scope, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))

@@ -340,3 +340,11 @@ def test_branches_of_many_roots_go_together(spark):
     want = {(k, n) for k in range(200) for n in (k, 1000, 1001, 1002)} | {(7, 1003)}
     assert sorted((r.root, r.node) for r in found.collect()) == sorted(want)
     assert "bits" in found._jdf.queryExecution().analyzed().toString()  # chunks of 64 roots travel, not each by itself
+
+
+def test_overlaps_read_their_sets_once_and_count_nulls(spark, tmp_path):
+    sets = {1: [1, 2, 3, None], 2: [1, 2, 3, None], 3: [4, 5, 6, 7], 4: [4, 5, 6, 7], 5: [8], 6: [None]}
+    spark.createDataFrame([("s", i, m) for i, x in sets.items() for m in x] + [("s", None, 4), (None, 7, 4), (None, 8, 4)], "s string, i int, m int").write.parquet(f"{tmp_path}/sets")
+    found = S.overlaps(spark.read.parquet(f"{tmp_path}/sets"), ["s"], "i", "m", 0.5)
+    assert f"{tmp_path}/sets" not in found._jdf.queryExecution().toString()
+    assert sorted((r["a"], r["b"], r["shared"], r["jaccard"]) for r in found.collect()) == [(1, 2, 3, 0.6), (3, 4, 4, 1.0)]
