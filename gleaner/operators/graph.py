@@ -51,7 +51,11 @@ def branches(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Distinct edges both ways; each pair of ends moves once, whichever way and however often it was linked."""
+    first = F.coalesce(F.col("src") <= F.col("dst"), F.col("src").isNull())
+    once = edges.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b")).distinct()
+    one, other = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    return once.select(F.explode(F.when(F.equal_null("a", "b"), F.array(one)).otherwise(F.array(one, other))).alias("e")).select("e.src", "e.dst")
 
 
 def shortest_predecessors(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int | None = None) -> DataFrame:

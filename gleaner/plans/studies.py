@@ -12,7 +12,7 @@ from gleaner.operators import joins as J
 from gleaner.operators import ranking as R
 from gleaner.operators import selection as X
 from gleaner.operators import sets as S
-from gleaner.plans.bindings import EDGES, FILES, Registry, choice_sql, edges, files, table
+from gleaner.plans.bindings import EDGES, FILES, Registry, calls, choice_sql, edges, files, table
 
 registry = Registry()
 add = registry.add
@@ -682,7 +682,7 @@ def anchor_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT node, min(distance) AS distance FROM walk GROUP BY 1), c AS (SELECT p_type AS kind, p_partkey, distance, p_size FROM part JOIN d ON d.node = p_partkey + 1000000000) SELECT kind, p_partkey, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY distance, p_size DESC, p_partkey) AS rank FROM c) WHERE rank <= 6""")
 def verification_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six parts of each type nearest to the entries over relations either way: what to check first."""
-    linked = S.settle(G.undirected(edges(spark, sf_dir)))
+    linked = S.settle(G.undirected(calls(spark, sf_dir)))
     reach = G.distances(linked, _entries(spark, sf_dir), 2)
     met = table(spark, sf_dir, "part").withColumn("node", F.col("p_partkey") + 1_000_000_000).join(reach, "node").withColumnRenamed("p_type", "kind")
     return R.top_k(met, ["kind"], [F.col("distance"), F.desc("p_size"), F.col("p_partkey")], 6).select("kind", "p_partkey", "distance", "rank")

@@ -348,3 +348,10 @@ def test_overlaps_read_their_sets_once_and_count_nulls(spark, tmp_path):
     found = S.overlaps(spark.read.parquet(f"{tmp_path}/sets"), ["s"], "i", "m", 0.5)
     assert f"{tmp_path}/sets" not in found._jdf.queryExecution().toString()
     assert sorted((r["a"], r["b"], r["shared"], r["jaccard"]) for r in found.collect()) == [(1, 2, 3, 0.6), (3, 4, 4, 1.0)]
+
+
+def test_undirected_edges_move_once_a_pair(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 3), (5, None), (None, 5), (None, None), (4, 1)], "src long, dst long")
+    found = G.undirected(edges)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(1, 2), (2, 1), (3, 3), (5, None), (None, 5), (None, None), (4, 1), (1, 4)]))
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
