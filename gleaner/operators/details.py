@@ -20,12 +20,13 @@ def declared_owners(declarations: DataFrame, members: DataFrame, files: DataFram
     """
     d, m = declarations.select("declaration", "symbol", "path", "line", F.col("column").alias("__d")), members.select("symbol", "path", "line", F.col("column").alias("__m"), "owner")
     exact = d.join(m, ["symbol", "path", "line"]).where("__d = 0 or __m = 0 or __d = __m").where("owner is not null")
-    first = exact.groupBy("declaration").agg(F.array_sort(F.collect_set("owner")).alias("owners")).withColumn("tier", F.lit(0))
-    rest = declarations.select("declaration", "path").join(first.select("declaration"), "declaration", "left_anti")
-    second = rest.join(files.select("path", "package").distinct(), "path").join(packages.select("package", "owner").where("owner is not null").distinct(), "package")
-    second = second.groupBy("declaration").agg(F.array_sort(F.collect_set("owner")).alias("owners")).withColumn("tier", F.lit(1))
-    found = first.unionByName(second)
-    return declarations.select("declaration").distinct().join(found, "declaration", "left").select("declaration", "tier", F.coalesce("owners", F.array().cast(found.schema["owners"].dataType)).alias("owners"))
+    per_path = files.select("path", "package").distinct().join(packages.select("package", "owner").where("owner is not null").distinct(), "package").groupBy("path").agg(F.collect_set("owner").alias("__near"))
+    none = F.array().cast(per_path.schema["__near"].dataType)
+    second = declarations.select("declaration", "path").join(per_path, "path", "left").select("declaration", F.lit(None).cast(members.schema["owner"].dataType).alias("owner"), F.when(F.col("declaration").isNotNull(), F.col("__near")).alias("__near"))
+    told = second.union(exact.where("declaration is not null").select("declaration", "owner", F.lit(None).cast(per_path.schema["__near"].dataType)))
+    met = told.groupBy("declaration").agg(F.collect_set("owner").alias("__own"), F.flatten(F.collect_set("__near")).alias("__near"))
+    tier = F.when(F.size("__own") > 0, 0).when(F.size("__near") > 0, 1)
+    return met.select("declaration", tier.alias("tier"), F.when(tier == 0, F.array_sort("__own")).when(tier == 1, F.array_sort(F.array_distinct("__near"))).otherwise(none).alias("owners"))
 
 
 def spread_positions(rows: DataFrame, group: list[str], order: list[Column], quotas: DataFrame) -> DataFrame:
