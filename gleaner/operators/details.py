@@ -189,10 +189,13 @@ def atlas_tables(units: DataFrame, entities: DataFrame, observations: DataFrame)
 
     key = lambda *parts: digest_of(*(F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p, F.lit("")) for p in parts))
     u = units.where("unit is not null").groupBy("unit").agg(F.min("kind").alias("kind")).select(key(F.lit("unit"), "unit").alias("id"), "kind", "unit")
+    u = settle(u)  # each table is worked out once, not for every part that reads it
     e = entities.where("unit is not null and name is not null").select("unit", "kind", "name").distinct().join(u.select("unit", F.col("id").alias("parent")), "unit", "left")
     e = e.select(F.when(F.col("parent").isNotNull(), key(F.lit("entity"), "unit", "kind", "name")).alias("id"), "parent", "kind", "name", "unit")
+    e = settle(e)
     known = e.where("parent is not null").select("unit", F.col("kind").alias("entity_kind"), F.col("name").alias("entity"), F.col("id").alias("parent"))
     o = observations.select("unit", "entity_kind", "entity", "kind", "detail", "path", "line").distinct().join(known, ["unit", "entity_kind", "entity"], "left").withColumn("oid", key(F.lit("observation"), "parent", "kind", "detail"))
+    o = settle(o)
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     seen = o.where("parent is not null")

@@ -102,3 +102,21 @@ def test_atlas_rows_hang_together(spark):
     assert {k: kinds.count(k) for k in set(kinds)} == {"unit": 1, "entity": 1, "observation": 1, "evidence": 2, "unresolved_entity": 1, "unresolved_observation": 1}
     ids = [r["id"] for r in rows if r["id"]]
     assert len(set(ids)) == len(ids) and all(r["parent"] in ids for r in rows if r["parent"])
+
+
+def test_owners_meet_their_declarations_in_one_group(spark):
+    d = spark.createDataFrame([(1, 7, 10, 1, 0), (2, 7, 10, 2, 5), (3, 8, 11, 1, 1), (4, 9, 12, 1, 1), (4, 9, 10, 1, 1), (None, 7, 10, 1, 0), (5, 1, None, 1, 1)], "declaration long, symbol long, path long, line int, column int")
+    m = spark.createDataFrame([(7, 10, 1, 3, "B"), (7, 10, 1, 4, "A"), (7, 10, 1, 4, None), (7, 10, 2, 6, "C")], "symbol long, path long, line int, column int, owner string")
+    files = spark.createDataFrame([(10, 100), (10, 101), (11, 102)], "path long, package long")
+    packages = spark.createDataFrame([(100, "P"), (101, "O"), (102, None)], "package long, owner string")
+    found = D.declared_owners(d, m, files, packages)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == {1: (0, ["A", "B"]), 2: (1, ["O", "P"]), 3: (None, []), 4: (1, ["O", "P"]), 5: (None, []), None: (None, [])}
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_atlas_works_its_tables_out_once(spark, tmp_path):
+    spark.createDataFrame([("u", "package", "p", "k", "d", "f", 3), ("u", "package", "q", "k", "d", "f", 3)], "unit string, entity_kind string, entity string, kind string, detail string, path string, line long").write.parquet(f"{tmp_path}/seen")
+    units, entities = spark.createDataFrame([("u", "repository")], "unit string, kind string"), spark.createDataFrame([("u", "package", "p")], "unit string, kind string, name string")
+    found = D.atlas_tables(units, entities, spark.read.parquet(f"{tmp_path}/seen"))
+    assert sorted(r["part"] for r in found.collect()) == ["entity", "evidence", "observation", "unit", "unresolved_observation"]
+    assert f"{tmp_path}/seen" not in found._jdf.queryExecution().toString()
