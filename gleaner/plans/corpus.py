@@ -103,10 +103,10 @@ def task_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The tasks' terms, and the documents' index of those terms."""
+    """The tasks' terms, and the documents' index of those terms, both settled."""
     terms = S.settle(task_terms(spark, sf_dir))
     asked = S.settle(terms.select(F.col("term").alias("token")).distinct())
-    return terms, T.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text", asked)
+    return terms, S.settle(T.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text", asked))
 
 
 def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,6 @@ def term_file_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, scored documents, and the twelve that cover the terms best, one by one."""
     terms, index = terms_and_index(spark, sf_dir)
-    index = S.settle(index)
     best = T.score_files(terms, index, "item_id", "doc_id").select("item_id", "doc_id")
     held = best.join(terms, "item_id").join(index.withColumnRenamed("token", "term"), ["doc_id", "term"])
     return T.coverage_greedy(held.select("item_id", "doc_id", "term", "weight"), "item_id", "doc_id", "term", "weight")
@@ -135,7 +134,7 @@ def task_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("j4_retrieval_trace", f"WITH {_SCORES} SELECT item_id, doc_id, CAST(score AS BIGINT) AS score, CASE WHEN rank <= 12 THEN 'selected' WHEN score < 300 THEN 'below_floor' ELSE 'not_covered' END AS outcome FROM ranked")
 def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = task_scores(spark, sf_dir)
+    ranked = S.settle(task_scores(spark, sf_dir))  # read twice, worked out once
     return T.trace(ranked, ranked.where("rank <= 12"), "item_id", "doc_id", 300)
 
 

@@ -355,3 +355,19 @@ def test_undirected_edges_move_once_a_pair(spark):
     found = G.undirected(edges)
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [(1, 2), (2, 1), (3, 3), (5, None), (None, 5), (None, None), (4, 1), (1, 4)]))
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_scored_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(T, "INDEX_ROWS", 10)
+    terms = spark.createDataFrame([(1, "a", 2), (1, "b", 4), (2, "b", 4), (2, "z", 16)], "task long, term string, weight int")
+    index = spark.createDataFrame([(f, t, f % 9) for f in range(200) for t in "ab" if f % 3 or t == "b"], "file long, token string, hits long")
+    found = T.score_files(terms, index, "task", "file", 5)
+    want = {}
+    for f in range(200):
+        for task, weight, t in ((1, 2, "a"), (1, 4, "b"), (2, 4, "b")):
+            if f % 3 or t == "b":
+                score, n = want.get((task, f), (0, 0))
+                want[task, f] = (score + weight + 8 + 2 * min(f % 9, 6), n + 1)
+    best = {task: sorted((-s, -n, f) for (t, f), (s, n) in want.items() if t == task)[:5] for task in (1, 2)}
+    assert sorted(map(tuple, found.collect())) == sorted((task, f, -s, -n, k + 1) for task, rows_ in best.items() for k, (s, n, f) in enumerate(rows_))
+    assert re.search(r"RepartitionByExpression \[file#\d+L?\], (3[3-9]|[4-9]\d|\d{3})", found._jdf.queryExecution().optimizedPlan().toString())
