@@ -56,8 +56,10 @@ def provenance_trail(nodes: list[DataFrame], edges: list[DataFrame], primary: tu
     one = settle(one.withColumn("id", node_id(F.col("kind"), F.col("source_id"))))
     conflicts = one.where(~F.col("__f").eqNullSafe(F.col("__g"))).select(F.lit("conflicting_node").alias("code"), "kind", F.col("id").alias("detail"), F.col("__n").alias("n"))
     told = reduce(DataFrame.unionByName, (e.select("kind", "from_kind", "from_source", "to_kind", "to_source", "basis") for e in edges))
-    told = told.select("kind", node_id(F.col("from_kind"), F.coalesce("from_source", F.lit(""))).alias("src"), node_id(F.col("to_kind"), F.coalesce("to_source", F.lit(""))).alias("dst"), "basis")
-    drawn = settle(told.groupBy("kind", "src", "dst").agg(F.min("basis").alias("basis"), F.count("*").alias("n")))
+    # edges meet by what they are told by, which is short; ids, which are long and alike in nothing, are made of what is left
+    told = told.withColumn("from_source", F.coalesce("from_source", F.lit(""))).withColumn("to_source", F.coalesce("to_source", F.lit("")))
+    told = told.groupBy("kind", "from_kind", "from_source", "to_kind", "to_source").agg(F.min("basis").alias("basis"), F.count("*").alias("n"))
+    drawn = settle(told.select("kind", node_id(F.col("from_kind"), F.col("from_source")).alias("src"), node_id(F.col("to_kind"), F.col("to_source")).alias("dst"), "basis", "n"))
     ends = drawn.select(F.col("src").alias("id")).union(drawn.select("dst")).distinct()
     lost = settle(ends.join(one.select("id"), "id", "left_anti"))
     bad = [drawn.join(lost.withColumnRenamed("id", end), end, "left_semi").groupBy("kind", F.col(end).alias("detail")).agg(F.sum("n").alias("n")).select(F.lit(f"unknown_{name}").alias("code"), "kind", "detail", "n") for end, name in (("src", "from"), ("dst", "to"))]

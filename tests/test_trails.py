@@ -130,3 +130,14 @@ def test_archive_keeps_changes_and_survives_replays(spark, tmp_path):
     assert {(r["k"], r["a"], r["b"], r["version"], r["batch"]) for r in kept.collect()} == {("x", 1, None, 1, 1), ("y", 2, "q", 1, 1), (None, 5, "n", 1, 1), ("y", 3, "q", 2, 2), ("z", 1, "", 1, 2), ("x", 1, "", 2, 3), ("x", 1, None, 3, 4)}
     rows = spark.createDataFrame([(1, "m", 5), (1, "f", 7), (2, "f", 1), (2, "f", 3), (3, "other", 9)], "k int, variant string, cost int")
     assert {tuple(r) for r in compare_variants(rows, ["k"], "variant", ["cost"], ["m", "f"]).collect()} == {(1, 5, 7), (2, None, 3), (3, None, None)}
+
+
+def test_edges_meet_before_their_ids_are_made(spark, monkeypatch):
+    plans, real = [], trail.settle
+    monkeypatch.setattr(trail, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    nodes = spark.createDataFrame([("a", "1", "s", "l", "b", None, None), ("b", "", "s", "l", "b", None, None)], "kind string, source_id string, section string, label string, basis string, path string, line int")
+    edges = spark.createDataFrame([("e", "a", "1", "b", None, "z"), ("e", "a", "1", "b", "", "y")], "kind string, from_kind string, from_source string, to_kind string, to_source string, basis string")
+    found = trail.provenance_trail([nodes], [edges])
+    assert [(r["kind"], r["basis"]) for r in found.edges.collect()] == [("e", "y")] and not found.diagnostics.collect()
+    top, below = plans[1].split("\n", 1)
+    assert top.startswith("Aggregate") and "sha2" not in top.split("], [")[0] and "sha2" not in below
