@@ -34,6 +34,7 @@ MEMO, PIECE_BYTES, STATES = 160 << 20, 150, 100_000
 #: Characters of a text beyond which it is encoded in runs of RUN pieces, so that the ids of a huge text
 #: never stand in memory together.
 LONG, RUN = 1 << 20, 50_000
+BYTES = [bytes((b,)) for b in range(256)]
 
 
 class State:
@@ -54,14 +55,16 @@ class Transducer:
         self.known: dict[bytes, tuple[int, bool]] = {t: (r, False) for t, r in ranks.items()}
         for prefix in {t[:k] for t in ranks for k in range(1, len(t))}:
             self.known[prefix] = (ranks.get(prefix, -1), True)
+        self.spines: tuple[dict[int, list[tuple[bytes, int]]], dict[int, list[tuple[bytes, int]]]] = ({}, {})
+        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.start = State(-1, b"", [(0, ())])
         self.states: dict[tuple[int, bytes], State] = {(-1, b""): self.start}
         self.seams: dict[tuple[int, int], bool] = {}
-        self.spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
+        if sum(map(len, self.spines)) + len(self.parts) > self.kept:
+            self.spines, self.parts = ({}, {}), {}
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token, or None if merging its bytes never gives it."""
@@ -79,7 +82,7 @@ class Transducer:
     def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """Parts of the token along its right (side 1) or left (side 0) edge, each with the rank of the
         merge that takes it in; empty if the token can't arise by merges."""
-        if (token, side) not in self.spines:
+        if (out := self.spines[side].get(token)) is None:
             part, taken, out = self.tokens[token], 1 << 60, []
             while True:
                 out.append((part, taken))
@@ -90,49 +93,67 @@ class Transducer:
                     out = []
                     break
                 taken, part = self.ranks[part], halves[side]
-            self.spines[token, side] = out
-        return self.spines[token, side]
+            self.spines[side][token] = out
+        return out
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens; left -1: none before."""
-        ys = self._spine(right, 0)
-        if left < 0:
-            ok = bool(ys)
-        else:
-            xs, get = self._spine(left, 1), self.ranks.get
-            ok = bool(xs and ys) and not any((r := get(x + y)) is not None and r < x_in and r <= y_in for x, x_in in xs for y, y_in in ys)
-        self.seams[left, right] = ok
+        self.seams[left, right] = ok = self._seam(left, right)
         return ok
 
-    def _advance(self, state: State, tail: bytes, last: bool) -> list[tuple[int, tuple[int, ...]]]:
-        """Configurations after one more byte; if it is the piece's last, only the finished one."""
-        known, seams, live, done = self.known.get, self.seams.get, [], None
-        for s, tokens in state.live:
+    def _seam(self, left: int, right: int) -> bool:
+        ys = self._spine(right, 0)
+        if left < 0 or not ys:
+            return bool(ys)
+        xs, get = self._spine(left, 1), self.ranks.get
+        for x, x_in in xs:
+            for y, y_in in ys:
+                if (r := get(x + y)) is not None and r < x_in and r <= y_in:
+                    return False
+        return bool(xs)
+
+    def _advance(self, state: State, tail: bytes) -> list[tuple[int, tuple[int, ...]]]:
+        """Configurations after one more byte."""
+        known, live, done = self.known.get, [], None
+        for config in state.live:
+            s, tokens = config
             if (of := known(tail[s:])) is None:
                 continue
             rank, extends = of
             if done is None and rank >= 0:
                 seam = (tokens[-1] if tokens else state.before, rank)
-                if (ok := seams(seam)) is None:
+                if (ok := self.seams.get(seam)) is None:
                     ok = self.follows(*seam)
                 if ok:
                     done = (*tokens, rank)
-                    if last:
-                        break
             if extends:
-                live.append((s, tokens))
+                live.append(config)
         live.append((len(tail), done))
         return live
 
+    def _finish(self, state: State, tail: bytes) -> tuple[int, ...]:
+        """Tokens after the piece's last byte: those of the one configuration that is finished."""
+        ranks = self.ranks.get
+        for s, tokens in state.live:
+            if (rank := ranks(tail[s:])) is not None:
+                seam = (tokens[-1] if tokens else state.before, rank)
+                if (ok := self.seams.get(seam)) is None:
+                    ok = self.follows(*seam)
+                if ok:
+                    return (*tokens, rank)
+        raise ValueError("no encoding")
+
     def _move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        tail = state.tail + bytes((byte,))
-        live = self._advance(state, tail, False)
-        first, agreed = live[0][1], 0
-        while agreed < len(first) and all(len(c) > agreed and c[agreed] == first[agreed] for _, c in live):
-            agreed += 1
-        sent, before = first[:agreed], state.before
+        tail = state.tail + BYTES[byte]
+        live = self._advance(state, tail)
+        sent, before = live[0][1], state.before
+        for _, tokens in live:  # the tokens that all configurations begin with
+            if not sent:
+                break
+            while tokens[: len(sent)] != sent:
+                sent = sent[:-1]
         if sent:
-            size, before = sum(len(self.tokens[t]) for t in sent), sent[-1]
+            size, agreed, before = sum([len(self.tokens[t]) for t in sent]), len(sent), sent[-1]
             tail, live = tail[size:], [(s - size, c[agreed:]) for s, c in live]
         if (to := self.states.get((before, tail))) is None:
             to = self.states[before, tail] = State(before, tail, live)
@@ -152,7 +173,7 @@ class Transducer:
             state, sent = state.moves.get(byte) or self._move(state, byte)
             if sent:
                 out += sent
-        return (*out, *self._advance(state, state.tail + piece[-1:], True)[-1][1])
+        return (*out, *self._finish(state, state.tail + piece[-1:]))
 
 
 class Utf8Stream:

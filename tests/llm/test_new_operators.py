@@ -295,3 +295,14 @@ def test_bpe_memo_and_states_keep_to_their_bounds():
         assert small.encode(text) == plain.encode(text)
         assert small.taken <= small.memo + 1000 and len(small.transducer.states) <= 600
     assert small.older and len(small) + len(small.older) < len(plain)
+
+
+def test_bpe_keeps_what_it_knows_of_tokens_when_states_go(monkeypatch):
+    from gleaner.llm import bpe
+
+    code = bpe.Transducer(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    pieces = [w.encode() for w in (" unfathomably", " xylographing", " zzyzxian", "qwertyuiop", " ünwörtlich")]
+    first = [code.encode(p) for p in pieces]
+    code._clear()
+    monkeypatch.setattr(code, "_halves", lambda token: pytest.fail("the parts of a token are worked out twice"))
+    assert [code.encode(p) for p in pieces] == first and all(b"".join(map(code.tokens.get, ids)) == p for ids, p in zip(first, pieces, strict=True))
