@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import retrieval, trail, units
 from gleaner.sources.archive import Archive, compare_variants
@@ -91,6 +92,17 @@ def test_units_split_while_the_budget_lasts(spark, chunk, threshold, most, level
         assert all([c for _, c in sorted(ms)] == [k // chunk for k in range(len(ms))] for ms in by.values())
 
 
+def test_long_queries_meet_few_entries(spark):
+    rows = [(k, "file", f"src/item{k * 7919 % 100_000:05d}.go", f"item{k * 7919 % 100_000:05d}.go") for k in range(2_000)]
+    entries = spark.createDataFrame(rows, "entry int, kind string, path string, name string")
+    asked = entries.where("entry < 50").select(F.col("path").alias("query"), F.col("path").alias("text"))
+    met = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(retrieval, "_meet", lambda q, low, own=retrieval._meet: met.append(own(q, low)) or met[-1])
+        assert retrieval.search_entries(asked, entries, "query", "text").where("match = 'exact_path'").count() == 50
+    assert met[0].count() <= 100
+
+
 def test_search_ranks_ten_levels(spark):
     rnd = random.Random(4)
     parts = ["io", "net", "Net/IO", "read", "reader", "a", "the", "theme", "é", "x y"]
