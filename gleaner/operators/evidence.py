@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import top_k
+from gleaner.operators.sets import parts_of
 
 
 def unique_rows(rows: DataFrame, key: list[str], facts: list[str]) -> DataFrame:
@@ -190,18 +191,21 @@ def anchor_relations(anchors: DataFrame, calls: DataFrame, tests: DataFrame, ter
     """(scope, left, right, kind, score): the best kind of relation of each pair of a scope's anchors, `most` in all.
 
     anchors (scope, id, score); calls (scope, left, right) and tests (scope, left, right) as observed; terms (scope,
-    id, term, weight): pairs meet over the terms that they share, never all against all.
+    id, term, weight): pairs meet over the terms that they share, never all against all.  Every step is dealt over parts of
+    bounded rows; the anchors are counted first, so they should be settled.
     """
+    parts = parts_of(anchors)
+    terms = terms.repartition(parts, scope, "term")
     a, b = terms.select(scope, "term", "weight", F.col("id").alias("left")), terms.select(scope, "term", F.col("id").alias("right"))
-    shared = a.join(b, [scope, "term"]).where("left < right").groupBy(scope, "left", "right").agg(F.max("weight").alias("weight"))
+    shared = a.join(b, [scope, "term"]).where("left < right")
     kinds = calls.select(scope, "left", "right", F.lit(0).alias("order"), F.lit("direct_call").alias("kind"), F.lit(4000).alias("bonus"))
     kinds = kinds.union(tests.select(scope, "left", "right", F.lit(1), F.lit("test_reference"), F.lit(3000)))
     kinds = kinds.union(shared.select(scope, "left", "right", F.lit(2), F.lit("shared_task_term"), (1000 + F.col("weight") * 10).cast("int")))
     pair = [F.least("left", "right").alias("lo"), F.greatest("left", "right").alias("hi")]
-    best = kinds.where("left <> right").groupBy(scope, *pair).agg(F.min_by(F.struct("left", "right", "kind", "bonus"), F.struct("order", "left", "right")).alias("b")).select(scope, "b.*")
+    best = kinds.where("left <> right").repartition(parts, scope).groupBy(scope, *pair).agg(F.min_by(F.struct("left", "right", "kind", "bonus"), F.struct("order", "left", "right", F.col("bonus").isNull(), -F.col("bonus"))).alias("b")).select(scope, "b.*")
     score = lambda end: anchors.select(scope, F.col("id").alias(end), F.col("score").alias(f"__{end}"))
-    scored = best.join(score("left"), [scope, "left"]).join(score("right"), [scope, "right"]).withColumn("score", F.col("__left") + F.col("__right") + F.col("bonus"))
-    return top_k(scored, [scope], [F.desc("score"), F.col("left"), F.col("right")], most).select(scope, "left", "right", "kind", "score")
+    scored = best.repartition(parts, scope, "left").join(score("left"), [scope, "left"]).repartition(parts, scope, "right").join(score("right"), [scope, "right"]).withColumn("score", F.col("__left") + F.col("__right") + F.col("bonus"))
+    return top_k(scored.repartition(parts, scope), [scope], [F.desc("score"), F.col("left"), F.col("right")], most).select(scope, "left", "right", "kind", "score")
 
 
 def cards_of(rows: DataFrame, card: str, member: str, complete: Column, needed: int) -> DataFrame:

@@ -28,6 +28,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows, about, of a part of a table that is dealt out.
+DEALT_ROWS = 1 << 17
+
+
+def parts_of(df: DataFrame) -> int:
+    """Parts of about DEALT_ROWS rows that df makes, no fewer than a shuffle has: joins and groups over so many parts hold
+    in a task what does not grow with the table.  df is counted, so it should be cheap to read."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // DEALT_ROWS))
+
+
 def difference(every: DataFrame, chosen: DataFrame, on: list[str], scope: list[str], sample: str, samples: int = 5) -> DataFrame:
     """(scope, missing, sample): how many rows of `every` aren't chosen, and the least of their samples.
 

@@ -671,9 +671,11 @@ SELECT task, l AS "left", r AS "right", kind, score FROM (SELECT *, row_number()
 def anchor_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an order as anchors: calls to the next line, tests of the line two before, terms by supplier."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").cast("long").alias("id"), "l_returnflag", "l_suppkey", F.col("l_quantity").cast("long").alias("score"))
-    anchors = items.groupBy("task", "id").agg(F.max("score").alias("score"))
+    parts = S.parts_of(items)
+    items = items.repartition(parts, "task")
+    anchors = S.settle(items.groupBy("task", "id").agg(F.max("score").alias("score")))
     lines = anchors.select("task", F.col("id").alias("right"))
-    near = lambda flag, step: items.where(F.col("l_returnflag") == flag).select("task", F.col("id").alias("left"), (F.col("id") + step).alias("right")).distinct().join(lines, ["task", "right"], "left_semi")
+    near = lambda flag, step: items.where(F.col("l_returnflag") == flag).select("task", F.col("id").alias("left"), (F.col("id") + step).alias("right")).distinct().repartition(parts, "task", "right").join(lines, ["task", "right"], "left_semi")
     terms = items.select("task", "id", (F.col("l_suppkey") % 5).alias("term"), (F.col("l_suppkey") % 5 + 8).alias("weight")).distinct()
     return E.anchor_relations(anchors, near("A", 1), near("N", -2), terms, "task", 4)
 

@@ -257,3 +257,18 @@ def test_entry_calls_equal_a_plain_walk(spark):
             assert left[root] == {(n, reason, f, w) for (n, reason), (f, w) in lost.items()} | ({(0, "dynamic_invoke", 3, 3)} if 0 in at else set())
             every = [n for a, _, n in edges if a in at]
             assert sum(f[2] for f in want) + sum(w for _, w in lost.values()) == sum(every) and len(want) + sum(f for f, _ in lost.values()) == len(every)
+
+
+def test_anchor_relations_are_dealt_over_parts_of_bounded_rows(spark, monkeypatch):
+    from gleaner.operators import evidence, sets
+
+    anchors = spark.createDataFrame([(t, k, 10 * k) for t in range(40) for k in range(4)], "task int, id int, score int")
+    calls = anchors.where("id < 3").select("task", F.col("id").alias("left"), (F.col("id") + 1).alias("right"))
+    terms = anchors.select("task", "id", (F.col("id") % 2).alias("term"), F.when(F.col("id") > 0, F.col("id")).alias("weight"))
+    terms = terms.union(anchors.select("task", "id", F.lit(7), F.lit(2)))
+    ask = lambda: evidence.anchor_relations(anchors, calls, calls.where("left = 9"), terms, "task", 3)
+    want = sorted(map(tuple, ask().collect()))
+    assert [r[1:] for r in want if r[0] == 5] == [(0, 1, "direct_call", 4010), (1, 2, "direct_call", 4030), (2, 3, "direct_call", 4050)]
+    monkeypatch.setattr(sets, "DEALT_ROWS", 2)
+    many = ask()
+    assert many.rdd.getNumPartitions() == 80 and sorted(map(tuple, many.collect())) == want
