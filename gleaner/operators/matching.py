@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,24 +37,29 @@ def seed_matches(sites: DataFrame, seeds: DataFrame, site: str = "site", seed: s
     receiver, a field of it, or a constant, or else the default.  Several: ambiguous, no seed, and the first
     `samples` of them in `candidates`.  Sites that nothing fits, and those with null keys where a seed names one, have no row.
 
-    Seeds with the same named keys, min_args and variadic rank alike, so the first `samples` of them stand for all.  One
-    equi-join: a site carries one key for each set of named keys that any seed uses, at most seven, and meets a
-    row for each min_args and variadic there, however many seeds there are.
+    Seeds with the same named keys, min_args and variadic rank alike, so the first `samples` of them stand for all, and
+    all are numbered by rank.  Sites of the same keys, number of arguments and variadic are one shape and get the same seeds:
+    only shapes carry a key for each set of named keys that any seed uses, at most seven, meet a row for each min_args and
+    variadic there, and keep the least number.  Sites are settled once and look their shape up; nothing is sorted by site.
     """
     mask = sum((F.when(F.col(k).isNotNull(), 1 << n).otherwise(0) for n, k in enumerate(KEYS)), F.lit(0))
     named = seeds.withColumn("__mask", mask.cast("int")).where("__mask > 0")
-    rule = named.select(F.col(seed).alias("__seed"), "__mask", _lattice_key([F.col(k) for k in KEYS], F.col("__mask")).alias("__key"), F.coalesce("min_args", F.lit(0)).alias("__least"), F.col("variadic").alias("__variadic"), "projections")
-    alike = ["__mask", "__key", "__least", "__variadic"]
+    rule = named.select(F.col(seed).alias("__seed"), "__mask", _lattice_key([F.col(k) for k in KEYS], F.col("__mask")).alias("__key"), F.coalesce("min_args", F.lit(0)).alias("__least"), F.col("variadic").alias("__said"), "projections")
+    alike = ["__mask", "__key", "__least", "__said"]
     near = top_k(rule.dropDuplicates([*alike, "__seed"]), alike, [F.col("__seed")], max(samples, 2))
-    sorts = settle(near.groupBy(*alike).agg(F.array_sort(F.collect_list("__seed")).alias("__seeds"), F.min_by("projections", "__seed").alias("projections")))
+    rank = [-F.bit_count("__mask"), *(-F.col("__mask").bitwiseAND(F.lit(1 << k)) for k in range(len(KEYS))), -F.col("__least"), F.col("__said").isNull()]
+    grouped = near.groupBy(*alike).agg(F.array_sort(F.collect_list("__seed")).alias("__seeds"), F.min_by("projections", "__seed").alias("projections"))
+    sorts = settle(grouped.repartitionByRange(*rank).sortWithinPartitions(*rank).withColumn("__no", F.monotonically_increasing_id()))
     used = sorted(r[0] for r in sorts.select("__mask").distinct().collect())  # at most seven
-    wide = sites.select(F.col(site), *KEYS, "args", "variadic", F.explode(F.array(*(F.lit(m) for m in used)) if used else F.array().cast("array<int>")).alias("__mask"))
-    met = wide.withColumn("__key", _lattice_key([F.col(k) for k in KEYS], F.col("__mask"))).where("__key is not null").join(sorts, ["__mask", "__key"])
-    fits = (F.coalesce(F.size("args"), F.lit(0)) >= F.col("__least")) & (F.col("__variadic").isNull() | F.equal_null("__variadic", "variadic"))
-    count = F.bit_count("__mask")
-    rank = F.struct((-count).alias("a"), (-F.col("__mask").bitwiseAND(F.lit(1))).alias("b"), (-F.col("__mask").bitwiseAND(F.lit(2))).alias("c"), (-F.col("__mask").bitwiseAND(F.lit(4))).alias("d"), (-F.col("__least")).alias("e"), F.col("__variadic").isNull().alias("f"))
-    one = met.where(fits).groupBy(site).agg(F.min_by(F.struct("receiver", "args", "projections", "__seeds"), rank).alias("__s"))
-    at = F.col("__s")
+    own = settle(sites.select(site, *KEYS, "args", "variadic")).withColumn("__n", F.coalesce(F.size("args"), F.lit(0)))
+    shape = [*KEYS, "__n", "variadic"]
+    wide = own.select(*shape).distinct().withColumn("__mask", F.explode(F.array(*(F.lit(m) for m in used)) if used else F.array().cast("array<int>")))
+    met = wide.withColumn("__key", _lattice_key([F.col(k) for k in KEYS], F.col("__mask"))).where("__key is not null").join(sorts.select(*alike, "__no"), ["__mask", "__key"])
+    fits = (F.col("__n") >= F.col("__least")) & (F.col("__said").isNull() | F.equal_null("__said", "variadic"))
+    best = met.where(fits).groupBy(*shape).agg(F.min("__no").alias("__no")).join(sorts.select("__no", "__seeds", "projections"), "__no")
+    best = settle(best.select(*(F.col(c).alias(f"__of_{c}") for c in shape), "__seeds", "projections"))
+    one = own.join(best, reduce(and_, (F.equal_null(c, f"__of_{c}") for c in shape)))
+    at = {c: F.col(c) for c in ("receiver", "args", "projections", "__seeds")}
     found = at["__seeds"]
 
     def filled(p: Column) -> Column:

@@ -134,3 +134,22 @@ def test_seeds_of_one_open_key_meet_a_site_as_one_row(spark):
     assert {(r.status, tuple(r.candidates)) for r in found.collect()} == {("ambiguous", tuple(range(8)))} and found.count() == 50
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "__seeds" in plan and "rank(" not in plan  # what meets a site are groups of seeds, not 250,000 pairs
+
+
+def test_sites_of_one_shape_look_their_seeds_up_once(spark):
+    """Sites are not grouped or sorted by their key: the best seeds of a shape are known before sites meet them."""
+    from gleaner.operators import matching
+
+    seeds = spark.range(12).selectExpr("id as seed", "if(id % 3 > 0, 'p', null) as package", "if(id % 2 > 0, 'r', null) as receiver", "'n' as name", "cast(id % 4 as int) as min_args", "if(id > 8, true, null) as variadic", "cast(null as map<string, struct<source: string, index: int, value: string, default: string, field: string>>) projections")
+    sites = spark.range(1000).selectExpr("id as site", "'p' as package", "if(id % 5 > 0, 'r', null) as receiver", "'n' as name", "array_repeat('x', cast(id % 3 as int)) as args", "id % 7 = 0 as variadic")
+    found = matching.seed_matches(sites, seeds)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.site: r.seed if r.seed is not None else tuple(r.candidates) for r in found.collect()}
+    assert len(got) == 1000
+    for site in range(1000):
+        best = {}
+        for k in range(12):
+            if site % 3 >= k % 4 and (k % 2 == 0 or site % 5) and (k <= 8 or site % 7 == 0):
+                best.setdefault((-(k % 3 > 0) - (k % 2 > 0), k % 3 == 0, k % 2 == 0, -(k % 4), k <= 8), []).append(k)
+        want = best[min(best)]
+        assert got[site] == (want[0] if len(want) == 1 else tuple(want))
