@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.sets import settle
+from gleaner.operators.sets import folder, parts_of, settle
 
 
 def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
@@ -31,25 +31,94 @@ def closure(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return distances(edges, sources).select("node")
 
 
+#: From so many roots on, nodes on common cycles walk as one; below, the walk costs less than finding them.
+MANY_ROOTS = 256
+#: Steps, at most, by which cycles are looked for.
+CYCLE_STEPS = 8
+
+
+def cycles(links: DataFrame) -> DataFrame:
+    """(node, head): nodes that reach their head and are reached by it, so that they reach the same nodes.
+
+    Links (src, dst) are distinct numbers without nulls.  Found by a few links of each node, either way, in CYCLE_STEPS steps:
+    each node takes the busiest node that reaches it, and belongs to it if it leads back there.  What that
+    misses is left out; it is never wrong.  Heads stand among their nodes; heads of one node are left out.
+    """
+    few = []
+    for end, other in (("src", "dst"), ("dst", "src")):
+        masks = [F.xxhash64(end, F.lit(k)) for k in range(2)]  # the links nearest to two random numbers of the node
+        picked = links.groupBy(end).agg(F.count("*").alias("n"), *(F.min(F.col(other).bitwiseXOR(m)).alias(f"m{k}") for k, m in enumerate(masks)))
+        few.append(settle(picked.select(F.col(end).alias("node"), "n", *(F.col(f"m{k}").bitwiseXOR(m).alias(f"o{k}") for k, m in enumerate(masks)))))
+    out, back = few
+    at = lambda df, *names: df.select("node", F.explode(F.array("o0", "o1")).alias("o")).select(*(F.col(c).alias(n) for c, n in zip(("node", "o"), names, strict=True)))
+    some = settle(at(out, "src", "dst").unionByName(at(back, "dst", "src")).distinct())
+    inner = out.select("node", "n").join(back.select("node", F.col("n").alias("m")), "node").withColumn("busy", F.least("n", "m"))
+    state = settle(inner.repartitionByRange("busy", "node").sortWithinPartitions("busy", "node").select("node", F.monotonically_increasing_id().alias("own")))
+    state = fresh = state.withColumn("head", F.col("own"))
+    for _ in range(CYCLE_STEPS):
+        ahead = fresh.select(F.col("node").alias("src"), "head").join(some, "src").groupBy(F.col("dst").alias("node")).agg(F.max("head").alias("ahead"))
+        state = settle(state.join(ahead, "node", "left").select("node", "own", F.greatest("head", "ahead").alias("head"), F.coalesce(F.col("ahead") > F.col("head"), F.lit(False)).alias("new")))
+        fresh = settle(state.where("new").select("node", "head"))
+        if not fresh.take(1):
+            break
+    tops = lambda end: state.select(F.col("node").alias(end), F.col("head").alias(f"head_{end}"))
+    near = settle(some.join(tops("src"), "src").join(tops("dst"), "dst").where("head_src = head_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    held = settle(distances(near, state.where("own = head").select("node"), CYCLE_STEPS).select("node").join(state.select("node", "own", "head"), "node"))
+    heads = held.where("own = head").select("head", F.col("node").alias("name"))
+    large = held.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").join(heads, "head")
+    return held.join(large, "head").select("node", F.col("name").alias("head"))
+
+
 def branches(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): what each root reaches, itself included; edges must not lead into other roots where walks end there.
 
     Roots that stand next to each other in order go together, 64 as the bits of one number: an edge carries a chunk of
-    roots at a step, and only the nodes that some of them reach anew go on.
+    roots at a step, and only the nodes that some of them reach anew go on.  From MANY_ROOTS roots on, nodes on common cycles
+    (cycles) walk as one, so that the links between them carry no roots.
     """
-    links = settle(edges.select("src", "dst").distinct())
+    links = settle(edges.where("src is not null and dst is not null").select("src", "dst").repartition("src").distinct())
     numbered = settle(roots.select(F.col("node").alias("root")).distinct().repartitionByRange("root").sortWithinPartitions("root").withColumn("__n", F.monotonically_increasing_id()))
     roots_ = numbered.select("root", F.shiftright("__n", 6).alias("chunk"), F.expr("shiftleft(1L, cast(__n & 63 as int))").alias("bit"))
-    fresh = seen = settle(roots_.select(F.col("root").alias("node"), "chunk", F.col("bit").alias("bits")))
-    while fresh.take(1):
-        ahead = fresh.join(links.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node"), "chunk").agg(F.bit_or("bits").alias("ahead"))
-        met = seen.join(ahead, ["node", "chunk"], "full")
-        had, came = F.coalesce("bits", F.lit(0).cast("long")), F.coalesce("ahead", F.lit(0).cast("long"))
-        state = settle(met.select("node", "chunk", had.bitwiseOR(came).alias("bits"), came.bitwiseAND(F.bitwise_not(had)).alias("new")))
-        seen, fresh = state.select("node", "chunk", "bits"), state.where("new <> 0").select("node", "chunk", F.col("new").alias("bits"))
+    if numbered.count() < MANY_ROOTS:
+        seen = _walked(links, roots_.select(F.col("root").alias("node"), "chunk", "bit"))
+    else:
+        tied = settle(cycles(links))
+        short = links
+        for end in ("src", "dst"):
+            own = tied.select(F.col("node").alias(end), "head")
+            short = short.join(own, end, "left").withColumn(end, F.coalesce("head", end)).drop("head")
+        short = settle(short.where("src <> dst").distinct())
+        ends = roots_.join(tied.withColumnRenamed("node", "root"), "root", "left")
+        walked = _walked(short, ends.select(F.coalesce("head", "root").alias("node"), "chunk", "bit"))
+        whole = settle(walked.join(tied.select(F.col("head").alias("node")).distinct(), "node", "left_semi"))
+        spread = tied.repartition(parts_of(tied), "node").join(whole.withColumnRenamed("node", "head"), "head")
+        seen = spread.select("node", "chunk", "bits").union(walked.join(tied.select("node"), "node", "left_anti").select("node", "chunk", "bits"))
     return seen.join(roots_, "chunk").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("root", "node")
 
 
+def _walked(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, chunk, bits): which roots of a chunk reach a node, from starts (node, chunk, bit) on.
+
+    What a step finds anew is a table of its own, whose size the next step's join knows; all of them are what is known.
+    """
+    paths = []
+
+    def keep(found: DataFrame) -> DataFrame:
+        paths.append(folder(found.sparkSession))
+        found.write.parquet(paths[-1])
+        return found.sparkSession.read.schema(found.schema).parquet(paths[-1])
+
+    fresh = keep(starts.groupBy("node", "chunk").agg(F.bit_or("bit").alias("bits")))
+    known = lambda: fresh.sparkSession.read.schema(fresh.schema).parquet(*paths)
+    none = F.lit(0).cast("long")
+    while fresh.take(1):
+        ahead = fresh.join(links.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), "chunk", none.alias("had"), F.col("bits").alias("came"))
+        both = ahead.union(known().select("node", "chunk", F.col("bits").alias("had"), none.alias("came")))
+        met = both.groupBy("node", "chunk").agg(F.bit_or("had").alias("had"), F.bit_or("came").alias("came"))
+        fresh = keep(met.select("node", "chunk", F.col("came").bitwiseAND(F.bitwise_not("had")).alias("bits")).where("bits <> 0"))
+    return known().groupBy("node", "chunk").agg(F.bit_or("bits").alias("bits"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct edges both ways; each pair of ends moves once, whichever way and however often it was linked."""
     first = F.coalesce(F.col("src") <= F.col("dst"), F.col("src").isNull())

@@ -520,8 +520,7 @@ def unit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def branch_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each root reaches without crossing another root."""
     roots = _entries(spark, sf_dir)
-    inner = S.settle(edges(spark, sf_dir).join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return G.branches(inner, roots)
+    return G.branches(calls(spark, sf_dir).join(roots.withColumnRenamed("node", "dst"), "dst", "left_anti"), roots)
 
 
 @add("e24_capped_graph", f"""WITH RECURSIVE {EDGES}, n AS (SELECT s_suppkey AS node, CASE WHEN s_acctbal > 9000 THEN 'process_entry' ELSE 'supplier' END AS kind FROM supplier UNION ALL SELECT p_partkey + 1000000000, p_type FROM part), walk(node) AS (SELECT node FROM n WHERE kind = 'process_entry' UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node),

@@ -371,3 +371,34 @@ def test_files_are_scored_in_tasks_of_bounded_rows(spark, monkeypatch):
     best = {task: sorted((-s, -n, f) for (t, f), (s, n) in want.items() if t == task)[:5] for task in (1, 2)}
     assert sorted(map(tuple, found.collect())) == sorted((task, f, -s, -n, k + 1) for task, rows_ in best.items() for k, (s, n, f) in enumerate(rows_))
     assert re.search(r"RepartitionByExpression \[file#\d+L?\], (3[3-9]|[4-9]\d|\d{3})", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_nodes_on_common_cycles_walk_as_one(spark, monkeypatch):
+    """Rows equal a plain walk, with roots on cycles too; what a cycle's nodes are told of is what they reach both ways."""
+    import random
+
+    from gleaner.operators import graph
+
+    rnd = random.Random(5)
+    links = [(rnd.randrange(120), rnd.randrange(120)) for _ in range(260)] + [(k, k + 1) for k in range(200, 240)] + [(240, 200), (5, 300), (300, 301), (None, 4), (7, None)]
+    ahead = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            ahead.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for b in ahead.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    edges = spark.createDataFrame(links * 2, "src long, dst long")
+    roots = [*range(0, 120, 2), 200, 301, 999]
+    monkeypatch.setattr(graph, "MANY_ROOTS", 3)
+    found = sorted(map(tuple, graph.branches(edges, spark.createDataFrame([(r,) for r in roots], "node long")).collect()))
+    assert found == sorted((r, n) for r in roots for n in reach(r))
+    tied = {r.node: r.head for r in graph.cycles(edges.where("src is not null and dst is not null").distinct()).collect()}
+    assert len(tied) > 40 and all(h in reach(n) and n in reach(h) and tied[h] == h for n, h in tied.items())
