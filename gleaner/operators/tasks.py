@@ -9,7 +9,7 @@ from gleaner.functions import labels as L
 from gleaner.functions import paths as P
 from gleaner.functions.text import identifier_words, task_kind
 from gleaner.operators.ranking import top_k
-from gleaner.operators.sets import settle
+from gleaner.operators.sets import parts_of, settle
 
 #: Fixed words that say nothing about a task.
 STOP_WORDS = [
@@ -103,14 +103,17 @@ def term_lines(files: DataFrame, terms: DataFrame, file: str, text: str) -> Data
 
 
 def _path_hits(files: DataFrame, terms: DataFrame, file: str, path: str) -> DataFrame:
-    """(file, term): paths that hold a term, met on the term's rarest three letters; shorter terms meet none."""
+    """(file, term), maybe repeated: paths that hold a term, met on the term's rarest three letters; shorter terms meet none.
+
+    Those letters are settled, so that paths whose letters are no term's rarest go before anything is shuffled.
+    """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.substring(c, k, F.lit(3))))
     asked = terms.select("term").distinct().where("length(term) >= 3").select("term", F.explode(grams(F.col("term"))).alias("g"))
     low = files.select(file, F.lower(path).alias("__p")).where("length(__p) >= 3")
     held = low.select(file, "__p", F.explode(grams(F.col("__p"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
     often = held.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = asked.join(often, "g").groupBy("term").agg(F.min(F.struct("n", "g")).alias("r"))
-    return rarest.select("term", F.col("r.g").alias("g")).join(held, "g").where(F.contains("__p", F.col("term"))).select(file, "term").distinct()
+    rarest = settle(asked.join(often, "g").groupBy("term").agg(F.min(F.struct("n", "g")).alias("r")).select("term", F.col("r.g").alias("g")))
+    return held.join(rarest, "g").where(F.contains("__p", F.col("term"))).select(file, "term")
 
 
 def role_bonus(path: Column, kind: Column, text: Column) -> Column:
@@ -127,26 +130,31 @@ def candidate_files(tasks: DataFrame, terms: DataFrame, files: DataFrame, hits:
     A term in the path adds its weight and IN_PATH; in the text its weight, IN_TEXT, LINE for each line of up to LINES, and DECLARED
     if a line declares it; the file's place adds what its kind of task gives (role_bonus).  Order: score, terms matched, path.
 
-    `terms` is task_terms(), `hits` term_lines() of the same files.  Terms meet files on keys.  Of files that only their
-    place speaks for, the first 2 * `most` of each bonus are enough: a task with fewer matches than `most` takes no more.
+    `terms` is task_terms(), `hits` term_lines() of the same files, both settled.  What speaks for a file (lines with a term,
+    its path, its place) is dealt by file, once: where Spark broadcasts the terms, a file's sums stay in its task, and only
+    each task's best `most` files of a task text go on.  A place stands as a term of its own, which the tasks that it
+    matters to ask for.
     """
-    text = hits.groupBy(file, "term").agg((IN_TEXT + F.least(F.count_distinct("line"), F.lit(LINES)) * LINE + F.when(F.max("declared"), DECLARED).otherwise(0)).alias("more"), F.lit(1).alias("times"))
-    named = _path_hits(files, terms, file, path).select(file, "term", F.lit(IN_PATH).alias("more"), F.lit(1).alias("times"))
-    worth = text.unionByName(named).groupBy(file, "term").agg(F.sum("more").alias("more"), F.sum("times").alias("times"))
-    met = terms.select(task, "term", "weight").join(worth, "term").groupBy(task, file).agg(F.sum(F.col("weight") * F.col("times") + F.col("more")).alias("score"), F.count("*").alias("matched"))
-    kinds = tasks.select(task, task_kind(F.col(task_text)).alias("__kind"), F.col(task_text).alias("__text"))
+    said = F.lower(F.col(task_text))
+    kinds = settle(tasks.select(task, task_kind(F.col(task_text)).alias("__kind"), F.coalesce(F.contains(said, F.lit("documentation")), F.lit(False)).alias("__doc")))
+    sorts = [tuple(r) for r in kinds.select("__kind", "__doc").distinct().collect()]  # kinds, twice over, at most
+    bonus = lambda kind, doc: role_bonus(F.col("__path"), kind, F.when(doc, "documentation").otherwise(""))
+    sort = lambda kind, doc: F.concat(F.lit("\n"), F.coalesce(kind, F.lit("")), F.lit("\n"), doc.cast("string"))  # noqa: E731  no term has a line break
     places = files.select(file, F.col(path).alias("__path"))
-    scored = met.join(kinds, task).join(places, file).withColumn("score", F.col("score") + role_bonus(F.col("__path"), F.col("__kind"), F.col("__text"))).select(task, file, "__path", "score", "matched")
-    # what a place is worth depends on the kind and one word: a handful of sorts of tasks
-    sort = lambda df: df.withColumn("__doc", F.contains(F.lower("__text"), F.lit("documentation")))
-    sorts = [tuple(r) for r in sort(kinds).select("__kind", "__doc").distinct().collect()]  # kinds, twice over, at most
-    spoken = places.where(role_bonus(F.col("__path"), F.lit("extension"), F.lit("documentation")) > 0)
-    each = F.array(*(F.struct(F.lit(k).alias("__kind"), F.lit(d).alias("__doc")) for k, d in sorts or [(None, None)]))
-    of_sort = spoken.select(file, "__path", F.explode(each).alias("__s")).select(file, "__path", "__s.*")
-    bonus = role_bonus(F.col("__path"), F.col("__kind"), F.when(F.col("__doc"), "documentation").otherwise(""))
-    best = top_k(of_sort.withColumn("score", bonus.cast("long")).where("score > 0"), ["__kind", "__doc"], [F.desc("score"), F.col("__path")], 2 * most, "__k").drop("__k")
-    alone = sort(kinds).select(task, "__kind", "__doc").join(best, ["__kind", "__doc"]).join(met.select(task, file), [task, file], "left_anti").select(task, file, "__path", "score", F.lit(0).cast("long").alias("matched"))
-    return top_k(scored.unionByName(alone), [task], [F.desc("score"), F.desc("matched"), F.col("__path")], most).drop("__path")
+    spoken = F.array(*(F.when(bonus(F.lit(k), F.lit(d)) > 0, sort(F.lit(k), F.lit(d))) for k, d in sorts or [(None, False)]))
+    no = lambda kind: F.lit(None).cast(kind)
+    text = hits.select(file, "term", "line", "declared", F.lit(False).alias("named"))
+    named = _path_hits(files, terms, file, path).select(file, "term", no("int").alias("line"), F.lit(False).alias("declared"), F.lit(True).alias("named"))
+    at = places.select(file, F.explode(F.array_compact(spoken)).alias("term"), no("int").alias("line"), F.lit(False).alias("declared"), F.lit(False).alias("named"))
+    dealt = text.union(named).union(at).repartition(parts_of(hits), file)
+    worth = dealt.groupBy(file, "term").agg(F.count_distinct("line").alias("n"), F.max("declared").alias("declared"), F.max("named").alias("named"))
+    more = F.when(F.col("n") > 0, IN_TEXT + F.least("n", F.lit(LINES)) * LINE + F.when(F.col("declared"), DECLARED).otherwise(0)).otherwise(0) + F.when(F.col("named"), IN_PATH).otherwise(0)
+    worth = worth.select(file, "term", more.alias("more"), ((F.col("n") > 0).cast("int") + F.col("named").cast("int")).alias("times"))
+    asked = settle(terms.select(task, "term", "weight").union(kinds.select(task, sort(F.col("__kind"), F.col("__doc")), F.lit(0))))
+    met = worth.join(asked, "term").groupBy(task, file).agg(F.sum(F.col("weight") * F.col("times") + F.col("more")).alias("score"), F.count_if(F.col("times") > 0).alias("matched"))
+    placed = met.join(places, file).join(kinds, task).withColumn("__bonus", bonus(F.col("__kind"), F.col("__doc"))).where("matched > 0 or __bonus > 0")
+    scored = placed.select(task, file, "__path", (F.col("score") + F.col("__bonus")).alias("score"), "matched")
+    return top_k(scored, [task], [F.desc("score"), F.desc("matched"), F.col("__path")], most).drop("__path")
 
 
 def line_anchors(candidates: DataFrame, terms: DataFrame, hits: DataFrame, files: DataFrame, task: str, file: str, path: str, per_file: int = 8, total: int = 16) -> DataFrame:

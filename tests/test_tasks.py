@@ -136,3 +136,21 @@ def test_hits_go_without_the_text_of_their_lines(spark):
     assert all(kind != "string" or name == "term" for name, kind in hits.dtypes)
     got = {(r["term"], r["line"], r["declared"], r["named"], r["comment"]) for r in hits.collect()}
     assert got == {("send", 1, True, False, False), ("send_all", 1, False, True, False), ("sendmap", 1, False, True, False), ("w7", 1, True, True, False), ("send", 2, False, False, True)}
+
+
+def _retrieval(spark):
+    f = spark.createDataFrame([(k, ["a.md", "examples/b.go", "c.go", "send/d.go"][k % 4], "send\nfunc map\nmap" if k % 3 else "") for k in range(12)], "file int, path string, text string")
+    t = spark.createDataFrame([(1, "send the map, documentation"), (2, "add support for map"), (3, "zzzz")], "task int, text string")
+    terms = K.settle(K.task_terms(t, "task", "text"))
+    return f, t, terms, K.settle(K.term_lines(f, terms, "file", "text"))
+
+
+def test_files_are_dealt_once_and_texts_of_tasks_stay(spark):
+    """What speaks for a file meets in one deal by file: no second look at what matched, no text of a task beside each file."""
+    f, t, terms, hits = _retrieval(spark)
+    found = K.candidate_files(t, terms, f, hits, "task", "text", "file", "path", 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("RepartitionByExpression [file") == 1 and not re.search(r"__text|contains\(lower\(text", plan)
+    best = {task: sorted((-r["score"], r["rank"], r["file"]) for r in found.collect() if r["task"] == task) for task in (1, 2, 3)}
+    assert not best[3] and len(best[1]) == 5 and [r for _, r, _ in best[1]] == [1, 2, 3, 4, 5]
+    assert {file for _, _, file in best[2]} <= {1, 5, 9, 2, 4, 7, 8, 10, 11} and best[2][0][2] in (1, 5)
