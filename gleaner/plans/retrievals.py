@@ -100,7 +100,9 @@ def choice_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of each task: chosen, as one of the twelve that cover its terms best, or why not."""
     terms, _, hits, candidates = retrieved(spark, sf_dir)
     best = S.settle(candidates)
-    held = best.select("item_id", "doc_id").join(terms, "item_id").join(hits.select("doc_id", "term").distinct(), ["doc_id", "term"])
+    only = S.settle(best.select("doc_id").distinct())  # a handful: the hits of other files go before anything is shuffled
+    near = S.settle(hits.select("doc_id", "term").join(only, "doc_id", "left_semi").distinct())
+    held = best.select("item_id", "doc_id").join(terms, "item_id").join(near, ["doc_id", "term"])
     chosen = T.coverage_greedy(held.select("item_id", "doc_id", "term", "weight"), "item_id", "doc_id", "term", "weight")
     return T.trace(best, chosen, "item_id", "doc_id", 300)
 

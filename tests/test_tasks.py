@@ -154,3 +154,13 @@ def test_files_are_dealt_once_and_texts_of_tasks_stay(spark):
     best = {task: sorted((-r["score"], r["rank"], r["file"]) for r in found.collect() if r["task"] == task) for task in (1, 2, 3)}
     assert not best[3] and len(best[1]) == 5 and [r for _, r, _ in best[1]] == [1, 2, 3, 4, 5]
     assert {file for _, _, file in best[2]} <= {1, 5, 9, 2, 4, 7, 8, 10, 11} and best[2][0][2] in (1, 5)
+
+
+def test_only_hits_of_candidates_meet_the_choice(spark, monkeypatch):
+    from gleaner.operators import retrieval
+    from gleaner.plans import retrievals
+
+    met, greedy = [], retrieval.coverage_greedy
+    monkeypatch.setattr(retrieval, "coverage_greedy", lambda held, *a: met.append(held._jdf.queryExecution().analyzed().toString()) or greedy(held, *a))
+    assert retrievals.choice_trace(spark, "/root/testdata/sf0.001").count() > 0
+    assert "declared" not in met[0]
