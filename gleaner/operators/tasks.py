@@ -163,10 +163,12 @@ def line_anchors(candidates: DataFrame, terms: DataFrame, hits: DataFrame, files
     A line scores by the best of its terms: its path's score, its declaration, its being a comment (labels.line_match_points) and three for
     each line of the file with the term, up to eight; at most per_file of a file, files and lines by score, then path and line.
     """
-    pairs = settle(candidates.select(task, file).join(terms.select(task, "term"), task))
-    own = settle(hits.join(pairs.select(file, "term").distinct(), [file, "term"], "left_semi"))
+    chosen = settle(candidates.select(task, file))
+    only = settle(chosen.select(file).distinct())  # a handful: the lines of other files go before anything is shuffled
+    pairs = settle(chosen.join(terms.select(task, "term"), task))
+    own = settle(hits.join(only, file, "left_semi").join(pairs.select(file, "term").distinct(), [file, "term"], "left_semi"))
     often = own.groupBy(file, "term").agg(F.count_distinct("line").alias("__n"))
-    near = pairs.join(own, [file, "term"]).join(often, [file, "term"]).join(files.select(file, F.col(path).alias("__path")), file)
+    near = pairs.join(own, [file, "term"]).join(often, [file, "term"]).join(files.select(file, F.col(path).alias("__path")).join(only, file, "left_semi"), file)
     test = P.artifact_role(F.col("__path")).isin("test", "fixture")
     scored = near.withColumn("score", L.line_match_points(F.col("__path"), F.col("term"), F.col("__n"), test, F.col("named"), F.col("comment")).cast("long"))
     scored = scored.select(task, file, "__path", "line", "term", "score")

@@ -156,6 +156,16 @@ def test_files_are_dealt_once_and_texts_of_tasks_stay(spark):
     assert {file for _, _, file in best[2]} <= {1, 5, 9, 2, 4, 7, 8, 10, 11} and best[2][0][2] in (1, 5)
 
 
+def test_lines_of_other_files_go_before_they_meet_terms(spark, monkeypatch):
+    f, t, terms, hits = _retrieval(spark)
+    best = K.settle(K.candidate_files(t, terms, f, hits, "task", "text", "file", "path", 2))
+    settled, settle = [], K.settle
+    monkeypatch.setattr(K, "settle", lambda df: settled.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    found = K.line_anchors(best, terms, hits, f, "task", "file", "path").collect()
+    assert {r["file"] for r in found} <= {r["file"] for r in best.collect()} and len(found) > 3
+    assert any(plan.count("LeftSemi") == 2 for plan in settled)  # by file first, then by file and term
+
+
 def test_only_hits_of_candidates_meet_the_choice(spark, monkeypatch):
     from gleaner.operators import retrieval
     from gleaner.plans import retrievals
