@@ -4,6 +4,7 @@ what the limits left out.  Every round takes one step for all questions or roots
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +24,9 @@ from gleaner.operators.sets import settle
 BASE, HIT, LIVE, SAME, BEGINS, WHOLE = 40, 5, 10, 30, 10, 15
 OVERLAP_SAME, OVERLAP_BEGINS = 3, 1
 #: Distinct names and questions of a block, bytes of either, and terms whose row of points a task keeps.
-BLOCK_NAMES, BLOCK_QUESTIONS, BLOCK_BYTES, MOST_ROWS = 8192, 4096, 8 << 20, 1024
+BLOCK_NAMES, BLOCK_QUESTIONS, BLOCK_BYTES, MOST_ROWS = 8192, 32768, 8 << 20, 2048
+#: Questions of a block below which more tasks gain nothing.
+FEW_QUESTIONS = 512
 #: Folders of tests.
 TEST_FOLDERS = ["test", "tests", "testdata", "benchmark", "benchmarks"]
 
@@ -42,7 +45,8 @@ def _likeness(words: Column, terms: Column, same: int, begins: int) -> Column:
 
 def _best_names(block: pa.Table) -> pa.Table:
     """The best name of a block for each question of the block that shares anything with one: a row of numbers for each
-    term, points and hits of every name at once, and their sum for each question."""
+    term, points and hits of every name at once, and their sum for each question.  A row is counted in one go from the places
+    of all words that the term goes with; terms that go with the same words share it, and those most asked for are kept."""
     own = block["own"]
     names = block.filter(pc.equal(own, 1)).sort_by([("test", "ascending"), ("node", "ascending")])
     asked = block.filter(pc.equal(own, 0))
@@ -60,35 +64,58 @@ def _best_names(block: pa.Table) -> pa.Table:
     whole = {n: k for k, n in enumerate(names["name"].to_pylist())}
     terms_of = asked["terms"].to_pylist()
     shift = max(map(len, terms_of), default=0).bit_length()
-    base = (BASE + np.where(names["test"].to_numpy(), 0, LIVE)).astype(np.int64) << shift
+    most = (int(held.value_lengths().to_numpy(zero_copy_only=False).max(initial=0)) * SAME + WHOLE + HIT) * max(map(len, terms_of), default=0) + BASE + LIVE
+    kind = np.int32 if most << shift < 1 << 31 else np.int64
+    base = ((BASE + np.where(names["test"].to_numpy(), 0, LIVE)) << shift).astype(kind)
+    hits, of_shift = kind((HIT << shift) + 1), kind(shift)
 
-    def row(term: str) -> np.ndarray | None:
-        """Points and hit of every name for a term, or None."""
+    def sort(term: str) -> tuple:
+        """What decides on a term's row: the words that begin with it, the longest word it begins with, and its being a word or a name."""
         low, high = bisect_left(words, term), bisect_left(words, term + "\U0010ffff")
-        points = np.bincount(name_of[at[low] : at[high]], minlength=size) * BEGINS
-        for k in [known[term[:n]] for n in range(1, min(len(term) - 1, longest) + 1) if term[:n] in known]:
-            points += np.bincount(name_of[at[k] : at[k + 1]], minlength=size) * BEGINS
+        start = next((known[term[:n]] for n in range(min(len(term) - 1, longest), 0, -1) if term[:n] in known), None)
+        return (low, high) if low < high else None, start, term in known, whole.get(term)
+
+    def row(term: str, of: tuple) -> np.ndarray | None:
+        """Points and hit of every name for a term of a sort, or None."""
+        low, high = of[0] or (0, 0)
+        met = [name_of[at[low] : at[high]]] if low < high else []
+        if of[1] is not None:
+            for n in range(1, len(words[of[1]]) + 1):
+                k = known.get(term[:n])
+                if k is not None:
+                    met.append(name_of[at[k] : at[k + 1]])
+        if not met:
+            return None
+        points = np.bincount(np.concatenate(met) if len(met) > 1 else met[0], minlength=size).astype(kind)
+        points *= BEGINS
         if term in known:
-            points += np.bincount(name_of[at[low] : at[low + 1]], minlength=size) * (SAME - BEGINS)
+            np.add.at(points, name_of[at[low] : at[low + 1]], SAME - BEGINS)
         hit = points > 0
-        if not hit.any():
-            return None
         if term in whole and hit[whole[term]]:
             points[whole[term]] += WHOLE
-        return np.where(hit, (points + HIT << shift) + 1, 0)
-
-    rows: dict[str, np.ndarray | None] = {}
+        points <<= of_shift
+        points += hit * hits
+        return points
+
+    sorts = {t: sort(t) for t in {t for terms in terms_of for t in terms}}
+    often = Counter(sorts[t] for terms in terms_of for t in terms)
+    kept = {of for of, n in often.most_common(MOST_ROWS) if n > 1}
+    rows: dict[tuple, np.ndarray | None] = {}
     query, node, key = [], [], []
+    total = np.zeros(size, kind)
     for q, terms in enumerate(terms_of):
-        total = np.zeros(size, np.int64)
+        total[:] = 0
         for t in terms:
-            if t not in rows:
-                if len(rows) >= MOST_ROWS:
-                    rows.clear()
-                rows[t] = row(t)
-            if rows[t] is not None:
-                total += rows[t]
-        total = np.where(total > 0, total + base, 0)
+            of = sorts[t]
+            if of in rows:
+                more = rows[of]
+            else:
+                more = row(t, of)
+                if of in kept:
+                    rows[of] = more
+            if more is not None:
+                total += more
+        np.add(total, base, out=total, where=total > 0)
         best = int(total.argmax()) if size else 0  # names stand in order: the first of the best
         if size and total[best]:
             query.append(q)
@@ -109,7 +136,8 @@ def best_matches(known: DataFrame, asked: DataFrame) -> DataFrame:
     n, n_bytes = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()
     q, q_bytes = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("terms", " "))), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_NAMES), -(-n_bytes // BLOCK_BYTES))
-    groups = max(1, -(-q // BLOCK_QUESTIONS), -(-q_bytes // BLOCK_BYTES))
+    least = -(-int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)  # small tables fill the tasks too
+    groups = max(1, -(-q // BLOCK_QUESTIONS), -(-q_bytes // BLOCK_BYTES), min(least, -(-q // FEW_QUESTIONS)))
     lot = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     asking = asked.select(lot("query", groups).alias("g"), every(parts).alias("b"), F.lit(0).alias("own"), "query", "terms")

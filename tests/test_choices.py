@@ -272,3 +272,29 @@ def test_anchor_relations_are_dealt_over_parts_of_bounded_rows(spark, monkeypatc
     monkeypatch.setattr(sets, "DEALT_ROWS", 2)
     many = ask()
     assert many.rdd.getNumPartitions() == 80 and sorted(map(tuple, many.collect())) == want
+
+
+def test_terms_that_go_with_the_same_words_share_a_row(spark, monkeypatch):
+    """A row of points is counted once for all terms that go with the same words, and small tables make blocks for several tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [(f"n{k:03}", w, k % 5 == 0, [w, "th"] if k % 2 else [w]) for k, w in enumerate(f"{a}{b}" for a in ("the", "on", "re") for b in ("", "n", "ward", "d"))]
+    asked = [(k, [f"the{k}x", f"th{k}", "then", "onw"]) for k in range(400)]
+    side = lambda own, rest, k: [r[k] for r in rest] if own else None
+    pad = lambda a, b: [None] * (len(asked) if b else len(names)) if a is None else a
+    column = lambda k, j, t: pa.array(pad(side(k is not None, asked, k or 0), True) + pad(side(j is not None, names, j or 0), False), t)
+    block = pa.table({
+        "own": [0] * len(asked) + [1] * len(names), "query": column(0, None, pa.int64()), "terms": column(1, None, pa.list_(pa.string())),
+        "node": column(None, 0, pa.string()), "name": column(None, 1, pa.string()), "test": column(None, 2, pa.bool_()), "words": column(None, 3, pa.list_(pa.string())),
+    })
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: counted.append(1) or bincount(*a, **k))
+    found = expansion._best_names(block)
+    assert len(counted) < 20 and len(found) == 400  # 802 different terms
+    over = lambda words, terms: sum(30 if w == t else 10 if w.startswith(t) or t.startswith(w) else 0 for w in words for t in terms)
+    for q, node, score in zip(*(found[c].to_pylist() for c in ("query", "node", "score")), strict=True):
+        terms = asked[q][1]
+        points = lambda n: sum((p := over(n[3], [t])) and p + 5 + 15 * (n[1] == t) for t in terms)  # noqa: E731, B023
+        best = min((-(points(n) + 40 + 10 * (not n[2])), n[2], n[0]) for n in names if points(n))
+        assert (node, score) == (best[2], -best[0])
