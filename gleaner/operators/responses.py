@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import top_k
@@ -34,16 +34,29 @@ def direction_checks(directions: DataFrame, flows: DataFrame) -> DataFrame:
     first alias that its name holds, whatever the case.  Of several the one that has all important paths, then most of them,
     then the highest confidence, then the least name is chosen; matched counts all, found and missing hold the important paths.
     """
-    named = directions.select("task", "direction", "aliases", F.array_distinct(F.coalesce("paths", F.array().cast("array<string>"))).alias("paths"))
-    met = named.join(flows.where("name is not null"), "task")
+    return _answers(directions, flows, None).drop("linked")
+
+
+def _answers(directions: DataFrame, flows: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """direction_checks() with linked: whether a flow of the chosen name stands on one of the paths that `wanted` (task, path)
+    has for the task.  Flows of one name match one alias, so all of them meet here, and flows move once."""
+    none = F.array().cast("array<string>")
+    named = directions.select("task", "direction", "aliases", F.array_distinct(F.coalesce("paths", none)).alias("paths"))
+    if wanted is None:
+        sought = named.withColumn("__sought", none)
+    else:
+        sought = named.join(wanted.groupBy("task").agg(F.collect_set("path").alias("__sought")), "task", "left")
+    met = sought.join(flows.where("name is not null"), "task")
     met = met.withColumn("alias", F.get(F.filter("aliases", lambda a: F.contains(F.lower("name"), F.lower(a))), F.lit(0))).where("alias is not null")
-    met = met.withColumn("held", F.array_intersect("paths", flow_paths(F.col("files"), F.col("evidence"), F.col("entry"))))
-    counted = met.groupBy("task", "direction").agg(F.count("*").alias("matched"))
+    met = met.withColumn("__on", flow_paths(F.col("files"), F.col("evidence"), F.col("entry")))
+    met = met.select("task", "direction", "alias", "name", "confidence", F.array_intersect("paths", "__on").alias("held"), F.coalesce(F.arrays_overlap("__sought", "__on"), F.lit(False)).alias("linked"))
+    of = Window.partitionBy("task", "direction")
+    met = met.withColumn("matched", F.count("*").over(of)).withColumn("linked", F.max("linked").over(Window.partitionBy("task", "direction", "name")))
     order = [F.desc(F.size("held")), F.desc_nulls_last("confidence"), F.col("name")]  # all important paths are also most of them
-    best = top_k(met.select("task", "direction", "alias", "name", "confidence", "held"), ["task", "direction"], order, 1, "__k").drop("__k")
-    out = named.join(counted, ["task", "direction"], "left").join(best, ["task", "direction"], "left")
-    found = F.coalesce("held", F.array().cast("array<string>"))
-    return out.select("task", "direction", F.coalesce("matched", F.lit(0)).alias("matched"), "alias", F.col("name").alias("flow"), F.array_sort(found).alias("found"), F.array_sort(F.array_except("paths", found)).alias("missing"))
+    best = top_k(met, ["task", "direction"], order, 1, "__k").drop("__k")
+    out = named.join(best, ["task", "direction"], "left")
+    found = F.coalesce("held", none)
+    return out.select("task", "direction", F.coalesce("matched", F.lit(0)).alias("matched"), "alias", F.col("name").alias("flow"), F.array_sort(found).alias("found"), F.array_sort(F.array_except("paths", found)).alias("missing"), F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 def grounding(first: DataFrame, flows: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -51,17 +64,22 @@ def grounding(first: DataFrame, flows: DataFrame, allowed: DataFrame) -> DataFra
     evidence that are no paths.
 
     first (task, path), flows as in direction_checks, allowed (task, path).  Evidence counts as a path if it is allowed or
-    reads as one; every other piece is prose and is only counted.
+    reads as one; every other piece is prose and is only counted.  All of them meet once, by task and path.
     """
     none = F.array().cast("array<string>")
-    said = flows.select("task", F.explode(F.coalesce("evidence", none)).alias("path"))
-    known = allowed.select("task", "path").distinct().withColumn("__known", F.lit(True))
-    said = said.join(known, ["task", "path"], "left").withColumn("__sure", F.col("__known").isNotNull() | F.coalesce(reads_as_path(F.col("path")), F.lit(False)))
-    files = flows.select("task", F.explode(F.coalesce("files", none)).alias("path")).union(flows.where("lower(entry) like '%.go'").select("task", F.col("entry").alias("path")))
-    paths = first.select("task", "path").union(files).union(said.where("__sure").select("task", "path")).where("path is not null").distinct()
-    met = paths.join(known, ["task", "path"], "left").groupBy("task").agg(F.count("*").alias("referenced"), F.count_if(F.col("__known").isNull()).alias("invalid"))
-    prose = said.where("not __sure").groupBy("task").agg(F.count("*").alias("unscored"))
-    return met.join(prose, "task", "full").select("task", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("referenced", "invalid", "unscored")))
+    marked = lambda ref, maybe, known: F.struct(F.lit(ref).alias("ref"), F.lit(maybe).cast("long").alias("maybe"), F.lit(known).alias("known"))
+    piece = lambda p: F.struct(p.alias("path"), F.when(F.coalesce(reads_as_path(p), F.lit(False)), marked(True, 0, False)).otherwise(marked(False, 1, False)).alias("m"))
+    sure = lambda p: F.struct(p.alias("path"), marked(True, 0, False).alias("m"))
+    entries = F.when(F.like(F.lower("entry"), F.lit("%.go")), F.array(F.col("entry"))).otherwise(none)
+    told = F.concat(F.transform(F.coalesce("files", none), sure), F.transform(F.coalesce(entries, none), sure), F.transform(F.coalesce("evidence", none), piece))
+    rows = flows.select("task", F.explode(told).alias("t")).select("task", "t.path", "t.m")
+    rows = rows.union(first.select("task", "path", marked(True, 0, False))).union(allowed.select("task", "path", marked(False, 0, True)))
+    once = rows.groupBy("task", "path").agg(F.max("m.ref").alias("ref"), F.sum("m.maybe").alias("maybe"), F.max("m.known").alias("known"))
+    known = F.col("known") & F.col("path").isNotNull()
+    named = F.col("path").isNotNull() & (F.col("ref") | (known & (F.col("maybe") > 0)))
+    return once.groupBy("task").agg(
+        F.count_if(named).alias("referenced"), F.count_if(named & ~known).alias("invalid"), F.coalesce(F.sum(F.when(~known, F.col("maybe"))), F.lit(0)).alias("unscored"), F.max("ref").alias("__ref"), F.max("maybe").alias("__maybe")
+    ).where("__ref or __maybe > 0").drop("__ref", "__maybe")
 
 
 def tripwires(forbidden: DataFrame, said: DataFrame) -> DataFrame:
@@ -82,19 +100,16 @@ def evaluate(tasks: DataFrame, directions: DataFrame, flows: DataFrame, first: D
     drilldowns (task, symbol, path, seen_symbol, seen_path, test_target, predicates, seen_predicates, tests, seen_tests): a task
     without one is not drilled.  All sides are summed by task before they meet.
     """
-    checks = direction_checks(directions, flows)
+    checks = _answers(directions, flows, drilldowns.select("task", "path"))
     covered = checks.groupBy("task").agg(
-        F.count("*").alias("expected"), F.count_if(F.col("matched") == 0).alias("missing"), F.count_if(F.col("matched") > 1).alias("ambiguous"), F.sum(F.size("missing")).alias("missing_paths")
+        F.count("*").alias("expected"), F.count_if(F.col("matched") == 0).alias("missing"), F.count_if(F.col("matched") > 1).alias("ambiguous"), F.sum(F.size("missing")).alias("missing_paths"), F.max("linked").alias("linked")
     )
-    chosen = checks.where("flow is not null").select("task", F.col("flow").alias("name")).distinct().join(flows, ["task", "name"])
-    wanted = drilldowns.select("task", F.col("path").alias("__path"))
-    linked = chosen.join(wanted, "task").where(F.array_contains(flow_paths(F.col("files"), F.col("evidence"), F.col("entry")), F.col("__path"))).select("task", F.lit(True).alias("linked")).distinct()
     within = lambda a, b: F.size(F.array_except(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))) == 0
     right = F.equal_null("symbol", "seen_symbol") & F.equal_null("path", "seen_path") & F.equal_null("symbol", "test_target") & within("predicates", "seen_predicates") & within("tests", "seen_tests")
     drilled = drilldowns.groupBy("task").agg(F.bool_and(right).alias("right"))
     wires = tripwires(forbidden, said).groupBy("task").agg(F.count_if("triggered").alias("triggered"))
     out = tasks.select("task").distinct()
-    for side in (covered, grounding(first, flows, allowed), linked, drilled, wires):
+    for side in (covered, grounding(first, flows, allowed), drilled, wires):
         out = out.join(side, "task", "left")
     numbers = ("expected", "missing", "ambiguous", "missing_paths", "referenced", "invalid", "triggered")
     out = out.select("task", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers), F.coalesce("linked", F.lit(False)).alias("linked"), (F.coalesce("linked", F.lit(False)) & F.coalesce("right", F.lit(False))).alias("drilled"))

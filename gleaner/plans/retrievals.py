@@ -127,10 +127,13 @@ def whole_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as tasks: their orders as flows, named by priority; pending priorities as directions; files of small size allowed."""
     own = files(spark, sf_dir).select(F.col("part").alias("l_partkey"), "path", "size")
     orders = table(spark, sf_dir, "orders")
-    i = S.settle(orders.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(own, "l_partkey").select(F.col("o_custkey").alias("task"), "o_orderkey", "o_orderpriority", "o_orderstatus", "l_linenumber", "l_returnflag", "path", "size"))
-    returned, kept = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
-    said = F.when(F.col("size") > 40, F.concat(F.lit("prose about "), "path")).otherwise(F.col("path"))
-    flows = i.groupBy("task", "o_orderkey", "o_orderpriority").agg(F.collect_list(F.when(kept, F.col("path"))).alias("files"), F.collect_list(F.when(returned, said)).alias("evidence"), F.max("path").alias("entry"))
+    items = table(spark, sf_dir, "lineitem").join(own, "l_partkey").select("l_orderkey", "l_linenumber", "l_returnflag", "path", "size")
+    met = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("task"), "o_orderkey", "o_orderpriority")
+    of = S.settle(met.agg(F.collect_list(F.struct("o_orderstatus", "l_linenumber", "l_returnflag", "path", "size")).alias("items")))  # a row an order: what follows takes its lists from here
+    i = of.select("task", "o_orderpriority", F.inline("items"))
+    said = lambda x: F.when(x["size"] > 40, F.concat(F.lit("prose about "), x["path"])).otherwise(x["path"])
+    part = lambda keep, to: F.transform(F.filter("items", keep), to)
+    flows = of.select("task", "o_orderkey", "o_orderpriority", part(lambda x: x["l_returnflag"] != "R", lambda x: x["path"]).alias("files"), part(lambda x: x["l_returnflag"] == "R", said).alias("evidence"), F.array_max(F.col("items.path")).alias("entry"))
     flows = flows.select("task", F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), "files", "evidence", "entry")
     word = F.split_part("o_orderpriority", F.lit("-"), F.lit(2))
     directions = i.where("o_orderstatus = 'P'").groupBy("task", "o_orderpriority").agg(F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("path"))).alias("paths"))

@@ -33,3 +33,20 @@ def test_responses_pass_only_as_a_whole(spark):
     assert found[5] == (1, 0, 0, 0, 1, 0, 1, True, True, False)
     assert found[6] == (0, 0, 0, 0, 1, 1, 0, False, False, False)
     assert {r["task"]: r["unscored"] for r in R.grounding(first, flows, allowed).collect()}[1] == 2
+
+
+def test_flows_and_paths_move_once(spark):
+    """Flows meet directions once, with what they are linked to; references and allowed paths meet in one group, without a join."""
+    flows = spark.createDataFrame([
+        (1, "put a", 0.5, ["a.go", None], ["x y", "b.go", None, "x y", "ok prose"], "m.Go"), (1, "put a", 0.4, ["c.go"], None, None), (1, "put b", 0.9, ["d.go"], [], ""), (2, "get", 1.0, None, ["only prose"], None),
+    ], FLOWS)
+    first = spark.createDataFrame([(1, "a.go"), (1, None), (3, "f.go")], "task int, path string")
+    allowed = spark.createDataFrame([(1, "a.go"), (1, "ok prose"), (1, "unused.go"), (1, None), (4, "unused.go")], "task int, path string")
+    found = R.grounding(first, flows, allowed)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # of task 1: a.go, b.go, m.Go, c.go, d.go and the allowed prose; task 4 has nothing that refers to a path
+    assert {r["task"]: tuple(r)[1:] for r in found.collect()} == {1: (6, 4, 3), 2: (0, 0, 1), 3: (1, 1, 0)}
+    directions = spark.createDataFrame([(1, "put", ["put"], ["a.go"]), (2, "put", ["put"], [])], "task int, direction string, aliases array<string>, paths array<string>")
+    linked = lambda path: {r["task"]: (r["flow"], r["matched"], r["linked"]) for r in R._answers(directions, flows, spark.createDataFrame([(1, path), (1, None)], "task int, path string")).collect()}
+    # another flow of the chosen one's name links it, one of another name does not
+    assert linked("c.go") == {1: ("put a", 3, True), 2: (None, 0, False)} and linked("d.go")[1] == ("put a", 3, False)
