@@ -26,7 +26,7 @@ OVERLAP_SAME, OVERLAP_BEGINS = 3, 1
 #: Distinct names and questions of a block, bytes of either, and terms whose row of points a task keeps.
 BLOCK_NAMES, BLOCK_QUESTIONS, BLOCK_BYTES, MOST_ROWS = 8192, 32768, 8 << 20, 2048
 #: Questions of a block below which more tasks gain nothing.
-FEW_QUESTIONS = 512
+FEW_QUESTIONS = 2048
 #: Folders of tests.
 TEST_FOLDERS = ["test", "tests", "testdata", "benchmark", "benchmarks"]
 
